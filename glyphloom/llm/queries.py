@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_counts, url_filter
+from . import minhash, mixing, quality, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op5_token_counts, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op5_token_counts, op7_minhash, op8_quality, op10_mixing)}
 
 
 _W = r"[^\x20\x09-\x0D]+"
