@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, token_counts, url_filter
+from . import langid, minhash, mixing, quality, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -37,12 +37,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_copies(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op5_token_counts, op7_minhash, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op5_token_counts, op7_minhash, op8_quality, op9_language, op10_mixing)}
 
 
 _W = r"[^\x20\x09-\x0D]+"
