@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, token_counts, url_filter
+from . import html_extract, langid, minhash, mixing, quality, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, pages.select("page_id", "url").join(bad, "page_id", "left_semi").select("url"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op5_token_counts, op7_minhash, op8_quality, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op4_html, op5_token_counts, op7_minhash, op8_quality, op9_language, op10_mixing)}
 
 
 _W = r"[^\x20\x09-\x0D]+"
