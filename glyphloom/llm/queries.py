@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, minhash, mixing, quality, token_counts, url_filter
+from . import html_extract, langid, minhash, mixing, quality, token_counts, url_filter, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_limits(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op4_html, op5_token_counts, op7_minhash, op8_quality, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op4_html, op5_token_counts, op6_warc, op7_minhash, op8_quality, op9_language, op10_mixing)}
 
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -75,6 +79,14 @@ WITH c AS ({_CANON}), k AS (SELECT *, CASE WHEN h <> '' THEN h || p || CASE WHEN
 bad AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 j AS (SELECT k.*, bad.key IS NOT NULL AS is_listed FROM k LEFT JOIN bad USING (key))
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict, is_listed FROM j""",
+        "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(range(0, 4), lambda g: list_reduce(list_transform(range(0, 8), lambda k:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + g * 10, 10))::BIGINT >> (35 - 5 * k)) & 31)::INT), 1)), lambda a, x: a || x)), lambda a, x: a || x) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b""",
         "op10_mixing": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
