@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, minhash, mixing, quality, token_counts, url_filter, warc
+from . import decontam, html_extract, langid, minhash, mixing, pii, quality, token_counts, url_filter, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, pages.select("page_id", "url").join(bad, "page_id", "left_semi").select("url"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_html, op5_token_counts, op6_warc, op7_minhash, op8_quality, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_pii, op3_decontamination, op4_html, op5_token_counts, op6_warc, op7_minhash, op8_quality, op9_language, op10_mixing)}
 
 
 _W = r"[^\x20\x09-\x0D]+"
