@@ -127,14 +127,14 @@ def csr(edge: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lru_nodes(pairs: DataFrame, capacity: int = GRAPH_CAPACITY) -> DataFrame:
     """(token, last_touch_key, last_touch_pos, dense_idx): the ``capacity`` most recently touched nodes, newest first.
 
-    An origin is touched by each of its edges, a terminal only by being new; since a terminal is the next origin, the
-    last terminal of each stream is what can differ. A top-k, not a sort of all nodes.
+    An origin is touched by each of its edges, a terminal only by being new. So what was ever an origin was touched last
+    as one, and only tokens that never were count from their first time as a terminal. A top-k, not a sort of all nodes.
     """
     touch = pairs.select(F.col("origin").alias("token"), F.struct("stream_key", "pos", F.lit(0).alias("side")).alias("at"))
     fresh = pairs.select(F.col("terminal").alias("token"), F.struct("stream_key", "pos", F.lit(1).alias("side")).alias("at"))
     last_origin = touch.groupBy("token").agg(F.max("at").alias("o"))
     first_seen = fresh.groupBy("token").agg(F.min("at").alias("t"))
-    both = last_origin.join(first_seen, "token", "full").select("token", F.greatest("o", "t").alias("at"))
+    both = last_origin.join(first_seen, "token", "full").select("token", F.coalesce("o", "t").alias("at"))
     top = both.orderBy(F.col("at").desc(), "token").limit(capacity)
     ranked = top.withColumn("dense_idx", F.row_number().over(Window.orderBy(F.col("at").desc(), "token")) - 1)
     return ranked.select("token", F.col("at.stream_key").alias("last_touch_key"), F.col("at.pos").alias("last_touch_pos"), F.col("dense_idx").cast("long").alias("dense_idx"))

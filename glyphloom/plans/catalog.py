@@ -197,7 +197,7 @@ def index_lookup(spark, sf_dir):
 
 
 @query(f"""WITH {_B}, o AS (SELECT origin AS token, max(struct_pack(k := stream_key, p := pos, s := 0)) AS a FROM b GROUP BY 1), t AS (SELECT terminal AS token, min(struct_pack(k := stream_key, p := pos, s := 1)) AS a FROM b GROUP BY 1),
-x AS (SELECT token, CASE WHEN o.a IS NULL THEN t.a WHEN t.a IS NULL THEN o.a WHEN o.a > t.a THEN o.a ELSE t.a END AS a FROM o FULL JOIN t USING (token))
+x AS (SELECT token, coalesce(o.a, t.a) AS a FROM o FULL JOIN t USING (token))
 SELECT token, a.k AS last_touch_key, a.p AS last_touch_pos, (row_number() OVER (ORDER BY a DESC, token) - 1)::BIGINT AS dense_idx FROM x ORDER BY a DESC, token LIMIT 5000""")
 def lru_nodes(spark, sf_dir):
     return graph.lru_nodes(_pairs(spark, sf_dir), 5000)
