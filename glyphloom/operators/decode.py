@@ -61,8 +61,11 @@ def freeze(edge: DataFrame, alpha: float = 0.1, most: int = MOST_NODES) -> Latti
     n = pot.limit(most + 1).count()
     if n > most:
         raise ValueError(f"the graph has more than {most} nodes: bound it first (lru_nodes, refine)")
-    potentials = {r["token"]: r["log_p"] for r in pot.select("token", "log_p").toLocalIterator() if r["token"]}
-    steps = {(r["origin"], r["terminal"]): r["log_w"] for r in transitions(edge).select("origin", "terminal", "log_w").toLocalIterator()}
+    p = pot.where("token <> ''").select("token", "log_p").toArrow()
+    t = transitions(edge).select("origin", "terminal", "log_w").toArrow()
+    potentials = dict(zip(*(c.to_pylist() for c in p.columns), strict=True))
+    origin, terminal, log_w = (c.to_pylist() for c in t.columns)
+    steps = dict(zip(zip(origin, terminal, strict=True), log_w, strict=True))
     return Lattice(potentials, steps)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,11 @@ GRAPH_CAPACITY = 50_000
 BIN = 8192
 
 
+def snapshot(df: DataFrame) -> DataFrame:
+    """df, kept from its first use on (in memory, then on disk): for edges that several operators read. unpersist() it after."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def bigrams(tokens: DataFrame, token_col: str = "token_str") -> DataFrame:
     """(stream_key, pos, origin, terminal) of consecutive tokens of a stream; what the flush gave forms no pair."""
     rows = tokens.where("not is_flush") if "is_flush" in tokens.columns else tokens
@@ -64,10 +70,11 @@ def nodes(edge: DataFrame) -> DataFrame:
 
 def strengths(edge: DataFrame) -> DataFrame:
     """(token, in_weight, out_weight, in_degree, out_degree) of every node, by one aggregation of both ends."""
-    zero = lambda t: F.lit(0).cast(t)
-    out = edge.select(F.col("origin").alias("token"), zero("double").alias("i"), F.col("weight").alias("o"), zero("long").alias("di"), F.lit(1).cast("long").alias("do"))
-    into = edge.select(F.col("terminal").alias("token"), F.col("weight").alias("i"), zero("double").alias("o"), F.lit(1).cast("long").alias("di"), zero("long").alias("do"))
-    return out.union(into).groupBy("token").agg(F.sum("i").alias("in_weight"), F.sum("o").alias("out_weight"), F.sum("di").alias("in_degree"), F.sum("do").alias("out_degree"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    w, none = F.col("weight"), F.lit(0.0)
+    end = lambda token, i, o, di, do: F.struct(token.alias("token"), i.alias("i"), o.alias("o"), di.alias("di"), do.alias("do"))
+    ends = edge.select(F.explode(F.array(end(F.col("origin"), none, w, zero, one), end(F.col("terminal"), w, none, one, zero))).alias("x")).select("x.*")
+    return ends.groupBy("token").agg(F.sum("i").alias("in_weight"), F.sum("o").alias("out_weight"), F.sum("di").alias("in_degree"), F.sum("do").alias("out_degree"))
 
 
 def node_potentials(edge: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -113,7 +120,8 @@ def csr(edge: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     Pointers are exclusive running sums of out-degrees, bins of BIN rows first.
     """
     inner = edge.join(indexed.select(F.col("token").alias("terminal"), F.col("dense_idx").alias("col_idx")), "terminal")
-    cells = transitions(inner.select("origin", "terminal", "weight")).join(inner.select("origin", "terminal", "col_idx"), ["origin", "terminal"])
+    out = inner.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
+    cells = inner.join(out, "origin").withColumn("log_w", F.log("weight") - F.log("out_weight"))
     cells = cells.join(indexed.select(F.col("token").alias("origin"), F.col("dense_idx").alias("row_idx")), "origin").select("row_idx", "col_idx", "log_w")
     degree = cells.groupBy("row_idx").agg(F.count(F.lit(1)).alias("deg"))
     rows = indexed.join(degree, indexed["dense_idx"] == degree["row_idx"], "left").select("dense_idx", F.coalesce("deg", F.lit(0)).alias("deg"), F.floor(F.col("dense_idx") / BIN).alias("bin"))

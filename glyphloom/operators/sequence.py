@@ -15,6 +15,15 @@ from .kernel import GATE_CAPACITY, build, lz_cuts
 OUT_CHARS = 1 << 20
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out evenly if they come from fewer files than the session has cores.
+
+    The kernels cost far more than moving a text, and one small file is one task. Inputs of many files are left alone.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
@@ -82,23 +91,28 @@ def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     The same rows as bigrams(tokens(...)). What the flush gives forms no pair.
     """
 
+    def pairs(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        b = _batch(held, kind)
+        pos = b.column(1).to_numpy()
+        follows = pa.array(pos > 0)
+        leads = pa.array(np.append(pos[1:] > 0, False) if len(pos) else np.zeros(0, bool))
+        later = b.filter(follows)
+        return pa.RecordBatch.from_arrays([later.column(0), later.column(1), b.column(3).filter(leads), later.column(3)], names=["stream_key", "pos", "origin", "terminal"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, pos, left, right = [], [], [], []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py() or ""
-                cuts = lz_cuts(_codes(text).tolist(), capacity)
-                got = [text[i:j] for i, j in zip([0, *cuts], cuts)]  # noqa: B905
-                n = len(got) - 1
-                if n > 0:
-                    keys += [key] * n
-                    pos += range(1, n + 1)
-                    left += got[:-1]
-                    right += got[1:]
-                if len(pos) >= OUT_CHARS:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(pos, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["stream_key", "pos", "origin", "terminal"])
-                    keys, pos, left, right = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(pos, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["stream_key", "pos", "origin", "terminal"])
+            kind = b.schema.field(0).type
+            held, size = [], 0
+            for key, t in zip(b.column(0), b.column(1), strict=True):
+                codes = _codes(t.as_py() or "")
+                ends = np.array(lz_cuts(codes.tolist(), capacity), np.int64)
+                held.append((key, codes[: ends[-1]] if len(ends) else codes[:0], ends, len(ends)))
+                size += len(codes)
+                if size >= OUT_CHARS:
+                    yield pairs(held, kind)
+                    held, size = [], 0
+            if held:
+                yield pairs(held, kind)
 
     kind = dict(docs.dtypes)[key_col]
     return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"stream_key {kind}, pos long, origin string, terminal string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import nodes, strengths
+from .graph import nodes
 
 
 def token_strength(tokens: DataFrame, token_col: str = "token_str") -> DataFrame:
@@ -21,9 +21,10 @@ def token_table(tokens: DataFrame, edge: DataFrame, token_col: str = "token_str"
 
 def association(edge: DataFrame) -> DataFrame:
     """(origin, terminal, weight, pmi, dice): pmi = ln(w * T / (out * in)), dice = 2 w / (out + in)."""
-    s = strengths(edge)
-    total = edge.agg(F.sum("weight").alias("total"))
-    both = edge.join(s.select(F.col("token").alias("origin"), F.col("out_weight").alias("o")), "origin").join(s.select(F.col("token").alias("terminal"), F.col("in_weight").alias("i")), "terminal")
+    out = edge.groupBy("origin").agg(F.sum("weight").alias("o"))
+    into = edge.groupBy("terminal").agg(F.sum("weight").alias("i"))
+    total = out.agg(F.sum("o").alias("total"))
+    both = edge.join(out, "origin").join(into, "terminal")
     w, o, i = F.col("weight"), F.col("o"), F.col("i")
     return both.join(F.broadcast(total)).select("origin", "terminal", "weight", F.log(w * F.col("total") / (o * i)).alias("pmi"), (2 * w / (o + i)).alias("dice"))
 
