@@ -216,7 +216,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scanned = materialise(scan(docs, id_col, text_col), "pii-scan")
     found = discovered(scanned, pattern_scores(scanned))
     rows = scanned.select("row", "id", "base").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [F.size(F.array_remove(F.transform(kinds, lambda x: x == k), False)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select(
         F.col("id").alias(id_col),
         *counts,
@@ -270,7 +271,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
                         spans = spans + [(x["k"], x["s"], x["e"]) for x in joined[i] or () if x["e"] <= len(text)]
                     text = cover(text, spans) if spans else text
                 texts.append(text)
-            cols = [pa.array(texts, pa.string()) if n == text_col else pa.array([None if t is None else len(t) for t in texts], pa.int64()) if n == chars_col else b.column(i) for i, n in enumerate(names)]
+            cols = [pa.array(texts, pa.string()) if n == text_col else pa.array([None if t is None else len(t) for t in texts], b.schema.field(i).type) if n == chars_col else b.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return rows.mapInArrow(run, schema)
