@@ -118,6 +118,36 @@ def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"stream_key {kind}, pos long, origin string, terminal string")
 
 
+_GATE = pa.struct([("name", pa.string()), ("ingested", pa.int64()), ("pass_rate", pa.float64()), ("custom_metrics", pa.map_(pa.string(), pa.float64()))])
+_SNAP = pa.struct([("name", pa.string()), ("ints_in", pa.int64()), ("sequences_emitted", pa.int64()), ("ints_per_emit", pa.float64()), ("gates", pa.list_(_GATE))])
+
+
+def snapshots(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "merge", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **mdl) -> DataFrame:
+    """(stream_key, sequencers): counters of every level and its gates after each stream, the outermost first.
+
+    ints_per_emit is null where nothing was emitted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                seq = build(stack, gate, compat, capacity, **mdl)
+                for c in t.as_py() or "":
+                    seq.push(ord(c))
+                snap = seq.snapshot()
+                for level in snap:
+                    for g in level["gates"]:
+                        g["custom_metrics"] = list(g["custom_metrics"].items())
+                out.append(snap)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_SNAP))], names=["stream_key", "sequencers"])
+
+    kind = dict(docs.dtypes)[key_col]
+    gates = "array<struct<name:string,ingested:long,pass_rate:double,custom_metrics:map<string,double>>>"
+    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"stream_key {kind}, sequencers array<struct<name:string,ints_in:long,sequences_emitted:long,ints_per_emit:double,gates:{gates}>>")
+
+
 def joined_streams(rows: DataFrame, key_col: str, order_col: str, text_col: str, sep: str = "\n\n") -> DataFrame:
     """(key, text): the texts of each key in order, put together with ``sep``; for streams of many rows.
 

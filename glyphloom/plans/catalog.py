@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, spread, stream_pairs, tokens, whitespace_tokens
+from ..operators.sequence import joined_streams, snapshots, spread, stream_pairs, tokens, whitespace_tokens
 from ..sources import corpus, files
 
 _W = r"""w AS (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -356,6 +356,11 @@ def lz_joined_tokens(spark, sf_dir):
     return got.unionByName(empty)
 
 
+@query()
+def sequencer_snapshots(spark, sf_dir):
+    return snapshots(_docs(spark, sf_dir))
+
+
 @query()
 def lz_counters(spark, sf_dir):
     return metrics.counters(tokens(_docs(spark, sf_dir)), _docs(spark, sf_dir).select(F.length("text").alias("n")))
