@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-Q = 12
+Q = 8
 #: Letters and digits that a leaked stretch has at least (the whole item if that is shorter), and edits allowed in it.
-WINDOW, EDITS = 80, 5
+WINDOW, EDITS = 80, 8
 #: Characters of items that one pass holds in memory; a larger benchmark takes several passes.
 BLOCK_CHARS = 4 << 20
 #: Text characters that are hashed together.
@@ -49,12 +49,11 @@ def squeeze(text: str) -> tuple[np.ndarray, np.ndarray | None]:
 
 def gram_hashes(cps: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every run of Q code points."""
-    b = [pow(_BASE, k, 1 << 64) for k in (1, 2, 4)]
-    x = cps.astype(np.uint64) * _MUL
-    two = x[:-1] * np.uint64(b[0]) + x[1:]
-    four = two[:-2] * np.uint64(b[1]) + two[2:]
-    eight = four[:-4] * np.uint64(b[2]) + four[4:]
-    return eight[:-4] * np.uint64(b[2]) + four[8:]
+    one, two, four = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (1, 2, 4))
+    h = cps.astype(np.uint64) * _MUL
+    h = h[:-1] * one + h[1:]
+    h = h[:-2] * two + h[2:]
+    return h[:-4] * four + h[4:]
 
 
 def budget(length: int) -> tuple[int, int, int]:
@@ -89,6 +88,10 @@ class Index:
         self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int32)
 
     def ready(self) -> None:
+        self.bounds = np.array([budget(len(x)) for x in self.items], np.int64).reshape(-1, 3)
+        #: Fewest shared q-grams of any leak, and the longest run of text that holds as many.
+        self.least = int(self.bounds[:, 2].min(initial=1 << 30))
+        self.span = int((self.bounds[:, 0] + self.bounds[:, 1]).max(initial=0)) - Q
         self.bits = np.zeros(1 << _TABLE_BITS, bool)
         self.bits[self._slot(self.grams)] = True
 
@@ -97,77 +100,90 @@ class Index:
         return ((h * _MUL) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def hits(self, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in item, place in text) of every shared q-gram of a text, which is read in runs of CHUNK."""
-        found = []
+        """(item, place in item, place in text) of the shared q-grams of a text that lie close enough together.
+
+        The text is read in runs of CHUNK. Of a leak's q-grams at least ``least`` lie within ``span``, so any that have
+        too few others near them are passed over before the items are looked up.
+        """
+        z = np.zeros(0, np.int64)
+        spots, hashes = [z], [np.zeros(0, np.uint64)]
         for at in range(0, max(0, len(cps) - Q + 1), CHUNK):
             h = gram_hashes(cps[at : at + CHUNK + Q - 1])
             some = np.flatnonzero(self.bits[self._slot(h)])
-            if not len(some):
-                continue
-            row = np.searchsorted(self.grams, h[some])
-            row[row == len(self.grams)] = 0
-            same = self.grams[row] == h[some]
-            some, row = some[same], row[same]
-            n = self.count[row]
-            flat = np.repeat(self.first[row] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            found.append((self.owner[flat], self.place[flat], np.repeat(some + at, n)))
-        if not found:
-            z = np.zeros(0, np.int64)
+            spots.append(some + at)
+            hashes.append(h[some])
+        spot, h = np.concatenate(spots), np.concatenate(hashes)
+        n, k = len(spot), self.least
+        if n < k:
             return z, z, z
-        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        first = np.flatnonzero(spot[k - 1 :] - spot[: n - k + 1] <= self.span)
+        if not len(first):
+            return z, z, z
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, first, 1)
+        np.add.at(step, first + k, -1)
+        near = np.cumsum(step[:-1]) > 0
+        spot, h = spot[near], h[near]
+        row = np.searchsorted(self.grams, h)
+        row[row == len(self.grams)] = 0
+        same = self.grams[row] == h
+        spot, row = spot[same], row[same]
+        n = self.count[row]
+        flat = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.owner[flat].astype(np.int64), self.place[flat].astype(np.int64), np.repeat(spot, n)
 
     def leaks(self, cps: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, start, end) of each item that the text (letters and digits) holds a stretch of."""
+        """(item id, edits, start, end) of each item that the text (letters and digits) holds a stretch of.
+
+        Hits are sorted by item, band and place in the item, for the bands that begin at even and at odd multiples of
+        half their width; only bands in which some window reaches its item's bound are looked at one by one.
+        """
         item, ip, tp = self.hits(cps)
-        out = []
+        best: dict[int, tuple[int, int, int]] = {}
+        if len(item):  # an item with too few hits in all has too few in any band
+            enough = np.bincount(item, minlength=len(self.ids)) >= self.bounds[:, 2]
+            mine = enough[item]
+            item, ip, tp = item[mine], ip[mine], tp[mine]
         if not len(item):
-            return out
-        number = np.bincount(item, minlength=len(self.ids))
-        for k in np.flatnonzero(number):
-            w, e, least = budget(len(self.items[k]))
-            if number[k] < least:
+            return []
+        w, e, least = self.bounds[item].T
+        diag = tp - ip
+        for shift in (0, 1):
+            band = (diag - shift * (e + 1)) // (2 * (e + 1))
+            order = np.lexsort((ip, band, item))
+            it, bd, pl, need = item[order], band[order], ip[order], least[order]
+            last = np.arange(len(order)) + need - 1
+            at = np.minimum(last, len(order) - 1)
+            full = np.flatnonzero((last < len(order)) & (it[at] == it) & (bd[at] == bd) & (pl[at] - pl <= w[order] - Q))
+            if not len(full):
                 continue
-            mine = item == k
-            got = self._region(self.items[k], cps, ip[mine], tp[mine], w, e, least)
-            if got is not None:
-                out.append((self.ids[k], *got))
-        return out
+            cut = np.flatnonzero((np.diff(it) != 0) | (np.diff(bd) != 0)) + 1
+            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(order)]))
+            for g in np.unique(np.searchsorted(begin, full, side="right") - 1):
+                k = int(it[begin[g]])
+                mine = order[begin[g] : end[g]]
+                got = self._region(self.items[k], cps, ip[mine], diag[mine], *map(int, self.bounds[k]))
+                if got is not None:
+                    b = best.get(k, got)
+                    best[k] = (min(b[0], got[0]), min(b[1], got[1]), max(b[2], got[2]))
+        return [(self.ids[k], *best[k]) for k in sorted(best)]
 
     @staticmethod
-    def _region(need: np.ndarray, cps: np.ndarray, ip: np.ndarray, tp: np.ndarray, w: int, e: int, least: int) -> tuple[int, int, int] | None:
-        diag = tp - ip
-        best: tuple[int, int, int] | None = None
-
-        def add(edits: int, start: int, end: int) -> None:
-            nonlocal best
-            best = (edits, start, end) if best is None else (min(edits, best[0]), min(start, best[1]), max(end, best[2]))
-
-        step = e + 1
-        for shift in (0, 1):  # bands of width 2 * step that start at multiples of step: two sets that each tile the diagonals
-            band = (diag - shift * step) // (2 * step)
-            order = np.lexsort((ip, band))
-            cuts = np.flatnonzero(np.diff(band[order])) + 1
-            for g in np.split(order, cuts):
-                if len(g) < least:
-                    continue
-                places = np.unique(ip[g])
-                if len(places) < least:
-                    continue
-                near = np.flatnonzero(places[least - 1 :] - places[: len(places) - least + 1] <= w - Q)
-                if not len(near):
-                    continue
-                d = diag[g]
-                exact = Index._exact(ip[g], d, w)
-                if exact is not None:
-                    add(0, *exact)
-                    continue
-                starts = np.unique(np.concatenate([np.arange(max(0, places[i + least - 1] + Q - w), min(places[i], len(need) - w) + 1) for i in near]))
-                low = int(d.min())
-                ok = banded(need, cps, starts, w, low - e, int(d.max()) + e, e)
-                for s, (edits, end) in zip(starts.tolist(), ok, strict=True):
-                    if edits <= e:
-                        add(edits, max(0, min(s + low, len(cps) - 1)), min(len(cps), max(end, 1)))
-        return best
+    def _region(need: np.ndarray, cps: np.ndarray, ip: np.ndarray, d: np.ndarray, w: int, e: int, least: int) -> tuple[int, int, int] | None:
+        """(least edits, start, end) of the confirmed stretches that the hits of one band lead to."""
+        places = np.unique(ip)
+        if len(places) < least:
+            return None
+        near = np.flatnonzero(places[least - 1 :] - places[: len(places) - least + 1] <= w - Q)
+        if not len(near):
+            return None
+        exact = Index._exact(ip, d, w)
+        if exact is not None:
+            return (0, *exact)
+        starts = np.unique(np.concatenate([np.arange(max(0, places[i + least - 1] + Q - w), min(places[i], len(need) - w) + 1) for i in near]))
+        low = int(d.min())
+        ok = [(edits, max(0, min(s + low, len(cps) - 1)), min(len(cps), max(end, 1))) for s, (edits, end) in zip(starts.tolist(), banded(need, cps, starts, w, low - e, int(d.max()) + e, e), strict=True) if edits <= e]
+        return (min(x[0] for x in ok), min(x[1] for x in ok), max(x[2] for x in ok)) if ok else None
 
     @staticmethod
     def _exact(ip: np.ndarray, d: np.ndarray, w: int) -> tuple[int, int] | None:
