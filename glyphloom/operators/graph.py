@@ -40,8 +40,10 @@ def edges_accumulate(pairs: DataFrame) -> DataFrame:
 def edges_last_run(pairs: DataFrame) -> DataFrame:
     """(origin, terminal, weight): an edge to a new terminal replaces all of an origin's edges.
 
-    So each origin keeps its latest terminal, with the weight of the trailing run. Order is (stream_key, pos). Runs are
-    summed up within each stream first, so a frequent origin leaves one row a stream, not one an occurrence.
+    So each origin keeps its latest terminal, with the weight of the trailing run. Order is (stream_key, pos), null keys
+    last. Every stream is first brought down to one row an origin: its trailing run, and whether that is all it has.
+    An origin's last stream gives the terminal; the run goes back to the latest stream that has another. That takes
+    maxima and sums with partial aggregation only, so an origin that occurs in every stream is no hot key.
     """
     rows = _weighed(pairs)
     here = Window.partitionBy("stream_key", "origin").orderBy("pos")
@@ -49,14 +51,14 @@ def edges_last_run(pairs: DataFrame) -> DataFrame:
     g = f.withColumn("run", F.sum("chg").over(here))
     runs = g.groupBy("stream_key", "origin", "run", "terminal").agg(F.sum("weight").alias("w"))
     ends = runs.groupBy("stream_key", "origin").agg(F.max_by(F.struct("terminal", "w"), "run").alias("last"), F.max("run").alias("runs"))
-    ends = ends.select("stream_key", "origin", F.col("last.terminal").alias("terminal"), F.col("last.w").alias("w"), (F.col("runs") == 1).alias("single"))
-    # A stream's trailing run goes on into the stream before if it is the stream's only run and has the same terminal.
-    back = Window.partitionBy("origin").orderBy(F.col("stream_key").desc_nulls_first())
-    prev_single = F.lag("single").over(back)
-    prev_term = F.lag("terminal").over(back)
-    tail = ends.withColumn("cut", F.when(F.row_number().over(back) == 1, 0).when(prev_single & prev_term.eqNullSafe(F.col("terminal")), 0).otherwise(1))
-    tail = tail.withColumn("part", F.sum("cut").over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    return tail.where("part = 0").groupBy("origin", "terminal").agg(F.sum("w").alias("weight"))
+    when = F.struct(F.col("stream_key").isNull().alias("n"), F.col("stream_key").alias("k"))
+    ends = ends.select("origin", when.alias("at"), F.col("last.terminal").alias("terminal"), F.col("last.w").alias("w"), (F.col("runs") > 1).alias("more"))
+    final = ends.groupBy("origin").agg(F.max_by("terminal", "at").alias("final"))
+    led = ends.join(final, "origin")
+    other = ~F.col("terminal").eqNullSafe(F.col("final"))
+    stop = led.groupBy("origin").agg(F.max(F.when(other | F.col("more"), F.col("at"))).alias("stop"))
+    kept = led.where(~other).join(stop, "origin").where(F.col("stop").isNull() | (F.col("at") >= F.col("stop")))
+    return kept.groupBy("origin", F.col("final").alias("terminal")).agg(F.sum("w").alias("weight"))
 
 
 def edges(pairs: DataFrame, policy: str = "last_run") -> DataFrame:
@@ -93,15 +95,14 @@ def transitions(edge: DataFrame) -> DataFrame:
 def dense_index(node: DataFrame) -> DataFrame:
     """(token, dense_idx): 0, 1, 2 ... in token order.
 
-    In two levels: rows are ranked within ranges of the tokens, and the ranges' sizes are summed up.
+    In two levels: tokens are ranked among those of the same first two codepoints, and the groups' sizes are summed
+    up. Groups depend on the tokens alone, so both levels agree however often they are computed.
     """
-    spark = node.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = node.select("token").repartitionByRange(parts, "token").withColumn("part", F.spark_partition_id())
+    parted = node.select("token", F.substring("token", 1, 2).alias("part"))
     w = Window.partitionBy("part").orderBy("token")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("r", F.row_number().over(w)).join(before, "part").select("token", (F.col("before") + F.col("r") - 1).alias("dense_idx"))
+    return parted.withColumn("r", F.row_number().over(w)).join(before, "part").select("token", (F.col("before") + F.col("r") - 1).alias("dense_idx"))
 
 
 def by_token(tokens: DataFrame, indexed: DataFrame) -> DataFrame:
