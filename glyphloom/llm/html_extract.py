@@ -22,43 +22,47 @@ _TAG_END = re.compile(r"""[^"'>]*+(?:"[^"]*"[^"'>]*+|'[^']*'[^"'>]*+)*+>""")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is not text of the page.
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "object", "xmp", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An opening tag of the key ends an open element of the value, unless a boundary lies between.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _BOUNDARY = frozenset("ul ol dl table article section div main body aside nav header footer form".split())
-_CONTENT_TAGS = frozenset(("article", "main"))
+#: Elements that hold the main text, the surest highest: blocks below the surest that a page has count as inside.
+_CONTENT_TAGS = {"article": 2, "main": 1}
 _FRAME_TAGS = frozenset("nav footer aside form button select menu dialog fieldset datalist".split())
 #: Words in class names, ids and roles that speak against a block.
 _FRAME_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion share sharing social related recommended widget toolbar pagination pager search complementary contentinfo disclaimer skip".split()
 )
+_HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Words that speak for a block, a little.
+_CONTENT_WORDS = frozenset("article post story entry content text body".split())
 _COMMENT_WORDS = frozenset("comment comments respond reply replies discussion disqus commentlist".split())
 #: Weights of the classifier: positive for main text.
-W_ARTICLE, W_OUTSIDE, W_FRAME, W_LINKS, W_WORDS, W_BIAS = 12.0, -8.0, -40.0, -3.0, 0.08, -0.4
+W_ARTICLE, W_OUTSIDE, W_FRAME, W_HINT, W_LINKS, W_WORDS, W_BIAS = 12.0, -8.0, -40.0, 2.0, -3.0, 0.08, -0.4
 #: Smoothness: of neighbours, of successive blocks of one parent; both fall with the distance in the tree.
 S_NEXT, S_SIBLING, S_FALL = 0.6, 0.5, 0.7
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "frame", "article", "path")
+    __slots__ = ("text", "words", "linked", "frame", "article", "hint", "path")
 
-    def __init__(self, text: str, linked: int, frame: bool, article: bool, path: tuple[int, ...]):
-        self.text, self.linked, self.frame, self.article, self.path = text, linked, frame, article, path
+    def __init__(self, text: str, linked: int, frame: bool, article: int, hint: bool, path: tuple[int, ...]):
+        self.text, self.linked, self.frame, self.article, self.hint, self.path = text, linked, frame, article, hint, path
         self.words = text.count(" ") + 1
 
 
-def blocks(page: str) -> tuple[list[Block], bool]:
-    """The page's text blocks in order, and whether it has an article or main element.
+def blocks(page: str) -> tuple[list[Block], int]:
+    """The page's text blocks in order, and the surest content element it has (2 article, 1 main, 0 none).
 
     Character references are decoded, white space within a block becomes one space. Comments, scripts, styles
     and the like are left out. Broken markup is read as far as it goes: unclosed elements end with their parents.
     """
     out: list[Block] = []
-    has_article = False
-    # element: (tag, frame, article, number)
-    stack: list[tuple[str, bool, bool, int]] = []
+    has_article = 0
+    # element: (tag, frame, article, number, hint)
+    stack: list[tuple[str, bool, int, int, bool]] = []
     serial = 0
     run: list[str] = []
     linked = 0
@@ -69,8 +73,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if run:
             text = " ".join(_html.unescape("".join(run)).split())
             if text:
-                top = stack[-1] if stack else ("", False, False, 0)
-                out.append(Block(text, min(linked, len(text)), top[1], top[2], tuple(e[3] for e in stack if e[0] not in _INLINE)))
+                top = stack[-1] if stack else ("", False, 0, 0, False)
+                out.append(Block(text, min(linked, len(text)), top[1], top[2], top[4], tuple(e[3] for e in stack if e[0] not in _INLINE)))
         run, linked = [], 0
 
     def pop(k: int) -> None:
@@ -125,7 +129,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     break
             continue
         if tag in _RAW:
-            if page[end - 2 : end] == "/>" and tag in ("svg", "math"):
+            if page[end - 2 : end] == "/>" and tag == "svg":
                 continue
             shut = _RAW[tag].search(page, end)
             if shut is None:
@@ -160,8 +164,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                         break
         if tag in _VOID or page[end - 2 : end] == "/>" and tag not in _INLINE and tag not in _BOUNDARY and tag != "p":
             continue
-        up = stack[-1] if stack else ("", False, False, 0)
-        frame, article = up[1], up[2]
+        up = stack[-1] if stack else ("", False, 0, 0, False)
+        frame, article, hint = up[1], up[2], up[4]
         if tag in _FRAME_TAGS or tag == "header" and not article:
             frame = True
         if tag not in ("html", "body"):
@@ -172,26 +176,32 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                     frame = True
                 elif hints & _FRAME_WORDS and tag not in _CONTENT_TAGS:
                     frame = True
+                elif hints & _HEADER_WORDS and not article and not hints & _CONTENT_WORDS and tag not in _CONTENT_TAGS:
+                    frame = True
                 elif "main" in hints and not frame:
-                    article = True
-                    has_article = True
+                    article = max(article, 1)
+                hint = hint or bool(hints & _CONTENT_WORDS)
         if tag in _CONTENT_TAGS and not frame:
-            article = has_article = True
+            article = max(article, _CONTENT_TAGS[tag])
+        if not frame:
+            has_article = max(has_article, article)
         serial += 1
-        stack.append((tag, frame, article, serial))
+        stack.append((tag, frame, article, serial, hint))
         anchors += tag == "a"
     flush()
     return out, has_article
 
 
-def unary(b: Block, has_article: bool) -> float:
+def unary(b: Block, has_article: int) -> float:
     """The classifier: how much labelling the block as boilerplate costs more than labelling it as main text."""
     score = W_BIAS + W_WORDS * min(b.words, 60) + W_LINKS * b.linked / len(b.text)
     if b.frame:
         score += W_FRAME
     if has_article:
-        score += W_ARTICLE if b.article else W_OUTSIDE
-    elif b.text[-1:] in ".!?:;\"'":
+        return score + (W_ARTICLE if b.article == has_article else W_OUTSIDE)
+    if b.hint:
+        score += W_HINT
+    if b.text[-1:] in ".!?:;\"'":
         score += 0.5
     return score
 

@@ -231,6 +231,16 @@ def test_main_text():
     html_extract.main_text('<a href="' * 500)
 
 
+def test_main_text_layouts():
+    long = "This sentence belongs to the text of the page and says something about it."
+    main = f"<main><p>Latest news</p><article><p>{long}</p></article></main>"
+    assert html_extract.main_text(main) == long
+    assert html_extract.main_text(f"<main><p>{long}</p><aside>x</aside></main><div>{long}</div>") == long
+    assert html_extract.main_text(f"<div class='header'>Name of the site and its long, long claim. It goes on, too.</div><div class=post-content><p>Hi.</p><p>{long}</p><p>Bye.</p></div><div id=sidebar>{long}</div>") == f"Hi. {long} Bye."
+    assert html_extract.main_text(f"<article><div class='article-header'><h1>T</h1></div><p>{long}<math><mi>x</mi></math><footer>f</footer><nav>n</nav><p class=notice>n</p></article>") == f"T {long} x"
+    assert html_extract.main_text(f"<div role=banner>{long}</div><div role='main'><p>Short</p></div><div role=contentinfo>{long}</div>") == "Short"
+
+
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=9), st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.floats(0, 4)), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_minimum_cut_is_minimal(costs, ties):
