@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +24,42 @@ from .graph import connected_components
 SHINGLE = 5
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: 30 bands of 6 values (3 permutations each): of pairs at 0.85, 7 in 10 million meet in no band; at 0.3, 2 in 100 meet.
-BANDS, PERMUTATIONS_PER_BAND = 30, 3
+#: Permutations of a band (2 values each), and the share of pairs right at the threshold that may meet in no band.
+PERMUTATIONS_PER_BAND, MISSED = 3, 1e-6
 #: Shingles that a task holds of either side when full sets are compared (8 bytes each).
 BLOCK_SHINGLES = 1 << 19
 #: Bits of the filter that says whose full sets are needed (2 MB, whatever the input's size).
 FILTER_BITS = 1 << 24
-_P = BANDS * PERMUTATIONS_PER_BAND
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, _P, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The fewest bands that keep to MISSED: 30 at 85 % (of pairs at 0.3, 2 in 100 meet), 46 at 80 %."""
+    if not 50 <= percent <= 100:
+        raise ValueError("similarities from 50 % to 100 %")
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((min(percent, 99) / 100) ** (2 * PERMUTATIONS_PER_BAND)))))
+
+
+@cache
+def _multipliers(bands: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, bands * PERMUTATIONS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(s: np.ndarray, bands: int = bands_for(PERCENT)) -> np.ndarray:
     """2 * permutations values: minima and maxima of the set under each permutation x -> a * x modulo 2**64."""
-    low = np.full(_P, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(_P, np.uint64)
+    a = _multipliers(bands)[:, None]
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(a), np.uint64)
     for i in range(0, len(s), 2048):
-        x = s[None, i : i + 2048] * _MULTIPLIERS[:, None]
+        x = s[None, i : i + 2048] * a
         np.minimum(low, x.min(axis=1), out=low)
         np.maximum(high, x.max(axis=1), out=high)
     return np.stack([low, high])
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
+def band_keys(s: np.ndarray, bands: int = bands_for(PERCENT)) -> np.ndarray:
     """One 64-bit key a band; the band's number is part of it."""
-    sig = signature(s).reshape(2, BANDS, PERMUTATIONS_PER_BAND)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[15]
+    sig = signature(s, bands).reshape(2, bands, PERMUTATIONS_PER_BAND)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * MIX[15]
     for side in range(2):
         for j in range(PERMUTATIONS_PER_BAND):
             h = mix64(h + sig[side, :, j] * MIX[3 * side + j])
@@ -60,8 +72,9 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64, copy=False)))
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n, f1, f2, bands): set size, 128-bit hash of the set, band keys (null for the empty set)."""
+    n_bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +84,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 n.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(mix64(s * MIX[5])).view(np.int64)) if len(s) else 0)
                 f2.append(int(np.add.reduce(mix64(s * MIX[6])).view(np.int64)) if len(s) else 0)
-                bands.append(band_keys(s).tolist() if len(s) else None)
+                bands.append(band_keys(s, n_bands).tolist() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "bands"])
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
@@ -194,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are taken to be unique; rows that repeat an id are one document to the links, and each gets its row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = materialise(signatures(rows, k), "minhash-signatures")
+    sig = materialise(signatures(rows, k, percent), "minhash-signatures")
     classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
     reps = materialise(classes, "minhash-classes")
     loose = connected_components(band_groups(reps))

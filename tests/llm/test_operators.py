@@ -394,13 +394,19 @@ def near_docs(seed, n_groups=6, copies=12):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 400])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,percent", [(minhash.BLOCK_SHINGLES, 80), (400, 85)])
+def test_near_duplicates(spark, monkeypatch, block, percent):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     docs = near_docs(3)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("bands", F.lit("clash"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute_components(docs)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, percent=percent).collect()}
+    assert got == brute_components(docs, percent)
+
+
+def test_bands_keep_to_the_share_missed():
+    for percent in (60, 80, 85, 95):
+        b, at = minhash.bands_for(percent), (percent / 100) ** (2 * minhash.PERMUTATIONS_PER_BAND)
+        assert (1 - at) ** b <= minhash.MISSED < (1 - at) ** (b - 1)
 
 
 def test_near_duplicates_query(spark, sf):
@@ -574,6 +580,8 @@ def test_training_sees_no_held_out_document(spark):
     seen = {int(r["text"].split()[-1]) for r in langid.training_sample(df, docs_per_lang=1000).collect()}
     assert seen == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
     assert langid.training_sample(df, docs_per_lang=7).count() == 7
+    again = df.unionByName(df.withColumn("text", F.concat(F.lit("a"), "text")))
+    assert {r["text"] for r in langid.training_sample(again, docs_per_lang=1000).collect()} == {f"atext number {i}" for i in seen}
 
 
 # --- 10 ---
