@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from glyphloom.llm import decontam, langid, minhash, mixing, pii
 from glyphloom.llm.common import materialise, table
 
+#: Percent of two documents' shingles that near duplicates share at least.
+SIMILAR = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go; a missing lang is filled in with the prediction."""
@@ -20,11 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays. Rows that repeat an id and its text become one.
+    """Of each group of near duplicates (similarity 0.8 or more) the document of smallest id stays. Rows that repeat an id and its text become one.
 
     Documents without an id cannot be told apart and stay.
     """
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("not kept").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
