@@ -185,13 +185,16 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = TRAIN_DOCS, doc_bytes: int = TRAIN_DOC_BYTES) -> DataFrame:
     """(lang, text): for each language the first docs_per_lang usable documents by a hash of the id.
 
-    The rank is cut in every partition before any shuffle, and only ids are ranked. Rows that repeat an id and a
-    language count as one, the first text in order.
+    The ids of each language are counted first, and only those whose hash lies among the lowest, twice as many as
+    are wanted, are ranked: a language's task sees about 2 * docs_per_lang ids, however large the input. Rows that
+    repeat an id and a language count as one, the first text in order.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.octet_length("text").between(1, doc_bytes))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("lang", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang).select("id").distinct()
-    return rows.join(F.broadcast(picked), "id").groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 52).cast("long")) / F.lit(float(1 << 52)))
+    known = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    low = rows.select("lang", "id", "u").join(known, "lang").where(F.col("u") * F.col("n") < 2 * docs_per_lang + 100).select("lang", "id", "u").distinct()
+    picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))).where(F.col("r") <= docs_per_lang).select("lang", "id")
+    return rows.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, **kw) -> Model:
