@@ -27,7 +27,7 @@ CORE = 0.75
 #: Squared distance beyond which a document is an outlier. Statistics of clean text have longer tails than
 #: a normal distribution, whose 0.9999 quantile with five degrees of freedom is 25.7.
 CUTOFF = 60.0
-#: Groups of fewer documents share one estimate per language, and those of small languages one for all.
+#: Groups of fewer documents are judged by their whole language, and those of small languages by all documents.
 LEAST_GROUP = 50
 BINS_PER_UNIT = 64
 
@@ -165,7 +165,8 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, s
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated windows. Documents that
     failed take no part in the estimates and are not kept; others are kept if dist <= cutoff. Null language
-    or source is a value of its own. Groups below LEAST_GROUP fall back to their language, then to all.
+    or source is a value of its own. Groups below LEAST_GROUP are judged by the estimate of all documents of their
+    language, those of languages below it by that of all documents.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     stats = base.select("id", "lang", "source", *[c.alias(k) for k, c in base_statistics(base).items()])
@@ -173,20 +174,18 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, s
     stats = stats.withColumn("base_failed", failed).withColumns(features())
     fixed = [F.round(F.col(x) * SCALE).cast("long").alias(f"f{i}") for i, x in enumerate(FEATURES)]
     stats = materialise(stats.select("id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *fixed), "quality-stats")
-    sizes = stats.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = Window.partitionBy("lang")
-    groups = sizes.withColumn("in_lang", F.sum("n").over(by_lang)).select(
-        F.col("lang").alias("gl"),
-        F.col("source").alias("gs"),
-        F.when(F.col("n") >= LEAST_GROUP, F.struct(F.lit(2).alias("level"), "lang", "source"))
-        .when(F.col("in_lang") >= LEAST_GROUP, F.struct(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source")))
-        .otherwise(F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
-        .alias("g"),
-    )
     good = stats.where("not base_failed")
+    by_lang, none = Window.partitionBy("lang"), F.lit(None).cast("string")
+    sizes = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("in_lang", F.sum("n").over(by_lang))
+    sizes = sizes.withColumn("level", F.when(F.col("n") >= LEAST_GROUP, 2).when(F.col("in_lang") >= LEAST_GROUP, 1).otherwise(0)).withColumn("lang_level", F.min("level").over(by_lang))
+    sizes = materialise(sizes, "quality-groups")
+    key = lambda level, lang, source: F.struct(F.lit(level).alias("k0"), lang.alias("k1"), source.alias("k2"))
+    # All that a row is counted in: its group, and its language and the whole where some group is judged by them.
+    parts = F.array_compact(F.array(F.when(F.col("level") == 2, key(2, F.col("lang"), F.col("source"))), F.when(F.col("lang_level") == 1, key(1, F.col("lang"), none)), F.when(F.col("least") == 0, key(0, none, none))))
+    groups = sizes.join(F.broadcast(sizes.agg(F.min("level").alias("least")))).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "level", parts.alias("parts"))
     keyed = good.join(groups, good["lang"].eqNullSafe(F.col("gl")) & good["source"].eqNullSafe(F.col("gs"))).drop("gl", "gs")
-    keyed = keyed.select("*", F.col("g.level").alias("k0"), F.col("g.lang").alias("k1"), F.col("g.source").alias("k2")).drop("g")
-    judged = outlier_distance(keyed, ["k0", "k1", "k2"], steps, share)
+    keyed = keyed.select("*", F.explode("parts").alias("g")).select("*", "g.*").drop("parts", "g")
+    judged = outlier_distance(keyed, ["k0", "k1", "k2"], steps, share).where("k0 = level")
     out = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "dist", "kept"]
     kept = judged.withColumn("kept", F.col("dist") <= cutoff).select(*out)
     lost = stats.where("base_failed").withColumns({"dist": F.lit(None).cast("double"), "kept": F.lit(False)}).select(*out)

@@ -507,6 +507,16 @@ def test_quality_keeps_the_good(spark, sf):
     assert share[1] > 0.98 and share[0] < 0.7
 
 
+def test_small_groups_are_judged_by_their_language(spark):
+    rnd = random.Random(7)
+    text = lambda size: " ".join("".join(rnd.choice("abcdefgh") for _ in range(size)) for _ in range(rnd.randint(40, 80)))
+    rows = [(i, text(5), "en", "large", 1) for i in range(200)] + [(1000, text(40), "en", "alone", 1), (1001, text(5), "en", "lone", 1)]
+    rows += [(2000, text(40), "fr", "large", 1), (2001, text(5), None, None, 1)]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in (1000, 1001, 2000, 2001)] == [False, True, False, True]
+
+
 def test_quality_odd(spark):
     df, n = odd_docs(spark)
     assert quality.judge_quality(df).count() == n and quality.judge_quality(df.limit(0)).count() == 0
