@@ -17,8 +17,14 @@ SIMILAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; a missing lang is filled in with the prediction."""
-    judged = langid.predict(docs, langid.train(docs)).where(F.col("lang_pred") != langid.UNDETERMINED)
+    """Documents without a language (null, or no letter) go; a missing lang is filled in with the prediction.
+
+    Where no document can be trained on, nothing is predicted: all that have a letter stay, with lang as it is.
+    """
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

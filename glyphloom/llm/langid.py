@@ -24,7 +24,7 @@ from .bytesops import utf8_rows
 
 #: Longest context in bytes.
 ORDER = 4
-#: The training sample: at most so many documents a language, in the order of a hash of the id, each of at most so many bytes.
+#: The training sample: at most so many documents a language, in the order of a hash of the id, of each its first so many bytes.
 TRAIN_DOCS, TRAIN_DOC_BYTES = 400, 1 << 16
 UNDETERMINED = "und"
 CHUNK = 1 << 18
@@ -183,18 +183,21 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = TRAIN_DOCS, doc_bytes: int = TRAIN_DOC_BYTES) -> DataFrame:
-    """(lang, text): for each language the first docs_per_lang usable documents by a hash of the id.
+    """(lang, text): for each language the first docs_per_lang usable documents by a hash of the id, of long ones the first doc_bytes bytes.
 
     The ids of each language are counted first, and only those whose hash lies among the lowest, twice as many as
     are wanted, are ranked: a language's task sees about 2 * docs_per_lang ids, however large the input. The counts
     are broadcast: a row a language, of each of which the model holds docs_per_lang documents anyway. Rows that
     repeat an id and a language count as one, the first text in order.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.octet_length("text").between(1, doc_bytes))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & (F.octet_length("text") > 0))
     rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 52).cast("long")) / F.lit(float(1 << 52)))
     known = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
     low = rows.select("lang", "id", "u").join(F.broadcast(known), "lang").where(F.col("u") * F.col("n") < 2 * docs_per_lang + 100).select("lang", "id", "u").distinct()
     picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))).where(F.col("r") <= docs_per_lang).select("lang", "id")
+    # A character that the cut runs through goes.
+    start = F.rtrim(F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, doc_bytes).cast("string")), F.lit("\ufffd"))
+    rows = rows.withColumn("text", F.when(F.octet_length("text") > doc_bytes, start).otherwise(F.col("text")))
     return rows.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
 

@@ -583,6 +583,15 @@ def test_language_odd(spark):
     assert [c for c in out.columns if c not in ("lang_pred", "score")] == [c for c in df.columns if c not in ("lang_pred", "score")]
 
 
+def test_long_documents_are_trained_on(spark):
+    rows = [(i, "the quick brown fox and the lazy dog " * 3, "en", None, 1) for i in range(40)]
+    rows += [(100 + i, "a" * (i % 2) + "ще не вмерла україни ні слава ні воля " * 1500, "uk", None, 1) for i in range(8)]
+    df = spark.createDataFrame(rows, DOCS)
+    took = [r["text"] for r in langid.training_sample(df).where("lang = 'uk'").collect()]
+    assert took and all(langid.TRAIN_DOC_BYTES - 2 < len(t.encode()) <= langid.TRAIN_DOC_BYTES and "\ufffd" not in t for t in took)
+    assert {r["lang_pred"] for r in langid.identify(df).where("doc_id >= 100").collect()} == {"uk"}
+
+
 def test_training_sees_no_held_out_document(spark):
     import zlib
 

@@ -64,6 +64,12 @@ def test_odd_input(spark, sf, name, stage):
     assert stage(spark, empty, sf).count() == 0
 
 
+def test_nothing_to_train_on(spark, sf):
+    df, _ = odd_docs(spark)
+    got = P.language_id(spark, df.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == {None, 4, 5, 6, 8}
+
+
 def test_run(spark, sf):
     got = P.run(spark, sf)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy_no"] and got.count() > 0
