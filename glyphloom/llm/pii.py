@@ -25,7 +25,7 @@ ROUNDS = 3
 LEAST_SEEDS, PATTERN_SCORE = 5, 0.8
 #: An unseen instance is taken in from this confidence on.
 ACCEPT = 0.8
-#: Up to so many patterns (some 100 bytes each) are sent to the tasks that redact; beyond, spans are joined.
+#: Up to so many patterns (some 100 bytes each) are sent to the tasks that redact; beyond, each row gets its own.
 BROADCAST_PATTERNS = 100_000
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -202,6 +202,13 @@ def discovered(scanned: DataFrame, patterns: DataFrame, accept: float = ACCEPT)
     return best.groupBy("row").agg(F.collect_list(F.struct("k", "s", "e")).alias("found"))
 
 
+def _own_patterns(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, __pats): the patterns that the look-alikes of each scanned row stand in."""
+    m = scanned.select("id", F.explode("mentions").alias("m")).select("id", "m.*").where("seed < 0")
+    m = m.select("id", "pats", F.explode("kinds").alias("k")).select("id", "k", F.explode("pats").alias("pat")).distinct()
+    return m.join(patterns, ["pat", "k"]).groupBy("id").agg(F.collect_list(F.struct("pat", "k", "score")).alias("__pats"))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
@@ -240,8 +247,8 @@ def cover(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs, same columns, with every base span and every discovered span replaced by its kind. Null texts stay null.
 
-    The patterns go to the tasks after their number is checked, so texts do not move. Past BROADCAST_PATTERNS only
-    base spans and spans joined by (id, start) are covered, texts being shuffled by id.
+    The patterns go to the tasks after their number is checked, so texts do not move. Past BROADCAST_PATTERNS the
+    rows are written with a number, and each gets the patterns it needs by that; ids play no part, and the result is the same.
     """
     scanned = materialise(scan(docs, id_col, text_col), "pii-scan")
     patterns = pattern_scores(scanned)
@@ -253,8 +260,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
         rows = docs
     else:
         shared = None
-        known = scanned.select("row", "id").join(discovered(scanned, patterns), "row").groupBy("id").agg(F.flatten(F.collect_list("found")).alias("__found"))
-        rows = docs.join(known.withColumnRenamed("id", "__id"), docs[id_col] == F.col("__id"), "left").drop("__id")
+        numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
+        known = _own_patterns(materialise(scan(numbered, "__row", text_col), "pii-scan"), patterns)
+        rows = numbered.join(known.withColumnRenamed("id", "__row"), "__row", "left").select(*columns, "__pats")
     names, schema = list(columns), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +273,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
                 text = t.as_py()
                 if text:
                     spans, more = base_spans(text)
-                    if more and shared is not None:
-                        spans = spans + list(_accepted(text, spans, shared.value))
-                    elif joined is not None:
-                        spans = spans + [(x["k"], x["s"], x["e"]) for x in joined[i] or () if x["e"] <= len(text)]
+                    if more:
+                        scores = shared.value if joined is None else {(x["pat"], x["k"]): x["score"] for x in joined[i] or ()}
+                        spans = spans + list(_accepted(text, spans, scores))
                     text = cover(text, spans) if spans else text
                 texts.append(text)
             cols = [pa.array(texts, pa.string()) if n == text_col else pa.array([None if t is None else len(t) for t in texts], b.schema.field(i).type) if n == chars_col else b.column(i) for i, n in enumerate(names)]

@@ -146,6 +146,18 @@ def test_pii_query(spark, sf):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
 
 
+def test_redaction_by_rows(spark, monkeypatch):
+    df, bad = pii_docs(spark)
+    text = df.where("doc_id = 100").first()["text"]
+    more = spark.createDataFrame([(None, text), (100, "x" * 10 + text), (100, "clean words " * 9)], "doc_id long, text string")
+    df = df.select("doc_id", "text").unionByName(more)
+    want = Counter(map(tuple, pii.redact(df, chars_col=None).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", -1)
+    got = Counter(map(tuple, pii.redact(df, chars_col=None).collect()))
+    assert got == want and got[(100, "clean words " * 9)] == 1
+    assert got[(None, text.replace(bad, "[CARD]"))] == 1 and got[(100, "x" * 10 + text.replace(bad, "[CARD]"))] == 1
+
+
 # --- 3 ---
 
 
