@@ -91,7 +91,7 @@ def rolling_key(ints: Column, seed: int = SEED) -> Column:
 
 
 def token_id(cps: Column) -> Column:
-    """BIGINT id of a token of up to three codepoints; null beyond (use encode_id there)."""
+    """BIGINT id of a token of up to three codepoints; null beyond (use token_hex there)."""
     short = F.aggregate(cps, F.lit(0).cast("long"), lambda x, c: F.shiftleft(x, DIGIT).bitwiseOR(c.cast("long") + 1))
     return F.when(F.size(cps) <= 3, short)
 
@@ -102,6 +102,33 @@ def token_of_id(ident: Column) -> Column:
     return F.transform(F.filter(digits, lambda d: d > 0), lambda d: (d - 1).cast("int"))
 
 
+def token_hex(cps: Column) -> Column:
+    """The id of a token of any length in hexadecimal, without leading zeros. Four digits of 21 bits are 21 of four."""
+    padded = F.concat(F.array_repeat(F.lit(-1), F.pmod(-F.size(cps), F.lit(4))), cps)
+    low = (1 << 40) - 1
+
+    def four(d: Column) -> Column:
+        pair = lambda i: F.shiftleft(F.get(d, i).cast("long") + 1, DIGIT).bitwiseOR(F.get(d, i + 1).cast("long") + 1)
+        high = F.shiftleft(pair(0), 2).bitwiseOR(F.shiftright(pair(2), 40))
+        return F.concat(F.lpad(F.hex(high), 11, "0"), F.lpad(F.hex(pair(2).bitwiseAND(F.lit(low))), 10, "0"))
+
+    groups = F.get(F.transform(F.array(padded), lambda p: F.transform(F.filter(p, lambda _, i: i % 4 == 0), lambda _, j: four(F.slice(p, 4 * j + 1, 4)))), F.lit(0))
+    return F.ltrim(F.array_join(groups, ""), F.lit("0"))
+
+
+def token_of_hex(ident: Column) -> Column:
+    """The codepoints of a token_hex id."""
+
+    def digits(h: Column) -> Column:
+        high, rest = (F.conv(F.substring(h, a, n), 16, 10).cast("long") for a, n in ((1, 11), (12, 10)))
+        mask = F.lit((1 << DIGIT) - 1)
+        third = F.shiftleft(high.bitwiseAND(F.lit(3)), 19).bitwiseOR(F.shiftright(rest, DIGIT))
+        return F.array(F.shiftright(high, 23), F.shiftright(high, 2).bitwiseAND(mask), third, rest.bitwiseAND(mask))
+
+    groups = F.regexp_extract_all(F.concat(F.repeat(F.lit("0"), F.pmod(-F.length(ident), F.lit(21))), ident), F.lit(".{21}"), F.lit(0))
+    return F.transform(F.filter(F.flatten(F.transform(groups, digits)), lambda d: d > 0), lambda d: (d - 1).cast("int"))
+
+
 def pack_column(ints: Column) -> Column:
     body = F.aggregate(ints, F.lit(0).cast("long"), lambda v, b: v * 256 + b.cast("long").bitwiseAND(F.lit(255).cast("long")))
     return F.when(F.size(ints) <= MAX_PACK, body * 256 + F.size(ints)).otherwise(F.raise_error(F.lit("Too long to pack")).cast("long"))

@@ -116,6 +116,14 @@ def token_ids(spark, sf_dir):
     return ids.withColumn("decoded", text.from_codepoints(codec.token_of_id(F.col("id"))))
 
 
+@query()
+def token_ids_all(spark, sf_dir):
+    """token_ids for tokens of any length: ids in hexadecimal."""
+    t = _words(spark, sf_dir).select(F.col("token_str").alias("token")).distinct()
+    ids = t.withColumn("id", codec.token_hex(text.codepoints(F.col("token"))))
+    return ids.withColumn("decoded", text.from_codepoints(codec.token_of_hex(F.col("id"))))
+
+
 @query(f"WITH {_W}, t AS (SELECT DISTINCT token_str AS token FROM w WHERE length(token_str) <= 5) SELECT token, list_reduce(list_transform(string_split(token, ''), lambda c: unicode(c)::BIGINT), lambda v, c: v * 256 + (c & 255), 0::BIGINT) * 256 + length(token) AS packed, length(token)::BIGINT AS n FROM t")
 def packed_ngrams(spark, sf_dir):
     t = _words(spark, sf_dir).where(F.length("token_str") <= 5).select(F.col("token_str").alias("token")).distinct()

@@ -204,6 +204,19 @@ def test_golden_section():
     assert not golden_section(0, 1, lambda x: x, max_iters=2).converged
 
 
+def test_ids_of_all_tokens(spark, sf):
+    from glyphloom.plans import catalog
+
+    toks = ["a", "ab", "abc", "abcd", "\x00\x00", "\U0010ffff" * 9, "été" * 300]
+    df = spark.createDataFrame([(t,) for t in toks], "t string").withColumn("h", codec.token_hex(text.codepoints(F.col("t"))))
+    for r in df.withColumn("back", codec.token_of_hex(F.col("h"))).collect():
+        cps = [ord(c) for c in r["t"]]
+        assert r["h"] == f"{codec.encode_id(cps):X}" and r["back"] == cps
+    got = catalog.QUERIES["token_ids_all"](spark, sf).collect()
+    assert max(len(r["token"]) for r in got) > 3
+    assert all(r["decoded"] == r["token"] and int(r["id"], 16) == codec.encode_id([ord(c) for c in r["token"]]) for r in got)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
     assert rows(metrics.space_boundaries(df), "at") == [(2,), (3,)]
