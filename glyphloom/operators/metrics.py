@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round_significant
@@ -46,17 +46,36 @@ def boundary_f1(found: DataFrame, truth: DataFrame) -> DataFrame:
     return got.select("*", d(F.col("n_both"), F.col("n_found")).alias("precision"), d(F.col("n_both"), F.col("n_truth")).alias("recall"), d(2 * F.col("n_both"), F.col("n_found") + F.col("n_truth")).alias("f1"))
 
 
-def continuity(tokens: DataFrame, token_col: str = "token_str", longest: int = 64) -> DataFrame:
+#: Prefixes of up to so many codepoints are compared as they are, longer ones by digests of blocks of as many.
+BLOCK = 64
+
+
+def _prefix_keys(tok: Column, first: Column, last: Column) -> Column:
+    """The keys of the prefixes of first..last codepoints, equal if the prefixes are.
+
+    Beyond BLOCK: the chained SHA-256 of the whole blocks, then the rest of up to BLOCK codepoints. Such keys are longer
+    than any short one, and a token costs time in proportion to its length.
+    """
+    at = lambda n: F.floor((n - 1) / BLOCK).cast("int")
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), at(F.length(tok))), lambda j: F.substring(tok, j * BLOCK + 1, F.lit(BLOCK)))
+    chain = lambda b: F.aggregate(b, F.array(F.lit("")), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x), 256))))
+    long = lambda b, c, n: F.concat(F.get(c, at(n)), F.lit(":"), F.substring(F.get(b, at(n)), F.lit(1), n - at(n) * BLOCK))
+    key = lambda b, c, n: F.when(n <= BLOCK, F.substring(F.get(b, F.lit(0)), F.lit(1), n)).otherwise(long(b, c, n))
+    return let(blocks, lambda b: let(chain(b), lambda c: F.transform(F.sequence(first, last), lambda n: key(b, c, n))))
+
+
+def continuity(tokens: DataFrame, token_col: str = "token_str") -> DataFrame:
     """(n_tokens, n_continued, continuity): share of a stream's emitted tokens that are a proper prefix of a longer one emitted later.
 
-    Each token puts forward its proper prefixes of up to ``longest`` codepoints with its last position, so the
-    prefix test is a hash join; tokens longer than that are compared by their prefixes' prefixes all the same.
+    Each token puts forward the keys of all its proper prefixes with its last position, so the prefix test is a hash join.
     """
     rows = tokens.where(F.length(token_col) > 0).select("stream_key", "tok_pos", F.col(token_col).alias("tok"))
     last = rows.groupBy("stream_key", "tok").agg(F.max("tok_pos").alias("last"))
-    cut = F.transform(F.sequence(F.lit(1), F.least(F.length("tok") - 1, F.lit(longest))), lambda n: F.substring(F.col("tok"), F.lit(1), n))
+    cut = _prefix_keys(F.col("tok"), F.lit(1), F.length("tok") - 1)
     heads = last.where(F.length("tok") > 1).select("stream_key", "last", F.explode(cut).alias("tok")).groupBy("stream_key", "tok").agg(F.max("last").alias("later"))
-    got = rows.join(heads, ["stream_key", "tok"], "left").agg(F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum((F.col("later") > F.col("tok_pos")).cast("long")), F.lit(0)).alias("n_continued"))
+    whole = F.when(F.length("tok") <= BLOCK, F.col("tok")).otherwise(F.get(_prefix_keys(F.col("tok"), F.length("tok"), F.length("tok")), F.lit(0)))
+    got = rows.withColumn("tok", whole).join(heads, ["stream_key", "tok"], "left").agg(F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum((F.col("later") > F.col("tok_pos")).cast("long")), F.lit(0)).alias("n_continued"))
     return got.withColumn("continuity", F.try_divide(F.col("n_continued").cast("double"), F.col("n_tokens").cast("double")))
 
 

@@ -230,6 +230,15 @@ def test_metrics(spark):
     assert (empty["codepoints_in"], empty["tokens_out"], empty["compression_ratio"]) == (0, 0, None)
 
 
+def test_continuity_of_long_tokens(spark):
+    base = "".join(chr(97 + i * i % 23) for i in range(400))
+    toks = [base[:n] for n in (64, 65, 128, 129, 200)] + [base[:199] + "#", base[:64], base[:130], "é" * 70, "é" * 71, base, base[1:150]]
+    c = spark.createDataFrame([(1, i, t) for i, t in enumerate(toks)], "stream_key long, tok_pos long, token_str string")
+    want = sum(any(len(u) > len(t) and u.startswith(t) for u in toks[i + 1 :]) for i, t in enumerate(toks))
+    got = metrics.continuity(c).first()
+    assert (got["n_tokens"], got["n_continued"]) == (len(toks), want)
+
+
 def test_running_markov_is_the_kernels(spark):
     from glyphloom.operators.kernel import MarkovStats
 
