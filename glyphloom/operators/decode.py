@@ -98,13 +98,15 @@ def decode_text(lattice: Lattice, text: str) -> list[str]:
     return lattice.segment(text)[0]
 
 
-def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text", longest: int = 32) -> DataFrame:
+def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, pos, token): every place where a token of the vocabulary (token) begins; a hash join on substrings, no trie.
 
-    ``longest`` bounds the tokens that are looked for; the vocabulary's longer ones go unnoticed.
+    Substrings are cut at the lengths that occur in the vocabulary.
     """
     t = F.col(text_col)
     at = F.explode(F.sequence(F.lit(1), F.length(t))).alias("spot")
+    sizes = vocabulary.agg(F.collect_set(F.length("token")).alias("sizes"))
     spots = rows.where(F.length(t) > 0).select(F.col(key_col).alias("id"), t.alias("text"), at)
-    cut = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("spot") + 1)), lambda n: F.substring(F.col("text"), F.col("spot"), n))
-    return spots.select("id", (F.col("spot") - 1).alias("pos"), F.explode(cut).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_semi").select("id", "pos", "token")
+    fit = F.filter("sizes", lambda n: (n > 0) & (n <= F.length("text") - F.col("spot") + 1))
+    cut = F.transform(fit, lambda n: F.substring(F.col("text"), F.col("spot"), n))
+    return spots.join(F.broadcast(sizes)).select("id", (F.col("spot") - 1).alias("pos"), F.explode(cut).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_semi").select("id", "pos", "token")

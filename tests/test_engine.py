@@ -198,6 +198,14 @@ def test_decode_against_brute_force(t):
     assert "".join(lat.segment(t)[0]) == t
 
 
+def test_prefixes_of_any_length(spark):
+    long = "x" * 20 + "y" * 30
+    docs = spark.createDataFrame([(1, f"a {long} b"), (2, "x" * 9), (3, None)], "item_id long, text string")
+    vocabulary = spark.createDataFrame([(long,), (long[:40],), ("b",), ("",), (None,), ("b",)], "token string")
+    assert rows(decode.prefixes(docs, vocabulary), "id", "pos", "token") == [(1, 2, long[:40]), (1, 2, long), (1, 53, "b")]
+    assert decode.prefixes(docs, vocabulary.limit(0)).count() == 0
+
+
 def test_golden_section():
     m = golden_section(0.01, 2.0, lambda x: (x - 0.7) ** 2)
     assert m.converged and abs(m.x - 0.7) < 1e-3 and m.iters < 60
