@@ -221,7 +221,7 @@ def banded(need: np.ndarray, cps: np.ndarray, starts: np.ndarray, w: int, low: i
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").orderBy("id", "text")
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").orderBy("id", "text")
     part, size = [], 0
     for r in rows.toLocalIterator():
         part.append((r["id"], r["text"]))
@@ -238,7 +238,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     start and end bound all such stretches in code points of the text. Null and empty texts hold nothing. Items are
     taken in blocks of BLOCK_CHARS characters, each searched in all documents; an item id that occurs twice is reported
-    for each of its texts. Documents do not move.
+    for each of its texts, and one that is null as null. Documents do not move.
     """
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_id]
     schema = f"id {kind}, item_id {item_kind}, edits long, start long, end long"

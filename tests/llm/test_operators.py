@@ -214,6 +214,14 @@ def test_leaks_in_documents(spark):
         decontam.BLOCK_CHARS = was
 
 
+def test_items_without_id(spark):
+    item = "Seventeen curious badgers watch in silence while the quick brown fox jumps over a lazy dog on the hill"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find_leaks(docs, bench).collect()] == [(1, None, 0)]
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [2]
+
+
 def test_decontamination_query(spark, sf):
     sq = lambda t: "".join(c for c in t.lower() if c.isalnum())
     bench = [(r["item_id"], sq(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
