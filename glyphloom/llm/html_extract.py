@@ -1,9 +1,11 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks. A small linear classifier over tags, class names, text length and
-links gives each block a cost for either label; these are the capacities to the two terminals. Blocks
-next to each other on the page, and successive blocks below the same parent, are tied by smoothness
-edges, weaker the further apart they are in the tree. The minimum cut is the cheapest labelling.
+A page becomes a row of text blocks. A small linear classifier over elements, class names, text length and
+links gives each block log-odds for being main text, bounded by MOST; these are the capacities to the two
+terminals. Blocks next to each other on the page, and successive blocks below the same parent, are tied by
+smoothness edges of like size, weaker the further apart they are in the tree and where only one of them bears marks
+of the page's frame or is mostly links. Maximum flow finds the cheapest labelling: a block of doubtful
+looks goes with its neighbours, one that clearly differs from them does not.
 """
 
 from __future__ import annotations
@@ -31,57 +33,109 @@ _BOUNDARY = frozenset("ul ol dl table article section div main body aside nav he
 #: Elements that hold the main text, the surest highest: blocks below the surest that a page has count as inside.
 _CONTENT_TAGS = {"article": 2, "main": 1}
 _FRAME_TAGS = frozenset("nav footer aside form button select menu dialog fieldset datalist".split())
-#: Words in class names, ids and roles that speak against a block.
+#: Words in class names, ids and roles that speak against a block, by their share of a name's words.
 _FRAME_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion share sharing social related recommended widget toolbar pagination pager search complementary contentinfo disclaimer skip".split()
 )
 _HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Words that say nothing either way.
+_NEUTRAL_WORDS = frozenset("box block wrapper wrap container inner outer unit item items list area section slot top bottom left right bar panel site page global primary secondary links buttons icons".split())
 #: Words that speak for a block, a little.
 _CONTENT_WORDS = frozenset("article post story entry content text body".split())
 _COMMENT_WORDS = frozenset("comment comments respond reply replies discussion disqus commentlist".split())
-#: Weights of the classifier: positive for main text.
-W_ARTICLE, W_OUTSIDE, W_FRAME, W_HINT, W_LINKS, W_WORDS, W_BIAS = 12.0, -8.0, -40.0, 2.0, -3.0, 0.08, -0.4
-#: Smoothness: of neighbours, of successive blocks of one parent; both fall with the distance in the tree.
-S_NEXT, S_SIBLING, S_FALL = 0.6, 0.5, 0.7
+#: Share that a name with a word for reader comments counts with at least.
+_COMMENT_SHARE = 0.8
+#: Weights of the classifier: positive for main text. W_CLASS is for names that are nothing but frame words; the square of the share of such words takes from it.
+W_ARTICLE, W_OUTSIDE, W_FRAME, W_CLASS, W_HINT, W_LINKS, W_SENTENCE, W_BIAS = 1.5, -2.5, -6.0, -5.0, 1.0, -2.5, 0.5, -0.4
+#: For each word up to so many.
+W_WORD, WORDS = 0.08, 20
+#: Bound of the log-odds.
+MOST = 3.0
+#: Smoothness: of neighbours, of successive blocks of one parent; the former falls with the distance in the tree, both where marks differ.
+S_NEXT, S_SIBLING, S_FALL, S_UNLIKE = 0.8, 0.6, 0.6, 0.3
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "frame", "article", "hint", "path")
+    """A run of text. ``share`` is the frame words' share in the worst name around it, ``parent`` the number of the
+    element around its own, ``depth`` how many block elements it stands in, ``common`` how many of them the block before it shares."""
 
-    def __init__(self, text: str, linked: int, frame: bool, article: int, hint: bool, path: tuple[int, ...]):
-        self.text, self.linked, self.frame, self.article, self.hint, self.path = text, linked, frame, article, hint, path
+    __slots__ = ("text", "words", "linked", "frame", "share", "article", "hint", "parent", "depth", "common")
+
+    def __init__(self, text: str, linked: int, top: "_Open", parent: int, depth: int, common: int):
+        self.text, self.linked, self.parent, self.depth, self.common = text, linked, parent, depth, common
+        self.frame, self.share, self.article, self.hint = top.frame, top.share, top.article, top.hint
         self.words = text.count(" ") + 1
 
 
+class _Open:
+    """An open element: what it passes on to those within, and where the nearest of some kinds lie on the stack."""
+
+    __slots__ = ("tag", "frame", "share", "article", "hint", "number", "parent", "p", "boundary", "inline")
+
+    def __init__(self, tag: str = "", frame: bool = False, share: float = 0.0, article: int = 0, hint: bool = False):
+        self.tag, self.frame, self.share, self.article, self.hint = tag, frame, share, article, hint
+        #: Numbers of the nearest block element and of the one around it; places of the nearest open p that no boundary
+        #: hides, of the nearest boundary, and of the first of the inline elements on top.
+        self.number = self.parent = 0
+        self.p = self.boundary = -1
+        self.inline = 0
+
+
+_ROOT = _Open()
+
+
+def _frame_share(value: str, in_article: bool) -> tuple[float, bool, set[str]]:
+    """(largest share of frame words in one of the names, whether some are for comments, all words)."""
+    share, comments, every = 0.0, False, set()
+    for name in value.split():
+        words = {t.lower() for t in _TOKEN.findall(name)}
+        every |= words
+        telling = words - _NEUTRAL_WORDS
+        bad = telling & _FRAME_WORDS | (set() if in_article else telling & _HEADER_WORDS) | telling & _COMMENT_WORDS
+        if bad:
+            said = telling & _COMMENT_WORDS
+            comments = comments or bool(said)
+            share = max(share, len(bad) / len(telling), _COMMENT_SHARE if said else 0.0)
+    return share, comments, every
+
+
 def blocks(page: str) -> tuple[list[Block], int]:
     """The page's text blocks in order, and the surest content element it has (2 article, 1 main, 0 none).
 
     Character references are decoded, white space within a block becomes one space. Comments, scripts, styles
     and the like are left out. Broken markup is read as far as it goes: unclosed elements end with their parents.
+    Time and memory are in proportion to the page, however deep it nests.
     """
     out: list[Block] = []
     has_article = 0
-    # element: (tag, frame, article, number, hint)
-    stack: list[tuple[str, bool, int, int, bool]] = []
-    serial = 0
+    stack: list[_Open] = []
+    #: Places on the stack of each tag's open elements.
+    open_at: dict[str, list[int]] = {}
+    serial = depth = low = 0
     run: list[str] = []
-    linked = 0
-    anchors = 0
+    linked = anchors = 0
 
     def flush() -> None:
-        nonlocal run, linked
+        nonlocal run, linked, low
         if run:
             text = " ".join(_html.unescape("".join(run)).split())
             if text:
-                top = stack[-1] if stack else ("", False, 0, 0, False)
-                out.append(Block(text, min(linked, len(text)), top[1], top[2], top[4], tuple(e[3] for e in stack if e[0] not in _INLINE)))
+                top = stack[-1] if stack else _ROOT
+                out.append(Block(text, min(linked, len(text)), top, top.parent, depth, min(low, depth)))
+                low = depth
         run, linked = [], 0
 
     def pop(k: int) -> None:
-        nonlocal anchors
+        nonlocal anchors, depth, low
         for e in stack[k:]:
-            anchors -= e[0] == "a"
+            open_at[e.tag].pop()
+            anchors -= e.tag == "a"
+            depth -= e.tag not in _INLINE
         del stack[k:]
+        low = min(low, depth)
+
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
 
     i, n = 0, len(page)
     while i < n:
@@ -116,17 +170,15 @@ def blocks(page: str) -> tuple[list[Block], int]:
         tag = name.group().lower()
         i = end
         if closing:
-            if tag == "p" and not any(e[0] == "p" for e in stack) or tag == "br":
+            k = nearest((tag,))
+            if tag == "br" or tag == "p" and k < 0:
                 flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in _INLINE:
-                        flush()
+            elif tag in _INLINE:
+                if k >= 0 and k >= stack[-1].inline:
                     pop(k)
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
+            elif k >= 0:
+                flush()
+                pop(k)
             continue
         if tag in _RAW:
             if page[end - 2 : end] == "/>" and tag == "svg":
@@ -143,90 +195,90 @@ def blocks(page: str) -> tuple[list[Block], int]:
             continue
         if tag in _INLINE:
             if tag == "a":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "a":
-                        pop(k)
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
+                k = nearest(("a",))
+                if k >= 0 and k >= stack[-1].inline:
+                    pop(k)
         else:
             flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and not any(e[0] in _BOUNDARY for e in stack[k:]):
+            if stack and stack[-1].p >= 0:
+                pop(stack[-1].p)
+            k = nearest(_CLOSES.get(tag, ()))
+            if k >= 0 and k > stack[-1].boundary:
                 pop(k)
-            shuts = _CLOSES.get(tag)
-            if shuts:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shuts:
-                        pop(k)
-                        break
-                    if stack[k][0] in _BOUNDARY:
-                        break
         if tag in _VOID or page[end - 2 : end] == "/>" and tag not in _INLINE and tag not in _BOUNDARY and tag != "p":
             continue
-        up = stack[-1] if stack else ("", False, 0, 0, False)
-        frame, article, hint = up[1], up[2], up[4]
-        if tag in _FRAME_TAGS or tag == "header" and not article:
-            frame = True
+        up = stack[-1] if stack else _ROOT
+        e = _Open(tag, up.frame, up.share, up.article, up.hint)
+        if tag in _FRAME_TAGS or tag == "header" and not e.article:
+            e.frame = True
         if tag not in ("html", "body"):
             attrs = page[name.end() : end]
             if "=" in attrs:
-                hints = {t.lower() for m in _HINT.finditer(attrs) for t in _TOKEN.findall(m[1] or m[2] or m[3] or "")}
-                if hints & _COMMENT_WORDS:
-                    frame = True
-                elif hints & _FRAME_WORDS and tag not in _CONTENT_TAGS:
-                    frame = True
-                elif hints & _HEADER_WORDS and not article and not hints & _CONTENT_WORDS and tag not in _CONTENT_TAGS:
-                    frame = True
-                elif "main" in hints and not frame:
-                    article = max(article, 1)
-                hint = hint or bool(hints & _CONTENT_WORDS)
-        if tag in _CONTENT_TAGS and not frame:
-            article = max(article, _CONTENT_TAGS[tag])
-        if not frame:
-            has_article = max(has_article, article)
-        serial += 1
-        stack.append((tag, frame, article, serial, hint))
+                for m in _HINT.finditer(attrs):
+                    share, comments, words = _frame_share(m[1] or m[2] or m[3] or "", bool(e.article))
+                    if comments or tag not in _CONTENT_TAGS:
+                        e.share = max(e.share, share)
+                    if "main" in words and not e.frame and e.share < 1:
+                        e.article = max(e.article, 1)
+                    e.hint = e.hint or bool(words & _CONTENT_WORDS)
+        framed = e.frame or e.share >= _COMMENT_SHARE
+        if tag in _CONTENT_TAGS and not framed:
+            e.article = max(e.article, _CONTENT_TAGS[tag])
+        if not framed:
+            has_article = max(has_article, e.article)
+        here = len(stack)
+        e.p, e.boundary, e.inline, e.number, e.parent = up.p, up.boundary, up.inline, up.number, up.parent
+        if tag not in _INLINE:
+            serial += 1
+            e.inline, e.number, e.parent = here + 1, serial, up.number
+            depth += 1
+        if tag == "p":
+            e.p = here
+        elif tag in _BOUNDARY:
+            e.p, e.boundary = -1, here
+        stack.append(e)
+        open_at.setdefault(tag, []).append(here)
         anchors += tag == "a"
     flush()
     return out, has_article
 
 
 def unary(b: Block, has_article: int) -> float:
-    """The classifier: how much labelling the block as boilerplate costs more than labelling it as main text."""
-    score = W_BIAS + W_WORDS * min(b.words, 60) + W_LINKS * b.linked / len(b.text)
+    """The classifier: log-odds of main text, from -MOST to MOST."""
+    score = W_BIAS + W_WORD * min(b.words, WORDS) + W_LINKS * b.linked / len(b.text) + W_CLASS * b.share**2
     if b.frame:
         score += W_FRAME
-    if has_article:
-        return score + (W_ARTICLE if b.article == has_article else W_OUTSIDE)
     if b.hint:
         score += W_HINT
     if b.text[-1:] in ".!?:;\"'":
-        score += 0.5
-    return score
+        score += W_SENTENCE
+    if has_article:
+        # What tells text from boilerplate elsewhere says little within the element that is there for the text.
+        score = max(score, b.frame * W_FRAME + W_CLASS * b.share**2) + W_ARTICLE if b.article == has_article else score + W_OUTSIDE
+    return max(-MOST, min(MOST, score))
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours on the page, and successive blocks of one parent."""
     out = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(bs):
-        parent = b.path[:-1]
         if i:
-            a = bs[i - 1].path
-            same = 0
-            for x, y in zip(a, b.path):  # noqa: B905
-                if x != y:
-                    break
-                same += 1
-            out.append((i - 1, i, S_NEXT * S_FALL ** max(0, len(a) + len(b.path) - 2 * same - 2)))
-        j = last.get(parent)
+            a = bs[i - 1]
+            apart = max(0, a.depth + b.depth - 2 * min(b.common, a.depth) - 2)
+            out.append((i - 1, i, S_NEXT * S_FALL**apart * _alike(a, b)))
+        j = last.get(b.parent)
         if j is not None:
-            out.append((j, i, S_SIBLING))
-        last[parent] = i
+            out.append((j, i, S_SIBLING * _alike(bs[j], b)))
+        last[b.parent] = i
     return out
 
 
+def _alike(a: Block, b: Block) -> float:
+    links = (2 * a.linked > len(a.text)) == (2 * b.linked > len(b.text))
+    return 1.0 if links and a.frame == b.frame and a.share == b.share else S_UNLIKE
+
+
 def minimum_cut(costs: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """The labels (True: main) of least sum of max(0, cost) of blocks labelled False, max(0, -cost) of those
     labelled True, and the ties between unlike labels.
@@ -262,33 +314,41 @@ def minimum_cut(costs: list[float], ties: list[tuple[int, int, float]]) -> list[
 
 
 def _source_side(nodes: list[int], cost: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Shortest augmenting paths; the nodes that the source still reaches."""
-    s, t = -1, -2
-    left: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes} | {s: {}, t: {}}
-    for i in nodes:
-        if cost[i] > 0:
-            left[s][i], left[i][s] = cost[i], 0.0
-        elif cost[i] < 0:
-            left[i][t], left[t][i] = -cost[i], 0.0
-    while True:
-        came = {s: s}
-        queue = deque([s])
-        while queue and t not in came:
-            x = queue.popleft()
-            for y, w in left[x].items():
-                if w > 1e-12 and y not in came:
-                    came[y] = x
-                    queue.append(y)
-        if t not in came:
-            return set(came) - {s}
-        path, y = [], t
-        while y != s:
-            path.append((came[y], y))
-            y = came[y]
-        flow = min(left[x][y] for x, y in path)
-        for x, y in path:
-            left[x][y] -= flow
-            left[y][x] = left[y].get(x, 0.0) + flow
+    """Maximum flow from the nodes of positive to those of negative cost; the nodes that the source still reaches.
+
+    Each node sends off its cost along shortest paths to nodes that still take some. Where a search ends without one,
+    all it has met is cut off from the sink for good: no later path can lead through, so nothing is searched in vain twice.
+    """
+    left = {i: dict(near[i]) for i in nodes}
+    room = {i: max(0.0, -cost[i]) for i in nodes}
+    main: set[int] = set()
+    for start in nodes:
+        give = cost[start]
+        while give > 1e-12 and start not in main:
+            came, queue, end = {start: start}, deque([start]), None
+            while queue and end is None:
+                x = queue.popleft()
+                for y, w in left[x].items():
+                    if w > 1e-12 and y not in came and y not in main:
+                        came[y] = x
+                        if room[y] > 1e-12:
+                            end = y
+                            break
+                        queue.append(y)
+            if end is None:
+                main.update(came)
+                break
+            path, y = [], end
+            while y != start:
+                path.append((came[y], y))
+                y = came[y]
+            flow = min(give, room[end], min(left[x][y] for x, y in path))
+            for x, y in path:
+                left[x][y] -= flow
+                left[y][x] += flow
+            room[end] -= flow
+            give -= flow
+    return main
 
 
 def main_text(page: str | None) -> str:
@@ -301,7 +361,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) for every row of pages. Null ids and urls pass through; equal rows give equal rows."""
+    """(id, url, text, n_chars) for every row of pages. Null ids and urls pass through; equal rows give equal rows.
+
+    Null, empty and textless pages have an empty text of 0 characters; an empty table gives an empty result. Other
+    columns of pages are left out, so their names cannot clash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

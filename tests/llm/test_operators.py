@@ -261,6 +261,41 @@ def test_main_text_layouts():
     assert html_extract.main_text(f"<div role=banner>{long}</div><div role='main'><p>Short</p></div><div role=contentinfo>{long}</div>") == "Short"
 
 
+def test_the_cut_overrules_the_classifier(monkeypatch):
+    flows = []
+    flow = html_extract._source_side
+    monkeypatch.setattr(html_extract, "_source_side", lambda *a: flows.append(a) or flow(*a))
+    some = "Ten words of text that say something about the matter"
+    pages = {  # what the classifier turns down among text stays, what it takes among boilerplate goes
+        f"<body><div><p>{some}.</p><p>Aside</p><p>{some}.</p><p>Two words</p><p>{some}.</p></div></body>": ("Aside", True),
+        f"<body><div><p>{some}.</p><h2>Heading</h2><p>{some}.</p></div><ul class=menu><li><a href=1>one</a><li><a href=2>two</a></ul></body>": ("Heading", True),
+        "<body><div><p>Home</p><p>Login</p><p>Search now.</p><p>Terms</p><p>Imprint</p></div></body>": ("Search now.", False),
+    }
+    for page, (text, kept) in pages.items():
+        bs, has = html_extract.blocks(page)
+        alone = {b.text: html_extract.unary(b, has) > 0 for b in bs}
+        flows.clear()
+        assert alone[text] != kept and (text in html_extract.main_text(page)) == kept and flows
+        costs, ties = [html_extract.unary(b, has) for b in bs], html_extract.edges(bs)
+        assert all(abs(c) <= html_extract.MOST for c in costs) and max(w for *_, w in ties) > min(map(abs, costs))
+
+
+def test_names_are_weak_evidence():
+    short, long = "He was born at sea.", "His family had moved there some years before, when the harbour was being built, and stayed."
+    for page in (f'<article><section id="social-history"><p>{short}</p><p>{long}</p></section></article>', f'<article><div class="share-price"><p>{long}</p></div></article>', f'<div class="related-work"><p>{long}</p><p>{long}</p></div>'):
+        assert html_extract.main_text(page) == re.sub(" +", " ", re.sub("<[^>]*>", " ", page)).strip()
+    assert html_extract.main_text(f'<article><p>{long}</p><div class="ad-banner"><p>{long}</p></div><p>{short}</p></article>') == f"{long} {short}"
+
+
+def test_html_takes_time_and_memory_in_proportion():
+    import time
+
+    begin = time.perf_counter()
+    for page in ("<div>x" * 60_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<p><table>" + "<div>x" * 40_000, "<ul><li>" * 40_000 + "x", ("<p>" + "word " * 25 + ".</p><p>one</p>" * 3) * 20_000):
+        html_extract.main_text(page)
+    assert time.perf_counter() - begin < 20
+
+
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=9), st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.floats(0, 4)), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_minimum_cut_is_minimal(costs, ties):
