@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,13 +14,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, one of our own where it is unset.
+
+    On a cluster every machine would write to a disk of its own, so there an unset folder is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="glyphloom-")
@@ -28,7 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/glyphloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. It is deleted by discard(), by release(), or when the program ends."""
+    path = f"{shared_dir(spark)}/glyphloom/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +46,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        spark = _written.pop(path, None)
+        if spark is None:
+            continue
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended: what is left goes with the shared folder
+            pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for these; nothing that reads them may be left to run."""
+    _delete([t.written_at for t in tables if hasattr(t, "written_at")])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the session. Results that were not written or collected yet are lost with them."""
+    _delete([p for p, s in _written.items() if s is spark])
+
+
+@atexit.register
+def _release_all() -> None:
+    _delete(list(_written))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

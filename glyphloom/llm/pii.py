@@ -2,14 +2,16 @@
 
 Seeds are what strict rules find: e-mail addresses, IP addresses, payment cards, phone numbers. The words
 around the seeds are lexical patterns. Spark scores the graph of patterns and instances in rounds: a
-pattern is as good as the share of trusted ones among the instances it holds, an unseen instance as
-trusted as its patterns together make it. In the end the high-confidence patterns take in look-alikes that
+pattern is as good as the share of trust in the instances it holds, an unseen instance as trusted as its
+patterns together make it, and so one pattern's finds support the next. In the end the high-confidence patterns take in look-alikes that
 the strict rules turned down (a wrong check digit, a missing plus, no top-level domain).
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,16 +19,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern counts from so many trusted instances on, and with such a share of them (one more is added to what it holds).
-LEAST_SEEDS, PATTERN_SCORE = 5, 0.8
+#: Rounds at most; they end when a round changes no pattern.
+ROUNDS = 6
+#: A pattern counts from so much trust among its instances on (a seed is worth 1, others their confidence), and with such a
+#: share of it (one more is added to what it holds).
+LEAST_TRUST, PATTERN_SCORE = 5, 0.8
 #: An unseen instance is taken in from this confidence on.
 ACCEPT = 0.8
-#: Up to so many patterns (some 100 bytes each) are sent to the tasks that redact; beyond, each row gets its own.
+#: Confidences and their logarithms are whole numbers of 1 / UNIT: sums do not depend on their order.
+UNIT = 1 << 20
+#: Up to so many patterns (some 100 bytes each) are sent to the tasks; beyond, they are joined by shuffle.
 BROADCAST_PATTERNS = 100_000
+#: Copies of each pattern in such a join, so that one which a third of all mentions share does not end in one task.
+SALTS = 16
+#: A word of more characters than this is no context of its own: all such are one and the same.
+LONG_WORD = 40
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -35,7 +45,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CHAIN = re.compile(r"(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9]){6,}+")
 _IP_LIKE = re.compile(r"[0-9]++(?:\.[0-9]++){3,}")
 _DIGIT = re.compile(r"[0-9]")
-_CONTEXT = 80
+#: What an e-mail look-alike is made of on either side of its @.
+_PIECE = re.compile(r"""[^\s@,;:<>()\[\]{}"'|]+""")
 
 
 def luhn(digits: str) -> bool:
@@ -85,24 +96,28 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], bool]:
 
 
 def look_alikes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, tuple[int, ...]]]:
-    """(start, end, kinds it may be) of identifier-like runs outside the base spans."""
-    taken = sorted((s, e) for _, s, e in base)
+    """(start, end, kinds it may be) of identifier-like runs outside the base spans, whole however long they are."""
+    first, last = [], []  # the base spans' union
+    for s, e in sorted((s, e) for _, s, e in base):
+        if last and s <= last[-1]:
+            last[-1] = max(last[-1], e)
+        else:
+            first.append(s)
+            last.append(e)
     out = []
 
     def free(s: int, e: int) -> bool:
-        return all(e <= a or b <= s for a, b in taken)
-
-    at, last = text.find("@"), 0
-    while at >= 0:
-        s, e = at, at + 1
-        while s > last and at - s < 64 and not text[s - 1].isspace() and text[s - 1] != "@":
-            s -= 1
-        while e < len(text) and e - at < 64 and not text[e].isspace() and text[e] != "@":
-            e += 1
-        if s < at and e > at + 1 and free(s, e):
-            out.append((s, e, (0,)))
-        last = e
-        at = text.find("@", at + 1)
+        at = bisect_right(last, s)
+        return at == len(first) or e <= first[at]
+
+    at, before = text.find("@"), None
+    if at >= 0:
+        for m in _PIECE.finditer(text):
+            if before is not None and text[m.start() - 1] == "@" and before.end() == m.start() - 1 and free(before.start(), m.end()):
+                out.append((before.start(), m.end(), (0,)))
+                before = None
+            else:
+                before = m
     for m in _CHAIN.finditer(text):
         s, e = m.span()
         n = len(_DIGIT.findall(m.group()))
@@ -112,18 +127,43 @@ def look_alikes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _shape(text: str, s: int, e: int) -> str:
+    return "..." if e - s > LONG_WORD else _DIGIT.sub("0", text[s:e].lower())
+
+
 def context(text: str, s: int, e: int) -> list[str]:
-    """The lexical patterns of a mention: two words before it, one on either side."""
-    shape = lambda w: _DIGIT.sub("0", w.lower())
-    left = [shape(w) for w in text[max(0, s - _CONTEXT) : s].split()[-2:]]
-    right = [shape(w) for w in text[e : e + _CONTEXT].split()[:1]]
+    """The lexical patterns of a mention: two words before it, one on either side, one before it.
+
+    Words are whole, in lower case, digits as 0; what is glued to the mention counts as a word. All words of more than
+    LONG_WORD characters are one, and nothing is looked for beyond such a word, so a mention costs bounded time.
+    """
+    left: list[str] = []
+    at = s
+    while len(left) < 2:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        b = at
+        while b > 0 and at - b <= LONG_WORD and not text[b - 1].isspace():
+            b -= 1
+        if b == at:
+            break
+        left.append(_shape(text, b, at))
+        if at - b > LONG_WORD:
+            break
+        at = b
+    at = e
+    while at < len(text) and text[at].isspace():
+        at += 1
+    b = at
+    while b < len(text) and b - at <= LONG_WORD and not text[b].isspace():
+        b += 1
     out = []
     if len(left) == 2:
-        out.append("l2 " + " ".join(left))
-    if left and right:
-        out.append(f"lr {left[-1]} {right[0]}")
+        out.append(f"l2 {left[1]} {left[0]}")
+    if left and b > at:
+        out.append(f"lr {left[0]} {_shape(text, at, b)}")
     if left:
-        out.append("l1 " + left[-1])
+        out.append("l1 " + left[0])
     return out
 
 
@@ -166,39 +206,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _together(score: Column) -> Column:
-    """1 - product of (1 - score): the confidence that independent patterns give together."""
-    return 1 - F.exp(F.sum(F.log(F.greatest(1 - score, F.lit(1e-9)))))
+def _enough(accept: float) -> int:
+    """The doubt, in units of its logarithm, that makes a confidence of ``accept``."""
+    return round(-math.log(1 - accept) * UNIT)
 
 
 def pattern_scores(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pat, k, score) of the patterns that reach PATTERN_SCORE after some rounds over the pattern-instance graph.
+    """(pat, k, score, doubt) of the patterns that reach PATTERN_SCORE after some rounds over the pattern-instance graph.
 
     The graph has one edge for each distinct pattern, instance and kind, however often they meet; scores are sums
-    with partial aggregation on either side, so a frequent word or address is no hot key. Seeds stay at 1.
+    with partial aggregation on either side. Seeds stay at 1; an instance that no rule finds has the confidence
+    1 - product of (1 - score) over the accepted patterns that hold it, and counts with that towards other patterns in
+    the next round. So trust spreads from pattern to pattern, until a round changes nothing or ``rounds`` are done.
+    ``doubt`` is -ln(1 - score) in units of 1 / UNIT; such numbers add up exactly.
     """
     m = scanned.select(F.explode("mentions").alias("m")).select("m.*")
     edges = m.select(F.explode("kinds").alias("k"), "inst", "seed", "pats").select("k", "inst", "seed", F.explode("pats").alias("pat"))
     edges = edges.groupBy("pat", "inst", "k").agg(F.max(F.col("seed") == F.col("k")).alias("seed"))
     edges = materialise(edges, "pii-edges")
-    trusted = None
+    trusted, score, state = None, None, None
+    whole = F.lit(UNIT).cast("long")
     for n in range(rounds):
-        conf = F.when(F.col("seed"), 1.0).otherwise(F.lit(0.0) if trusted is None else F.coalesce("conf", F.lit(0.0)))
+        conf = F.when(F.col("seed"), whole).otherwise(F.lit(0).cast("long") if trusted is None else F.coalesce("conf", F.lit(0).cast("long")))
         held = edges if trusted is None else edges.join(trusted, ["inst", "k"], "left")
-        score = held.groupBy("pat", "k").agg(F.sum(conf).alias("good"), F.count(F.lit(1)).alias("all"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        score = score.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("good") / (F.col("all") + 1) >= PATTERN_SCORE)).select("pat", "k", (F.col("good") / (F.col("all") + 1)).alias("score"))
-        score = materialise(score, f"pii-patterns-{n}")
+        rate = held.groupBy("pat", "k").agg(F.sum(conf).alias("good"), F.count(F.lit(1)).alias("all")).where(F.col("good") >= LEAST_TRUST * UNIT)
+        rate = rate.select("pat", "k", (F.col("good") / ((F.col("all") + 1) * UNIT)).alias("score")).where(F.col("score") >= PATTERN_SCORE)
+        older = score
+        score = materialise(rate.withColumn("doubt", F.round(-F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))) * UNIT).cast("long")), f"pii-patterns-{n}")
+        if older is not None:
+            discard(older)
+        was, state = state, score.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pat", "k", "doubt").cast("decimal(20,0)"))).first()
+        if state == was or not state[0]:
+            break
         if n + 1 < rounds:
-            trusted = edges.where("not seed").join(score, ["pat", "k"]).groupBy("inst", "k").agg(_together(F.col("score")).alias("conf"))
+            doubt = _with_patterns(edges.where("not seed"), score, "inst").groupBy("inst", "k").agg(F.sum("doubt").alias("doubt"))
+            trusted = doubt.select("inst", "k", F.floor((1 - F.exp(-F.col("doubt") / UNIT)) * UNIT).cast("long").alias("conf"))
+    discard(edges)
     return score
 
 
+def _with_patterns(rows: DataFrame, patterns: DataFrame, by: str) -> DataFrame:
+    """rows (pat, k) joined with the patterns: sent to the tasks if their number allows, else salted by ``by``."""
+    if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+        return rows.join(F.broadcast(patterns), ["pat", "k"])
+    salted = patterns.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, ["pat", "k", "__salt"]).drop("__salt")
+
+
 def discovered(scanned: DataFrame, patterns: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(row, found: spans) of the look-alikes that the patterns take in; of several kinds the most trusted, then the first."""
     m = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*").where("seed < 0")
     m = m.select("row", "s", "e", "pats", F.explode("kinds").alias("k")).select("row", "s", "e", "k", F.explode("pats").alias("pat"))
-    conf = m.join(patterns, ["pat", "k"]).groupBy("row", "s", "e", "k").agg(_together(F.col("score")).alias("conf")).where(F.col("conf") >= accept)
-    best = conf.groupBy("row", "s", "e").agg(F.max(F.struct("conf", -F.col("k"))).alias("b")).select("row", (-F.col("b")["col2"]).cast("int").alias("k"), "s", "e")
+    conf = _with_patterns(m, patterns, "row").groupBy("row", "s", "e", "k").agg(F.sum("doubt").alias("doubt")).where(F.col("doubt") >= _enough(accept))
+    best = conf.groupBy("row", "s", "e").agg(F.max(F.struct("doubt", -F.col("k"))).alias("b")).select("row", (-F.col("b")["col2"]).cast("int").alias("k"), "s", "e")
     return best.groupBy("row").agg(F.collect_list(F.struct("k", "s", "e")).alias("found"))
 
 
@@ -206,7 +266,7 @@ def _own_patterns(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, __pats): the patterns that the look-alikes of each scanned row stand in."""
     m = scanned.select("id", F.explode("mentions").alias("m")).select("id", "m.*").where("seed < 0")
     m = m.select("id", "pats", F.explode("kinds").alias("k")).select("id", "k", F.explode("pats").alias("pat")).distinct()
-    return m.join(patterns, ["pat", "k"]).groupBy("id").agg(F.collect_list(F.struct("pat", "k", "score")).alias("__pats"))
+    return _with_patterns(m, patterns, "id").groupBy("id").agg(F.collect_list(F.struct("pat", "k", "doubt")).alias("__pats"))
 
 
 def _joined(spans: Column) -> Column:
@@ -215,10 +275,12 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) for every row of docs.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans) for every row of docs.
 
     Counts and digest are of the base spans; ``spans`` has all, by kind and start; n_found counts what the method
-    added. Null texts are empty. Offsets are code points, ends exclusive.
+    added, n_spans all. Offsets are code points, ends exclusive. Null texts are empty, and have no spans, as have empty
+    ones. Rows are told apart by their place: null and repeated ids each get their row. Texts are searched whole, in
+    time proportional to their length. Other columns are left out; an empty table gives an empty result.
     """
     scanned = materialise(scan(docs, id_col, text_col), "pii-scan")
     found = discovered(scanned, pattern_scores(scanned))
@@ -231,6 +293,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.sort_array(F.concat("base", "found"))).alias("spans"),
         F.size("found").cast("long").alias("n_found"),
+        (F.size("base") + F.size("found")).cast("long").alias("n_spans"),
     )
 
 
@@ -248,14 +311,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     """docs, same columns, with every base span and every discovered span replaced by its kind. Null texts stay null.
 
     The patterns go to the tasks after their number is checked, so texts do not move. Past BROADCAST_PATTERNS the
-    rows are written with a number, and each gets the patterns it needs by that; ids play no part, and the result is the same.
+    rows are written with a number, and each gets the patterns it needs by that; ids play no part, and the result is the
+    same. Empty texts stay empty, equal rows are redacted alike, other columns pass through whatever their names.
     """
     scanned = materialise(scan(docs, id_col, text_col), "pii-scan")
     patterns = pattern_scores(scanned)
     columns = docs.columns
     few = patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
     if few:
-        scores = {(r["pat"], r["k"]): r["score"] for r in patterns.toLocalIterator()}
+        scores = {(r["pat"], r["k"]): r["doubt"] for r in patterns.toLocalIterator()}
         shared = docs.sparkSession.sparkContext.broadcast(scores)
         rows = docs
     else:
@@ -274,7 +338,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
                 if text:
                     spans, more = base_spans(text)
                     if more:
-                        scores = shared.value if joined is None else {(x["pat"], x["k"]): x["score"] for x in joined[i] or ()}
+                        scores = shared.value if joined is None else {(x["pat"], x["k"]): x["doubt"] for x in joined[i] or ()}
                         spans = spans + list(_accepted(text, spans, scores))
                     text = cover(text, spans) if spans else text
                 texts.append(text)
@@ -285,12 +349,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
 
 def _accepted(text: str, base: list[tuple[int, int, int]], scores: dict) -> Iterator[tuple[int, int, int]]:
+    least = _enough(ACCEPT)
     for s, e, kinds in look_alikes(text, base):
-        best = (0.0, 0)
-        for k in kinds:
-            miss = 1.0
-            for p in context(text, s, e):
-                miss *= 1 - scores.get((p, k), 0.0)
-            best = max(best, (1 - miss, -k))
-        if best[0] >= ACCEPT:
+        around = context(text, s, e)
+        best = max((sum(scores.get((p, k), 0) for p in around), -k) for k in kinds)
+        if best[0] >= least:
             yield -best[1], s, e
