@@ -306,6 +306,43 @@ def test_items_without_id(spark):
     assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [2]
 
 
+@pytest.mark.parametrize("block", [10, 1 << 22])
+def test_ids_of_any_type_and_short_items(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    item = "Seventeen curious badgers watch in silence while the quick brown fox jumps over a lazy dog on the hill"
+    rows = [("a", f"before {item} after", "x"), ("b", "the answer is forty 2, they say", "x"), ("c", "shorty 2x", "x"), ("d", "forty-2", "x"), (None, "", "x"), ("e", None, "x"), ("f", item, "x"), ("f", item, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, start string")
+    for kind, ids in (("string", ["p", "q", "r"]), ("int", [1, 2, 3]), ("long", [1, 2, 3])):
+        bench = spark.createDataFrame(list(zip(ids, [item, "Forty 2!", "?!"], strict=True)), f"item_id {kind}, text string")
+        got = decontam.find_leaks(docs, bench)
+        assert dict(got.dtypes)["item_id"] == dict(bench.dtypes)["item_id"]
+        assert Counter((r["doc_id"], r["item_id"]) for r in got.collect()) == Counter({("a", ids[0]): 1, ("b", ids[1]): 1, ("d", ids[1]): 1, ("f", ids[0]): 2})
+        b = got.where("doc_id = 'b'").first()
+        assert rows[1][1][b["start"] : b["end"]] == "forty 2"
+        assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {"c", None, "e"}
+
+
+def test_common_openings_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(decontam, "HITS", 1 << 14)
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    opening = "answer the following question in one short sentence"
+    items = [(i, f"{opening} {' '.join(word() for _ in range(20))}") for i in range(400)]
+    index = decontam.Index(items)
+    index.ready()
+    text = " ".join(f"{opening[:18]} {word()} {word()}" for _ in range(300)) + " " + items[77][1] + " " + opening
+    cps, at = decontam.squeeze(text)
+    tracemalloc.start()
+    got = [x[0] for x in index.leaks(cps, at)]
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert got == [77]
+    monkeypatch.setattr(decontam, "HITS", 1 << 30)
+    assert [x[0] for x in index.leaks(cps[-3000:], at[-3000:])] == [77]
+
+
 def test_decontamination_query(spark, sf):
     sq = lambda t: "".join(c for c in t.lower() if c.isalnum())
     bench = [(r["item_id"], sq(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
