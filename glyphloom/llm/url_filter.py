@@ -22,9 +22,11 @@ BITS_PER_URL = 16
 WORDS, WORD_BITS = 4, 64
 #: A filter of up to so many blocks (48 bytes each as rows) is broadcast, a larger one joined by shuffle.
 BROADCAST_BLOCKS = 1 << 18
-#: Copies of the exact list that the possible hits are spread over, so that one URL which a third of
+#: An exact list of up to so many urls (some 100 bytes each) is sent to the tasks.
+BROADCAST_KEYS = 100_000
+#: Copies of a longer exact list that the possible hits are spread over, so that one URL which a third of
 #: all pages share does not end in one task.
-SALTS = 16
+SALTS = 32
 _SALT = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
 
@@ -34,7 +36,7 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """What follows the host up to ? # or the end."""
+    """What follows the host up to ? # or the end; empty for null or without ://."""
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
@@ -59,7 +61,8 @@ def rule_match(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     """(rule string or null, its verdict or null) of the longest rule that fits.
 
     A rule fits its host and all subdomains if the path starts with the rule's. ``rules`` is a short
-    hand-written list: it becomes one expression, tried from the longest on.
+    hand-written list: it becomes one expression, tried from the longest on; of equally long ones the first in order.
+    No rule fits a null host or path.
     """
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     rule = verdict = None
@@ -88,39 +91,52 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def build_filter(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """(table (block, w0..w3), number of blocks) of the distinct column ``key``. Blocks without a key are left out."""
+    """(table (__block, __w0..__w3), number of blocks) of the distinct column ``key`` of any type. Blocks without a key are left out."""
     blocks = 1
     while blocks * WORDS * WORD_BITS < n_keys * BITS_PER_URL:
         blocks *= 2
     words = _bits(F.col("key"))
-    rows = keys.select(_block(F.col("key"), blocks).alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
+    rows = keys.select(_block(F.col("key"), blocks).alias("__block"), *[w.alias(f"__w{i}") for i, w in enumerate(words)])
+    return rows.groupBy("__block").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(WORDS)]), blocks
+
+
+def probe(rows: DataFrame, key_col: str, table: DataFrame, blocks: int) -> DataFrame:
+    """rows with a column ``__possible``: false where the filter is sure that the key is not in it, and for null keys.
+
+    The table is sent to the tasks up to BROADCAST_BLOCKS blocks, joined by shuffle beyond.
+    """
+    names, key = rows.columns, F.col(key_col)
+    words = _bits(key)
+    possible = key.isNotNull() & F.col("__w0").isNotNull()
+    for i in range(WORDS):
+        possible = possible & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(words[i]) == words[i])
+    hashed = rows.withColumn("__block", F.when(key.isNotNull(), _block(key, blocks)))
+    side = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
+    return hashed.join(side, "__block", "left").select(*names, F.coalesce(possible, F.lit(False)).alias("__possible"))
 
 
 def listed_flag(rows: DataFrame, listed: DataFrame, url_col: str, id_col: str) -> DataFrame:
     """rows with a column ``is_listed``: whether the canonical URL is one of ``listed``'s (column ``url``).
 
     Rows without a canonical URL are not listed; nulls, repeats and any spelling in ``listed`` are fine, and an
-    empty list lists nothing. rows is read in two branches: what the filter turns away (nearly all) never
-    moves, what passes is joined exactly, spread over SALTS copies of the list.
+    empty list lists nothing. What the filter turns away (nearly all) never moves. What passes is joined exactly: with
+    the list itself where the rows lie, up to BROADCAST_KEYS urls; beyond, in a branch of its own, spread over SALTS
+    copies of the list by a hash of the id. Columns of rows may have any names but such as begin with two underscores.
     """
     keys = listed.select(canonical_url(F.col("url")).alias("key")).where("key is not null").distinct()
-    table, blocks = build_filter(keys, keys.count())
-    if blocks <= BROADCAST_BLOCKS:
-        table = F.broadcast(table)
+    n = keys.count()
     names = rows.columns
-    keyed = rows.withColumn("__key", canonical_url(F.col(url_col)))
-    hashed = keyed.withColumn("__block", F.when(F.col("__key").isNotNull(), _block(F.col("__key"), blocks)))
-    words = _bits(F.col("__key"))
-    possible = F.coalesce(F.col("__key").isNotNull() & F.col("w0").isNotNull(), F.lit(False))
-    for i in range(WORDS):
-        possible = possible & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(words[i]) == words[i])
-    probed = hashed.join(table.withColumnRenamed("block", "__block"), "__block", "left").withColumn("__possible", possible)
+    keys = keys.select(F.col("key").alias("__listed"))
+    probed = probe(rows.withColumn("__key", canonical_url(F.col(url_col))), "__key", *build_filter(keys.select(F.col("__listed").alias("key")), n))
+    flag = F.col("__listed").isNotNull().alias("is_listed")
+    if n <= BROADCAST_KEYS:
+        asked = probed.withColumn("__key", F.when(F.col("__possible"), F.col("__key")))
+        return asked.join(F.broadcast(keys), F.col("__key") == F.col("__listed"), "left").select(*names, flag)
     turned_away = probed.where("not __possible").select(*names, F.lit(False).alias("is_listed"))
-    salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("found"))
+    salted = keys.select("__listed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__copy"))
     may = probed.where("__possible").withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    exact = may.join(salted, (F.col("__key") == F.col("key")) & (F.col("__salt") == F.col("salt")), "left")
-    return turned_away.unionByName(exact.select(*names, F.coalesce(F.col("found"), F.lit(False)).alias("is_listed")))
+    exact = may.join(salted, (F.col("__key") == F.col("__listed")) & (F.col("__salt") == F.col("__copy")), "left")
+    return turned_away.unionByName(exact.select(*names, flag))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
