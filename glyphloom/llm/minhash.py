@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import MIX, mix64, shingle_set, utf8_rows
-from .common import materialise
+from .common import discard, materialise
 from .graph import connected_components
+from .url_filter import build_filter, probe
 
 SHINGLE = 5
 #: Links: PERCENT * union <= 100 * intersection.
@@ -27,9 +28,13 @@ PERCENT = 85
 #: Permutations of a band (2 values each), and the share of pairs right at the threshold that may meet in no band.
 PERMUTATIONS_PER_BAND, MISSED = 3, 1e-6
 #: Shingles that a task holds of either side when full sets are compared (8 bytes each).
-BLOCK_SHINGLES = 1 << 19
-#: Bits of the filter that says whose full sets are needed (2 MB, whatever the input's size).
-FILTER_BITS = 1 << 24
+BLOCK_SHINGLES = 1 << 18
+#: Bits for each id of the filter that says whose full sets are needed, and its least and largest size (32 MB); past that, ids are joined.
+FILTER_BITS_PER_ID, LEAST_FILTER, MOST_FILTER = 16, 1 << 16, 1 << 28
+#: Band keys that more than one in so many rows share, and more rows than this, are joined apart: there are at most HOT_SHARE a band.
+HOT_SHARE, LEAST_HOT = 2_000, 1_000
+#: Up to so many ids (8 bytes each) are sent to the tasks to leave rows out.
+BROADCAST_IDS = 1 << 20
 
 
 def bands_for(percent: int) -> int:
@@ -90,42 +95,63 @@ def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS hashed ids. It only spares work: an id that is let through by chance does no harm."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long"))
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of hashed ids. It only spares work: an id that is let through by chance does no harm."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long"))
     words = ids.select(F.floor(spot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int")).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(id, shingles) of the documents that the filter of ``ids`` lets through."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids).tobytes())
+    """(id, shingles) of the documents that the filter of ``ids`` lets through: all of ids, and some more by chance.
+
+    The filter grows with the number of ids; where it would pass MOST_FILTER bits, the texts wanted are found by a join.
+    """
+    bits = max(LEAST_FILTER, 1 << int(FILTER_BITS_PER_ID * ids.count() - 1).bit_length())
+    if bits > MOST_FILTER:
+        docs, shared = docs.join(ids.select("id").distinct(), "id", "left_semi"), None
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits.value, np.int64)
+        have = None if shared is None else np.frombuffer(shared.value, np.int64)
         for b in batches:
             spot = b.column(2).to_numpy()
-            wanted = np.flatnonzero((have[spot >> 6] >> (spot & 63)) & 1)
+            wanted = np.arange(len(spot)) if have is None else np.flatnonzero((have[spot >> 6] >> (spot & 63)) & 1)
             for at in range(0, len(wanted), 256):
                 part = b.take(pa.array(wanted[at : at + 256]))
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(v, k).view(np.int64) for v in utf8_rows(part.column(1))])], names=["id", "shingles"])
 
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long"))
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long"))
     return docs.select("id", "text", spot.alias("spot")).mapInArrow(run, "id long, shingles array<long>")
 
 
 def band_groups(reps: DataFrame) -> DataFrame:
-    """(a, b): every text that shares a band key with a text of smaller id, once for each such smallest id."""
+    """(a, b): every text that shares a band key with a text of smaller id, once for each such smallest id.
+
+    Keys that a large share of the rows have (a large group of near copies) are few, and go to where the rows lie; the
+    others are joined by shuffle, which no key can then dominate.
+    """
     rows = reps.where("bands is not null").select("id", F.explode("bands").alias("key"))
-    first = rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "a")
-    return rows.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    first = materialise(rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-keys")
+    least = max(LEAST_HOT, reps.count() // HOT_SHARE)
+    hot, cold = first.where(F.col("c") > least).select("key", "a"), first.where(F.col("c") <= least).select("key", "a")
+    here = rows.join(F.broadcast(hot.withColumnRenamed("a", "h")), "key", "left")
+    near = here.where("h is not null").select("h", "id").union(here.where("h is null").select("id", "key").join(cold, "key").select("a", "id"))
+    return near.toDF("a", "b").where("a <> b").distinct()
+
 
+def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links among the rows; of pairs on different sides if there are two.
 
-def _links(ids: np.ndarray, sets: list[set[int]], keys: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links among the rows; of pairs on different sides if there are two."""
+    Of two sets that are linked, either shares percent / 100 of its shingles with the other. So they meet among the rarest
+    1 - percent / 100 (and one more) of either, in the order of rarity among the rows: only those are listed, by
+    shingle and by tree of the forest, and a tree that a row has joined is passed over as a whole. Texts that share no
+    more than a common passage are never compared, those of one tree hardly.
+    """
     up = list(range(len(ids)))
 
     def top(x: int) -> int:
@@ -135,33 +161,49 @@ def _links(ids: np.ndarray, sets: list[set[int]], keys: np.ndarray, side: np.nda
         return x
 
     out, two = [], len(set(side.tolist())) > 1
-    size = np.array([len(s) for s in sets])
-    met: list[dict[int, list[int]]] = [{} for _ in range(keys.shape[1])]
-    for i in range(len(ids)):
-        near: set[int] = set()
-        for band, at in zip(keys[i].tolist(), met, strict=True):
-            same = at.setdefault(band, [])
-            near.update(same)
-            same.append(i)
-        for j in near:
-            if two and side[i] == side[j] or min(size[i], size[j]) * 100 < percent * max(size[i], size[j]) or top(i) == top(j):
-                continue
-            both = len(sets[i] & sets[j])
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                up[top(i)] = top(j)
-                out.append((int(ids[i]), int(ids[j])))
+    if not len(ids):
+        return out
+    flat = np.concatenate(sets)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = np.split(rank[code], np.cumsum([len(s) for s in sets])[:-1])
+    ranks = [np.sort(r) for r in ranks]
+    size = [len(r) for r in ranks]
+    listed: dict[int, dict[int, list[int]]] = {}
+    sides = side.tolist()
+    for i in sorted(range(len(ids)), key=lambda i: size[i]):
+        tried: set[int] = set()
+        mine = ranks[i][: size[i] - -(-size[i] * percent // 100) + 1].tolist()
+        for g in mine:
+            trees = listed.get(g)
+            for tree, members in trees.items() if trees else ():
+                if top(tree) == top(i):
+                    continue
+                for j in members:
+                    if j in tried or two and sides[i] == sides[j] or size[j] * 100 < percent * size[i]:
+                        continue
+                    tried.add(j)
+                    both = len(np.intersect1d(ranks[i], ranks[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        up[top(i)] = top(j)
+                        out.append((int(ids[i]), int(ids[j])))
+                        break
+        home = top(i)
+        for g in mine:
+            listed.setdefault(g, {}).setdefault(home, []).append(i)
     return out
 
 
 def confirmed_links(reps: DataFrame, sets: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between texts that share a band key, confirmed on the full sets, as many as connect what is linked.
+    """(a, b): links between texts of one group, confirmed on the full sets, as many as connect what is linked.
 
     ``groups`` (id, component) says who meets whom at all. A group of more than BLOCK_SHINGLES shingles is cut by
     set size, into classes that a link can leave for a neighbouring class only, and each class into blocks by a
     hash of the id; a task compares two blocks. So no task holds more than two blocks, nobody is left out, and
     pairs are never rows: a text is a row for each block that its own block meets.
     """
-    member = reps.select("id", "n", "bands").join(groups, "id")
+    member = reps.select("id", "n").join(groups, "id")
     ratio = math.log(100 / percent) * (1 + 1e-6)  # a little wide, so that rounding cannot put linked sizes two classes apart
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("long")
     whole = member.groupBy("component").agg(F.sum("n").alias("total"))
@@ -170,7 +212,7 @@ def confirmed_links(reps: DataFrame, sets: DataFrame, groups: DataFrame, percent
     large = classes.join(whole.where(F.col("total") > BLOCK_SHINGLES), "component").drop("total")
     plan = large.join(near(1, "above"), ["component", "cls"], "left").join(near(-1, "below"), ["component", "cls"], "left")
     big = member.withColumn("cls", cls).join(plan, ["component", "cls"])
-    small = member.join(whole.where(F.col("total") <= BLOCK_SHINGLES), "component").select("id", "bands", F.struct("component", F.lit(-1).cast("long").alias("cls"), *[F.lit(0).cast("long").alias(x) for x in ("i", "next", "j")]).alias("task"), F.lit(0).alias("side"))
+    small = member.join(whole.where(F.col("total") <= BLOCK_SHINGLES), "component").select("id", F.struct("component", F.lit(-1).cast("long").alias("cls"), *[F.lit(0).cast("long").alias(x) for x in ("i", "next", "j")]).alias("task"), F.lit(0).alias("side"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
     upto = lambda c, make: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(c) - 1), make)).otherwise(F.array().cast("array<struct<t:struct<component:bigint,cls:bigint,i:bigint,next:bigint,j:bigint>,side:int>>"))
 
@@ -182,20 +224,18 @@ def confirmed_links(reps: DataFrame, sets: DataFrame, groups: DataFrame, percent
     # A block meets itself once, as one side.
     ups = upto("above", lambda x: spot(F.col("cls"), F.col("mine"), 1, x, F.lit(0)))
     downs = upto("below", lambda x: spot(F.col("cls") - 1, x, 1, F.col("mine"), F.lit(1)))
-    spread = big.select("id", "bands", F.explode(F.concat(own, ups, downs)).alias("s")).select("id", "bands", F.col("s.t").alias("task"), F.col("s.side").alias("side"))
+    spread = big.select("id", F.explode(F.concat(own, ups, downs)).alias("s")).select("id", F.col("s.t").alias("task"), F.col("s.side").alias("side"))
     tasks = small.unionByName(spread).join(sets, "id")
 
     def compare(batches):
         t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
         ids = t.column("id").to_numpy()
-        order = np.argsort(ids)
         lists = t.column("shingles").combine_chunks()
-        sets_ = [set(lists[int(i)].values.to_numpy().tolist()) for i in order]
-        keys = np.array([t.column("bands")[int(i)].as_py() for i in order], np.int64)
-        links = _links(ids[order], sets_, keys, t.column("side").to_numpy()[order], percent)
+        order = np.argsort(ids)
+        links = _links(ids[order], [lists[int(i)].values.to_numpy() for i in order], t.column("side").to_numpy()[order], percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    cols = tasks.select(F.xxhash64("task").alias("task"), "id", "bands", "side", "shingles")
+    cols = tasks.select(F.xxhash64("task").alias("task"), "id", "side", "shingles")
     return cols.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
@@ -204,16 +244,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with fewer than k words are one shingle as a whole. Null, empty and blank texts have no shingles and are
     linked with nothing: each is its own component. Equal sets are found by a 128-bit hash, and one of each goes on.
-    Ids are taken to be unique; rows that repeat an id are one document to the links, and each gets its row.
+    Ids are integers of any width, since the smallest names a component; others are an error. They are taken to be
+    unique; rows that repeat an id are one document to the links, and each gets its row. A null id is kept and takes part in no link.
     """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col}: near duplicates need integer ids, number the rows first")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = materialise(signatures(rows, k, percent), "minhash-signatures")
-    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
     reps = materialise(classes, "minhash-classes")
     loose = connected_components(band_groups(reps))
     links = materialise(confirmed_links(reps, full_sets(rows, loose.select("id"), k), loose, percent), "minhash-links")
     comp = connected_components(links)
+    discard(loose, links)
     named = reps.join(comp, "id", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("component", "id").alias("component"))
-    joined = sig.join(named, (sig["f1"] == named["f1"]) & (sig["f2"] == named["f2"]) & (F.col("n") == F.col("m")) & (F.col("n") > 0), "left")
+    joined = sig.join(named, (sig["f1"] == named["f1"]) & (sig["f2"] == named["f2"]) & (F.col("n") == F.col("m")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     comp_id = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))
+    return joined.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in ``gone`` (id_col), nearly all of them judged where they lie: texts do not move.
+
+    Up to BROADCAST_IDS ids are sent to the tasks. More go into a blocked Bloom filter; what it turns away stays at once, and
+    only possible hits, nearly all of which go, are joined exactly. Rows with a null id stay; an empty ``gone`` changes nothing.
+    """
+    gone = materialise(gone.select(F.col(id_col).alias("key")).where("key is not null").distinct(), "gone-ids")
+    n = gone.count()
+    listed, match = gone.withColumnRenamed("key", "__gone"), F.col("__id") == F.col("__gone")
+    rows = docs.withColumn("__id", F.col(id_col))
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(listed), match, "left_anti").drop("__id")
+    probed = probe(rows, "__id", *build_filter(gone, n))
+    rest = probed.where("not __possible").select(*docs.columns)
+    return rest.unionByName(probed.where("__possible").join(listed, match, "left_anti").select(*docs.columns))

@@ -65,16 +65,16 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark, monkeypatc
     keys = spark.range(5000).select(F.concat(F.lit("http://h.org/"), "id").alias("url"))
     other = spark.range(10_000, 30_000).select(F.concat(F.lit("http://h.org/"), "id").alias("url"))
     both = keys.union(other).withColumn("page_id", F.monotonically_increasing_id())
-    for limit in (url_filter.BROADCAST_BLOCKS, 0):  # broadcast, then shuffled
-        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", limit)
-        assert url_filter.listed_flag(both, keys, "url", "page_id").where("is_listed").count() == 5000
+    for c in ("w0", "w1", "w2", "w3", "key", "salt", "found", "block", "copy", "possible", "listed"):
+        both = both.withColumn(c, F.lit("clash"))
+    for limits in ((url_filter.BROADCAST_BLOCKS, url_filter.BROADCAST_KEYS), (0, 0)):  # broadcast, then shuffled
+        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", limits[0])
+        monkeypatch.setattr(url_filter, "BROADCAST_KEYS", limits[1])
+        got = url_filter.listed_flag(both, keys, "url", "page_id")
+        assert got.columns == [*both.columns, "is_listed"] and got.count() == 25_000 and got.where("is_listed").count() == 5000
     table, blocks = url_filter.build_filter(keys.select(url_filter.canonical_url(F.col("url")).alias("key")), 5000)
     k = other.select(url_filter.canonical_url(F.col("url")).alias("key"))
-    words = url_filter._bits(F.col("key"))
-    hit = k.withColumn("block", url_filter._block(F.col("key"), blocks)).join(table, "block")
-    for i, w in enumerate(words):
-        hit = hit.where(F.col(f"w{i}").bitwiseAND(w) == w)
-    assert hit.count() < 20_000 * 0.02
+    assert url_filter.probe(k, "key", table, blocks).where("__possible").count() < 20_000 * 0.02
 
 
 # --- 2 ---
@@ -579,6 +579,60 @@ def test_near_duplicates(spark, monkeypatch, block, percent):
     assert got == brute_components(docs, percent)
 
 
+def test_near_duplicates_other_ways(spark, monkeypatch):
+    docs = near_docs(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for name, value in (("LEAST_HOT", 0), ("HOT_SHARE", 10**9), ("MOST_FILTER", 0)):  # every key hot, sets found by a join
+        monkeypatch.setattr(minhash, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(docs)
+
+
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=14), st.sampled_from([50, 80, 85, 100]))
+@settings(max_examples=300, deadline=None)
+def test_links_are_a_forest_of_all_that_is_linked(sets, percent):
+    def trees(pairs):
+        up = list(range(len(sets)))
+        for a, b in pairs:
+            x = up[a]
+            up = [up[b] if u == x else u for u in up]
+        return {frozenset(i for i in range(len(sets)) if up[i] == u) for u in up}
+
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    arrays = [np.array(sorted(x), np.int64) for x in sets]
+    got = minhash._links(np.arange(len(sets)), arrays, np.zeros(len(sets), np.int64), percent)
+    assert trees(got) == trees(linked) and len(got) == len(sets) - len(trees(got))
+
+
+def test_loosely_alike_texts_are_not_all_compared():
+    import time
+
+    rnd = np.random.default_rng(2)
+    common = rnd.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate((common, rnd.integers(0, 2**62, 60)))) for _ in range(4000)]
+    begin = time.perf_counter()
+    assert minhash._links(np.arange(4000), sets, np.zeros(4000, np.int64), 80) == []
+    assert time.perf_counter() - begin < 10
+
+
+@pytest.mark.parametrize("limit", [minhash.BROADCAST_IDS, -1])
+def test_without(spark, monkeypatch, limit):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", limit)
+    docs = spark.createDataFrame([(i, f"t{i}", "c") for i in [*range(200), None, 7, 8]], "doc_id long, text string, key string").withColumn("block", F.lit(1))
+    gone = spark.createDataFrame([(i,) for i in [*range(0, 200, 2), None, 4, 1000]], "doc_id long")
+    got = minhash.without(docs, gone)
+    assert got.columns == docs.columns and sorted((r["doc_id"] or -1) for r in got.collect()) == sorted([-1, 7, *range(1, 200, 2)])
+    assert minhash.without(docs, gone.limit(0)).count() == 203 and minhash.without(docs.limit(0), gone).count() == 0
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    rows = spark.createDataFrame([(5, "one two"), (3, "one two"), (None, "one two")], "doc_id int, text string")
+    got = minhash.near_duplicates(rows)
+    assert dict(got.dtypes)["doc_id"] == "int" and {(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()} == {(5, 3, False), (3, 3, True), (None, None, True)}
+
+
 def test_bands_keep_to_the_share_missed():
     for percent in (60, 80, 85, 95):
         b, at = minhash.bands_for(percent), (percent / 100) ** (2 * minhash.PERMUTATIONS_PER_BAND)
