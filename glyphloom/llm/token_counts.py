@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,16 +36,22 @@ def load_encoding(path: str, pattern: str = SPLIT):
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _cuts_before(c: str) -> bool:
+    """Whether the split rule ends a run of letters before c: any space, or a character that is no letter and starts no contraction."""
+    return c == " " or c != "'" and not c.isspace() and unicodedata.category(c)[0] not in "LN" or unicodedata.category(c)[0] == "N"
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """text cut into runs of about size characters, each cut between a letter and a following space.
+    """text cut into runs of about size characters, each cut between a letter and what cannot be of one token with it.
 
-    The split rule never joins a letter with a later space, and a space run's pieces depend on what
-    follows alone, so encoding the pieces one by one gives the same tokens as the whole text.
+    The split rule never joins a letter with a later space, digit or other mark, and a space run's pieces depend on what
+    follows alone, so encoding the pieces one by one gives the same tokens as the whole text. A run of letters alone is
+    one piece, however long, since the split rule takes it whole.
     """
     start, n = 0, len(text)
     while n - start > size:
         at = start + size
-        while at < n and not (text[at] == " " and text[at - 1].isalpha()):
+        while at < n and not (unicodedata.category(text[at - 1])[0] == "L" and _cuts_before(text[at])):
             at += 1
         yield text[start:at]
         start = at
@@ -107,7 +114,11 @@ def limit_table(hist: DataFrame) -> DataFrame:
 
 
 def token_limits(docs: DataFrame, encoding_path: str) -> DataFrame:
-    """limit_table() of docs. The histogram is written once: it is read twice, and encoding is the costly part."""
+    """limit_table() of docs. The histogram is written once: it is read twice, and encoding is the costly part.
+
+    Null and empty texts have length 0 and count as documents; repeated rows and ids count as often as they occur; an
+    empty table gives an empty result. Other columns are left out.
+    """
     return limit_table(materialise(length_histogram(count_tokens(docs, encoding_path)), "token-histogram"))
 
 
