@@ -26,38 +26,47 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole texts; see pii.find() for nulls, empty texts and repeated ids."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items; see decontam.find_leaks()."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, whole html; see html_extract.extract()."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents and its sums; see token_counts.token_limits()."""
     return token_counts.token_limits(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written, normalised and read back; see warc.round_trip()."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, links from 85 %; see minhash.near_duplicates()."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; see quality.judge_quality()."""
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; see langid.identify()."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; see mixing.plan_copies()."""
     return mixing.plan_copies(table(spark, sf_dir, "documents"))
 
 
@@ -93,7 +102,7 @@ b AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, hex, min(page_id) OVER
 SELECT page_id, payload_bytes,
        list_reduce(list_transform(range(0, 4), lambda g: list_reduce(list_transform(range(0, 8), lambda k:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + g * 10, 10))::BIGINT >> (35 - 5 * k)) & 31)::INT), 1)), lambda a, x: a || x)), lambda a, x: a || x) AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM b""",
         "op7_minhash": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents),

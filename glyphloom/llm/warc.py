@@ -151,16 +151,18 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     """Write a response record for every row, each archive one gzip stream. Returns (archive, seq, id, digest, n_bytes).
 
     The payload is the column in UTF-8, nothing for null. What is returned is written too: reading it again does
-    not write archives again.
+    not write archives again. An archive's name has the number of the attempt that wrote it, so its rows always tell of
+    that very file, in order, even if another attempt is dealt other rows; files of attempts that failed are named nowhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out, z, size, seq = TaskContext.get().partitionId(), 0, None, None, 0, 0
+        task = TaskContext.get()
+        part, number, out, z, size, seq = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, None, 0, 0
         for b in batches:
             rows: list[tuple] = []
             for key, url, view in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8_rows(b.column(2)), strict=True):
                 if out is None:
-                    name = f"part-{part:06d}-{number:04d}.warc.gz"
+                    name = f"part-{part}-{number:04d}.warc.gz"
                     out, z, size, seq = _Output(folder, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                 digest = base32_sha1(view)
                 rec = response_record(key, url, view, digest)
@@ -186,10 +188,11 @@ def revisits(written: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(archive, list of (seq, first)): which records of each archive repeat the payload of the record of smallest id.
 
     Payloads move as digests; the smallest id of each comes from partial minima. The lists are as long as an archive
-    has records at most. Records without an id are never revisits.
+    has records at most. A record without an id revisits the smallest id, like any other; where no record of a payload
+    has one, all are responses, as are several of the smallest id.
     """
-    first = written.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "first")
-    again = written.where(F.col("n_bytes") >= least).join(first, "digest").where("id <> first")
+    first = written.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null").select("digest", "first")
+    again = written.where(F.col("n_bytes") >= least).join(first, "digest").where("not id <=> first")
     return again.groupBy("archive").agg(F.collect_list(F.struct("seq", F.col("first").cast("string").alias("first"))).alias("again"))
 
 
@@ -284,7 +287,9 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Write pages as monolithic archives, normalise them, read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Of equal payloads of at least ``least`` bytes the record of smallest page_id is the response, the others are
-    revisits of it. Rows that repeat a page_id are all kept; an empty table gives an empty result.
+    revisits of it. Rows that repeat a page_id are all kept; an empty table gives an empty result. Null and empty
+    payloads have 0 bytes; see revisits() for null ids. The monolithic archives are deleted once they are normalised, the
+    others with the session's intermediate tables.
     """
     spark = pages.sparkSession
     source, target = new_path(spark, "warc-monolithic"), new_path(spark, "warc-members")
