@@ -14,14 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, materialise
+from .common import WORD, discard, let, materialise
 
 WINDOW = 5
 #: Transformed statistics that the estimates are made of, with the least standard deviation that counts:
 #: it keeps the scatter of a statistic that hardly varies within a group invertible.
 FEATURES = {"x_words": 0.5, "x_length": 0.3, "x_symbols": 0.1, "x_lines": 0.1, "x_repeat": 0.1}
 SCALE = 1 << 10
-STEPS = 4
+#: Concentration steps at most; they end when one changes no estimate.
+STEPS = 20
 #: Share of a group that the estimates are made of.
 CORE = 0.75
 #: Squared distance beyond which a document is an outlier. Statistics of clean text have longer tails than
@@ -145,18 +146,24 @@ def _nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
 def outlier_distance(stats: DataFrame, keys: list[str], steps: int = STEPS, share: float = CORE) -> DataFrame:
     """stats (with FEATURES and group columns ``keys``) plus ``dist``.
 
-    The first step is around coordinate-wise medians with the least deviations as scale; each further step
-    takes the ``share`` of the group nearest to the last estimate. The determinant cannot grow from one
-    concentration step to the next. Groups are small rows; documents move only as numbers.
+    The first step is around exact coordinate-wise medians with the least deviations as scale; each further step
+    takes the ``share`` of the group nearest to the last estimate, until no group's estimate changes, or ``steps`` are
+    done. The determinant cannot grow from one concentration step to the next, so this ends. Values are whole numbers,
+    medians come from their counts and sums are exact: the result does not depend on the order of rows, and reruns
+    agree. Groups are small rows; documents move only as numbers.
     """
     d = len(FEATURES)
     rows = stats
-    medians = rows.groupBy(*keys).agg(*[F.expr(f"percentile_approx(f{i}, 0.5, 10000)").alias(f"p{i}") for i in range(d)])
+    medians = rows.groupBy(*keys).agg(*[F.percentile(F.col(f"f{i}"), 0.5).alias(f"p{i}") for i in range(d)])
     floors = list(FEATURES.values())
-    start = medians.select(*keys, F.lit(1).alias("c"), *[(F.col(f"p{i}") / SCALE).alias(f"m{i}") for i in range(d)], *[F.lit(2 * floors[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
-    est = start
+    est = medians.select(*keys, F.lit(1).alias("c"), *[(F.col(f"p{i}") / SCALE).alias(f"m{i}") for i in range(d)], *[F.lit(2 * floors[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
+    state = None
     for step in range(steps):
-        est = materialise(_estimates(_nearest(_distance(rows, est, keys), keys, share), keys), f"mcd-{step}")
+        older, est = est, materialise(_estimates(_nearest(_distance(rows, est, keys), keys, share), keys), f"mcd-{step}")
+        discard(older)
+        was, state = state, est.agg(F.sum(F.xxhash64(*est.columns).cast("decimal(20,0)"))).first()[0]
+        if state == was:
+            break
     return _distance(rows, est, keys)
 
 
@@ -165,7 +172,8 @@ def judge_quality(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, s
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated windows. Documents that
     failed take no part in the estimates and are not kept; others are kept if dist <= cutoff. Null language
-    or source is a value of its own. Groups below LEAST_GROUP are judged by the estimate of all documents of their
+    or source is a value of its own. Null, empty and blank texts have no words and fail; equal rows are judged alike, each
+    on its own, whatever their ids; other columns are left out; an empty table gives an empty result. Groups below LEAST_GROUP are judged by the estimate of all documents of their
     language, those of languages below it by that of all documents.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
