@@ -3,8 +3,8 @@
 Each language has a tree of byte contexts up to ORDER bytes long, with counts from a bounded training
 sample and escape probabilities (a context seen n times with d different successors escapes with
 d / (n + d)). Counts are frozen after training, so the cost of a byte depends on the ORDER bytes before it
-alone: the trees are flattened into hash tables from byte strings to costs in bits, for all languages at
-once, and scoring is a handful of array lookups a byte. The predicted language is the one whose model
+alone: the trees are flattened into hash tables from byte strings to costs in bits, for TOGETHER languages
+at once, and scoring is a handful of array lookups a byte. The predicted language is the one whose model
 gives the shortest code for the whole text.
 """
 
@@ -21,11 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bytesops import utf8_rows
+from .common import materialise
 
 #: Longest context in bytes.
 ORDER = 4
 #: The training sample: at most so many documents a language, in the order of a hash of the id, of each its first so many bytes.
 TRAIN_DOCS, TRAIN_DOC_BYTES = 400, 1 << 16
+#: Bytes of all languages' samples together; each language has an equal part of it at most. It bounds what the driver trains
+#: on, and the models, whose tables hold some 30 bytes for each different byte string of up to ORDER + 1 bytes.
+TRAIN_BYTES = 64 << 20
+#: More languages than this are an error: the column then holds something else.
+MOST_LANGS = 1_000
+#: Languages whose costs share tables. Tables have a column a language, so that size does not grow with the square of their number.
+TOGETHER = 8
 UNDETERMINED = "und"
 CHUNK = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +87,19 @@ def _grams(data: np.ndarray, length: int) -> np.ndarray:
 
 
 class Model:
-    """Costs in bits under each language; see the module's text."""
+    """Costs in bits under each language, in blocks of TOGETHER languages."""
+
+    def __init__(self, samples: dict[str, list[bytes]]):
+        self.langs = sorted(samples)
+        self.blocks = [_Block({x: samples[x] for x in self.langs[i : i + TOGETHER]}) for i in range(0, len(self.langs), TOGETHER)]
+
+    def code_lengths(self, texts: list[memoryview]) -> np.ndarray:
+        """Bits (texts, languages) of whole texts."""
+        return np.concatenate([b.code_lengths(texts) for b in self.blocks], axis=1) if self.blocks else np.zeros((len(texts), 0))
+
+
+class _Block:
+    """Costs in bits under each of some languages; see the module's text."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
@@ -187,12 +207,19 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The ids of each language are counted first, and only those whose hash lies among the lowest, twice as many as
     are wanted, are ranked: a language's task sees about 2 * docs_per_lang ids, however large the input. The counts
-    are broadcast: a row a language, of each of which the model holds docs_per_lang documents anyway. Rows that
-    repeat an id and a language count as one, the first text in order.
+    are broadcast: a row a language, of which there are MOST_LANGS at most (else it is an error). With many languages
+    each has fewer documents or bytes, so that the sample keeps to TRAIN_BYTES. Rows that repeat an id and a language count
+    as one, the first text in order. Rows without id, language or text are not used.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & (F.octet_length("text") > 0))
     rows = rows.withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 52).cast("long")) / F.lit(float(1 << 52)))
-    known = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    known = materialise(rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")), "langid-known")
+    n_langs = known.limit(MOST_LANGS + 1).count()
+    if n_langs > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} values: is it the language?")
+    each = TRAIN_BYTES // max(1, n_langs)
+    doc_bytes = min(doc_bytes, max(1 << 12, each // docs_per_lang))
+    docs_per_lang = max(1, min(docs_per_lang, each // doc_bytes))
     low = rows.select("lang", "id", "u").join(F.broadcast(known), "lang").where(F.col("u") * F.col("n") < 2 * docs_per_lang + 100).select("lang", "id", "u").distinct()
     picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))).where(F.col("r") <= docs_per_lang).select("lang", "id")
     # A character that the cut runs through goes.
@@ -201,11 +228,16 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower case, the same for what is trained on and what is judged."""
+    return pc.utf8_lower(texts)
+
+
 def train(docs: DataFrame, **kw) -> Model:
-    """A model from training_sample(docs): documents a language times their size bound what reaches the driver."""
+    """A model from training_sample(docs), TRAIN_BYTES of which reach the driver at most. No usable row gives a model without languages."""
     samples: dict[str, list[bytes]] = {}
     for row in training_sample(docs, **kw).toLocalIterator():
-        samples.setdefault(row["lang"], []).append(row["text"].lower().encode())
+        samples.setdefault(row["lang"], []).append(bytes(_lower(pa.array([row["text"]], pa.string()))[0].as_buffer()))
     return Model({k: sorted(v) for k, v in samples.items()})
 
 
@@ -226,7 +258,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             langs, scores = [UNDETERMINED] * len(text), np.zeros(len(text))
             if m.langs:
-                bits = m.code_lengths(list(utf8_rows(pc.utf8_lower(text))))
+                bits = m.code_lengths(list(utf8_rows(_lower(text))))
                 best = bits.argmin(axis=1)
                 gap = bits - bits[np.arange(len(bits)), best][:, None]
                 scores = np.where(letters, 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1), 0.0)
@@ -238,7 +270,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) for every row; trained on the rows of docs that are not held out."""
+    """(id, held_out, lang_pred, score) for every row; trained on the rows of docs that are not held out.
+
+    Null texts and texts without a letter are `und` with score 0. A null id is not held out, yet never trained on. Rows
+    that repeat an id each get their row; an empty table gives an empty result; other columns are left out.
+    """
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = predict(rows, model, "id", "text")

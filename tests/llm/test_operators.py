@@ -467,6 +467,8 @@ def test_token_counts(spark, sf):
 def test_pieces_change_nothing():
     enc = token_counts.load_encoding(queries.tokenizer_path())
     t = "It's  a test, 12 of\n\n words   and   blanks.  é " * 40
+    t += "naïve,x" * 30 + "abc123" * 30 + "don't.e\u0301a" * 30
+    assert max(map(len, token_counts.pieces(t, 7))) < 40
     for size in (1, 7, 50):
         assert [x for p in token_counts.pieces(t, size) for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
         assert "".join(token_counts.pieces(t, size)) == t
@@ -492,10 +494,26 @@ def test_warc_round_trip(spark, tmp_path):
         body = next(h for p, _, h in rows if p == r["page_id"]) or ""
         assert r["payload_bytes"] == len(body.encode()) and r["payload_digest"] == warc.base32_sha1(body.encode())
     kinds = sorted(((r["page_id"] if r["page_id"] is not None else -1), r["record_type"], r["refers_to"]) for r in got)
-    assert kinds == [(-1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 2), (5, "revisit", 3), (7, "response", None), (9, "response", None), (9, "response", None)]
+    assert kinds == [(-1, "revisit", 3), (2, "response", None), (3, "response", None), (4, "revisit", 2), (5, "revisit", 3), (7, "response", None), (9, "response", None), (9, "response", None)]
     assert warc.round_trip(pages.limit(0)).count() == 0
     least = warc.round_trip(pages, least=5).where("record_type = 'revisit'").count()
     assert least == 0
+    none = spark.createDataFrame([(None, "u", "x"), (None, "v", "x")], pages.schema[:3])
+    assert [r["record_type"] for r in warc.round_trip(none).collect()] == ["response"] * 2
+
+
+def test_an_attempt_has_archives_of_its_own(spark, tmp_path):
+    """Rows dealt otherwise by a second attempt do not change what the first one's rows tell of."""
+    pages = spark.createDataFrame([(i, "u", f"{i % 3}") for i in range(12)], "page_id long, url string, html string")
+    a = warc.write_monolithic(pages.coalesce(1).orderBy("page_id"), str(tmp_path))
+    b = warc.write_monolithic(pages.coalesce(1).orderBy(F.col("page_id").desc()), str(tmp_path))
+    assert not {r[0] for r in a.select("archive").collect()} & {r[0] for r in b.select("archive").collect()}
+    for written in (a, b):
+        for r in written.collect():
+            import io
+
+            record = list(warc.records(warc.inflate(io.BytesIO(open(f"{tmp_path}/{r['archive']}", "rb").read()))))[r["seq"]]
+            assert record[0]["X-Row-Key"] == str(r["id"])
 
 
 def test_warc_files(spark, tmp_path):
@@ -728,6 +746,10 @@ def test_robust_distances(spark):
     want = mcd_brute(X, quality.STEPS, quality.CORE)
     assert np.allclose([got[i] for i in range(400)], want, rtol=1e-6)
     assert want[:40].min() > quality.CUTOFF > np.sort(want[40:])[-4]
+    again = quality.outlier_distance(df.repartition(7).sortWithinPartitions(F.rand(3)), ["k0"]).collect()
+    assert {r["id"]: r["dist"] for r in again} == got  # to the last bit
+    longer = quality.outlier_distance(df, ["k0"], steps=3 * quality.STEPS).collect()
+    assert {r["id"]: r["dist"] for r in longer} == got  # no step was cut off
 
 
 def test_quality_keeps_the_good(spark, sf):
@@ -803,6 +825,29 @@ def test_code_lengths_are_exact(text, chunk):
     assert not got[0].any()
 
 
+def test_blocks_of_languages_change_nothing(monkeypatch):
+    rnd = random.Random(1)
+    train = {f"l{i}": [bytes(rnd.choice(b"abcdefgh "[i % 4 :]) for _ in range(300))] for i in range(7)}
+    texts = [memoryview(bytes(rnd.choice(b"abcdefgh ") for _ in range(n))) for n in (0, 1, 50, 400)]
+    whole = langid.Model(train).code_lengths(texts)
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    parts = langid.Model(train)
+    assert len(parts.blocks) == 4 and np.allclose(parts.code_lengths(texts), whole) and langid.Model({}).code_lengths(texts).shape == (4, 0)
+
+
+def test_training_is_bounded_and_lower_cases_alike(spark, monkeypatch):
+    rows = [(i, "ΟΔΟΣ İSTANBUL " * 40, f"l{i % 5}", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 100_000)
+    sample = langid.training_sample(docs).collect()
+    assert {r["lang"] for r in sample} == {f"l{i}" for i in range(5)} and sum(len(r["text"].encode()) for r in sample) <= 100_000
+    model = langid.train(docs)
+    assert langid.Model({"l0": [bytes(langid._lower(langid.pa.array([r["text"]]))[0].as_buffer()) for r in sample if r["lang"] == "l0"]}).code_lengths([memoryview("οδος".encode())])[0, 0] == model.code_lengths([memoryview("οδος".encode())])[0, 0]
+    monkeypatch.setattr(langid, "MOST_LANGS", 4)
+    with pytest.raises(ValueError):
+        langid.train(docs)
+
+
 def test_language_odd(spark):
     df, n = odd_docs(spark)
     got = langid.identify(df)
