@@ -29,10 +29,13 @@ PERCENT = 85
 PERMUTATIONS_PER_BAND, MISSED = 3, 1e-6
 #: Shingles that a task holds of either side when full sets are compared (8 bytes each).
 BLOCK_SHINGLES = 1 << 18
-#: Bits for each id of the filter that says whose full sets are needed, and its least and largest size (32 MB); past that, ids are joined.
-FILTER_BITS_PER_ID, LEAST_FILTER, MOST_FILTER = 16, 1 << 16, 1 << 28
+#: Bits for each id of the filter that says whose full sets are needed, and the filter's largest size (32 MB). Beyond, an id
+#: gets fewer bits, down to LEAST_BITS; with yet more ids they are joined.
+FILTER_BITS_PER_ID, MOST_FILTER, LEAST_BITS = 64, 1 << 28, 4
 #: Band keys that more than one in so many rows share, and more rows than this, are joined apart: there are at most HOT_SHARE a band.
 HOT_SHARE, LEAST_HOT = 2_000, 1_000
+#: Rows of the plan for groups that are cut into blocks (some 50 bytes each) up to which it is sent to the tasks.
+BROADCAST_PLAN = 100_000
 #: Up to so many ids (8 bytes each) are sent to the tasks to leave rows out.
 BROADCAST_IDS = 1 << 20
 
@@ -108,10 +111,11 @@ def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
 def full_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(id, shingles) of the documents that the filter of ``ids`` lets through: all of ids, and some more by chance.
 
-    The filter grows with the number of ids; where it would pass MOST_FILTER bits, the texts wanted are found by a join.
+    The filter grows with the number of ids; past MOST_FILTER / LEAST_BITS ids the texts wanted are found by a join.
     """
-    bits = max(LEAST_FILTER, 1 << int(FILTER_BITS_PER_ID * ids.count() - 1).bit_length())
-    if bits > MOST_FILTER:
+    n = ids.count()
+    bits = min(MOST_FILTER, max(1 << 16, 1 << int(FILTER_BITS_PER_ID * n).bit_length()))
+    if LEAST_BITS * n > MOST_FILTER:
         docs, shared = docs.join(ids.select("id").distinct(), "id", "left_semi"), None
     else:
         shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits).tobytes())
@@ -203,29 +207,30 @@ def confirmed_links(reps: DataFrame, sets: DataFrame, groups: DataFrame, percent
     hash of the id; a task compares two blocks. So no task holds more than two blocks, nobody is left out, and
     pairs are never rows: a text is a row for each block that its own block meets.
     """
-    member = reps.select("id", "n").join(groups, "id")
     ratio = math.log(100 / percent) * (1 + 1e-6)  # a little wide, so that rounding cannot put linked sizes two classes apart
     cls = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("long")
-    whole = member.groupBy("component").agg(F.sum("n").alias("total"))
-    classes = member.groupBy("component", cls.alias("cls")).agg(F.sum("n").alias("total")).select("component", "cls", F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    member = reps.select("id", "n").join(groups, "id").select("id", "n", "component", cls.alias("cls"))
+    sizes = member.groupBy("component", "cls").agg(F.sum("n").alias("total"))
+    whole = sizes.groupBy("component").agg(F.sum("total").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("component")
+    classes = sizes.join(whole, "component", "left_semi").select("component", "cls", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    classes = materialise(classes, "minhash-blocks")
     near = lambda by, name: classes.select("component", (F.col("cls") - by).alias("cls"), F.col("blocks").alias(name))
-    large = classes.join(whole.where(F.col("total") > BLOCK_SHINGLES), "component").drop("total")
-    plan = large.join(near(1, "above"), ["component", "cls"], "left").join(near(-1, "below"), ["component", "cls"], "left")
-    big = member.withColumn("cls", cls).join(plan, ["component", "cls"])
-    small = member.join(whole.where(F.col("total") <= BLOCK_SHINGLES), "component").select("id", F.struct("component", F.lit(-1).cast("long").alias("cls"), *[F.lit(0).cast("long").alias(x) for x in ("i", "next", "j")]).alias("task"), F.lit(0).alias("side"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    plan = classes.join(near(1, "above"), ["component", "cls"], "left").join(near(-1, "below"), ["component", "cls"], "left")
+    # A row for each class of the groups that are cut, of which there are few: members look theirs up without being moved to their group.
+    side = F.broadcast(plan) if classes.limit(BROADCAST_PLAN + 1).count() <= BROADCAST_PLAN else plan
+    member = member.join(side, ["component", "cls"], "left").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     upto = lambda c, make: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(c) - 1), make)).otherwise(F.array().cast("array<struct<t:struct<component:bigint,cls:bigint,i:bigint,next:bigint,j:bigint>,side:int>>"))
 
     def spot(cls_, i, nxt, j, side):
         return F.struct(F.struct(F.col("component"), cls_.cast("long").alias("cls"), i.cast("long").alias("i"), F.lit(nxt).cast("long").alias("next"), j.cast("long").alias("j")).alias("t"), side.cast("int").alias("side"))
 
-    big = big.withColumn("mine", mine)
     own = upto("blocks", lambda x: spot(F.col("cls"), F.least("mine", x), 0, F.greatest("mine", x), F.when(F.col("mine") <= x, 0).otherwise(1)))
     # A block meets itself once, as one side.
     ups = upto("above", lambda x: spot(F.col("cls"), F.col("mine"), 1, x, F.lit(0)))
     downs = upto("below", lambda x: spot(F.col("cls") - 1, x, 1, F.col("mine"), F.lit(1)))
-    spread = big.select("id", F.explode(F.concat(own, ups, downs)).alias("s")).select("id", F.col("s.t").alias("task"), F.col("s.side").alias("side"))
-    tasks = small.unionByName(spread).join(sets, "id")
+    alone = F.array(spot(F.lit(-1), F.lit(0), 0, F.lit(0), F.lit(0)))
+    tasks = member.select("id", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(own, ups, downs))).alias("s"))
+    tasks = tasks.select("id", F.col("s.t").alias("task"), F.col("s.side").alias("side")).join(sets, "id")
 
     def compare(batches):
         t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches

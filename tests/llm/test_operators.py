@@ -600,7 +600,7 @@ def test_near_duplicates(spark, monkeypatch, block, percent):
 def test_near_duplicates_other_ways(spark, monkeypatch):
     docs = near_docs(4)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for name, value in (("LEAST_HOT", 0), ("HOT_SHARE", 10**9), ("MOST_FILTER", 0)):  # every key hot, sets found by a join
+    for name, value in (("LEAST_HOT", 0), ("HOT_SHARE", 10**9), ("MOST_FILTER", 1), ("BROADCAST_PLAN", -1), ("BLOCK_SHINGLES", 400)):  # every key hot, sets found by a join
         monkeypatch.setattr(minhash, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
     assert got == brute_components(docs)
