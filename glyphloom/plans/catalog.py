@@ -131,13 +131,27 @@ def packed_ngrams(spark, sf_dir):
     return p.withColumn("n", F.size(codec.unpack_column(F.col("packed"))).cast("long"))
 
 
-@query(r"SELECT page_id, (NOT regexp_matches(p, '^(.*/)?[^/]*\.(com|net)/en/.*$') OR regexp_matches(p, '^(.*/)?blog\..*$')) AS kept FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)")
+@query(r"SELECT page_id, (NOT regexp_matches(p, '^(.*/)?[^/]*\.(com|net)/en/.*$') OR regexp_matches(p, '^blog\.[^/]*/.*$')) AS kept FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)")
 def ignore_rules(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("p"))
-    return p.select("page_id", (~files.ignored(F.col("p"), ["**/*.com/en/**", "**/*.net/en/**"], ["**/blog.**"])).alias("kept"))
+    return p.select("page_id", (~files.ignored(F.col("p"), ["**/*.com/en/**", "**/*.net/en/**"], ["blog.*/"])).alias("kept"))
 
 
-@query("SELECT url AS path, '===== ' || url || ' =====' || chr(10) || html || chr(10) AS body FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
+_PLACES = ("", "build/", "src/build/", "node_modules/", "a/node_modules/", ".git/", "dist/", ".cache/", ".next/a/", "coverage/", "a/coverage/", ".idea/", "a/.idea/", ".vscode/", "src/")
+_NAMES = ("x.log", ".env", ".env.local", ".DS_Store", "yarn.lock", "x.min.js", "x.tmp", "main.py", "a.log/x")
+
+
+@query(rf"""WITH c AS (SELECT page_id, d || n || CASE WHEN page_id % 7 = 0 THEN '' ELSE '.' || page_id END AS path FROM pages, unnest({list(_PLACES)}) AS a(d), unnest({list(_NAMES)}) AS b(n))
+SELECT page_id, path, NOT (regexp_matches(path, '^(node_modules|\.git|dist|build|\.cache|\.next|coverage|\.idea|\.vscode)/') OR regexp_matches(path, '^[^/]*\.log(/|$)') OR regexp_matches(path, '^\.env[^/]*$') OR path = '.DS_Store' OR regexp_matches(path, '(^|/)yarn\.lock$')) AS kept FROM c""")
+def ignore_fallback(spark, sf_dir):
+    """The patterns that hold without an ignore file, over paths at several depths."""
+    lists = [F.explode(F.array(*[F.lit(x) for x in xs])) for xs in (_PLACES, _NAMES)]
+    rows = _t(spark, sf_dir, "pages").select("page_id", lists[0].alias("d")).select("page_id", "d", lists[1].alias("n"))
+    tail = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("."), F.col("page_id").cast("string")))
+    return rows.select("page_id", F.concat("d", "n", tail).alias("path")).withColumn("kept", ~files.excluded(F.col("path")))
+
+
+@query("""SELECT url AS path, chr(10) || repeat('#', 80) || chr(10) || '# FILE PATH: ' || url || chr(10) || repeat('#', 80) || chr(10) || chr(10) || html || chr(10) || '# END OF FILE: ' || url || chr(10) || chr(10) AS body FROM pages WHERE url IS NOT NULL AND html IS NOT NULL""")
 def file_bundle(spark, sf_dir):
     return files.bundle(_t(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")))
 

@@ -210,6 +210,10 @@ def test_golden_section():
     m = golden_section(0.01, 2.0, lambda x: (x - 0.7) ** 2)
     assert m.converged and abs(m.x - 0.7) < 1e-3 and m.iters < 60
     assert not golden_section(0, 1, lambda x: x, max_iters=2).converged
+    seen = []
+    m = golden_section(0.0, 1.0, lambda x: seen.append(x) or abs(x - 0.31), tolerance=1e-3)
+    assert len(seen) == len(set(seen)) == m.iters + 3 and m.iters == 15 and abs(m.x - 0.31) < 1e-3
+    assert golden_section(1.0, 1.0, lambda x: x) == (1.0, 1.0, 0, True)
 
 
 def test_ids_of_all_tokens(spark, sf):
@@ -286,12 +290,18 @@ def test_files(spark, tmp_path):
     listed = files.list_files(spark, str(tmp_path))
     assert {r["path"] for r in listed.select("path").collect()} == {"a/node_modules/b.js", "x.log", "keep.log", "src/main.py", "bun.lock", "bin.dat"}
     kept = files.select_files(listed, "# rules\nnode_modules/\n*.log\n!keep.log\n")
+    assert rows(kept, "path") == [("a/node_modules/b.js",), ("bin.dat",), ("keep.log",), ("src/main.py",)]
+    kept = files.select_files(listed, "node_modules\n*.log\n!keep.log\n")
     assert rows(kept, "path") == [("bin.dat",), ("keep.log",), ("src/main.py",)]
-    assert rows(files.select_files(listed), "path") == [("bin.dat",), ("src/main.py",)]
+    assert rows(files.select_files(listed), "path") == [("a/node_modules/b.js",), ("bin.dat",), ("src/main.py",)]
     assert rows(files.bundle(kept), "path") == [("keep.log",), ("src/main.py",)]
-    files.write_bundle(kept, str(tmp_path / "out"))
+    assert files.write_bundle(kept, str(tmp_path / "out"), target="/t", time="now") == 3
     got = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
-    assert got.index("keep.log") < got.index("src/main.py") and "m" in got
+    rule = "#" * 80
+    assert got == files.preamble("/t", 3, "now") + "".join(f"\n{rule}\n# FILE PATH: {p}\n{rule}\n\n{body}\n# END OF FILE: {p}\n\n" for p, body in (("keep.log", "k"), ("src/main.py", "m")))
+    (tmp_path / ".gitignore").write_text("top\n")
+    (tmp_path / "src" / ".gitignore").write_text("below\n")
+    assert files.ignore_text(str(tmp_path / "src")).endswith("top\n\nbelow\n")
     assert files.find_project_root(str(tmp_path / "src")) == str(tmp_path.resolve())
     (tmp_path / ".corpus").mkdir()
     (tmp_path / ".corpus" / "c.txt").write_text("c")
@@ -300,6 +310,35 @@ def test_files(spark, tmp_path):
         files.resolve_file("none", start=str(tmp_path))
 
 
+@pytest.mark.parametrize(
+    "pattern,yes,no",
+    [
+        ("build/", ["build/", "build/x", "build/a/b"], ["a/build/x", "build", "rebuild/x"]),
+        ("*.log", ["x.log", "a/b/x.log", ".log"], ["x.logs", "log"]),
+        ("/top", ["top"], ["a/top", "top/x"]),
+        ("a/*/c", ["a/b/c"], ["a/c", "a/b/b/c", "x/a/b/c"]),
+        ("**/x?.[ch]", ["x1.c", "d/e/x2.h"], ["x.c", "x12.c", "x1.d"]),
+        ("a/**/z", ["a/z", "a/b/c/z"], ["z", "a/zz"]),
+        ("{a,b}.txt", ["a.txt", "d/b.txt"], ["c.txt"]),
+        ("[!a]b", ["cb"], ["ab"]),
+        ("a.b+c", ["a.b+c"], ["axb+c", "a.bbc"]),
+    ],
+)
+def test_ignore_patterns(pattern, yes, no):
+    import re
+
+    regex = re.compile(files.glob_regex(files.ignore_glob(pattern)))
+    assert all(regex.search(p) for p in yes) and not any(regex.search(p) for p in no)
+
+
+def test_directories_left_out_take_all_below(spark):
+    paths = ["build/x", "build/keep.txt", "a/build/x", ".idea/x.xml", ".env.local", "a/.env", "x.min.js", "b/x.log", "x.log", ".next/s", "yarn.lock", "q/yarn.lock", "q/tmp/y/z", "é/ü"]
+    df = spark.createDataFrame([(p,) for p in paths] + [(None,), ("",)], "path string")
+    kept = lambda ignore: {r["path"] for r in files.select_files(df, ignore).collect()}
+    assert kept(None) == {"a/build/x", "a/.env", "x.min.js", "b/x.log", "q/tmp/y/z", "é/ü", ""}
+    assert kept("build/\ntmp\n!keep.txt\n!z\n*.xml") == {"a/build/x", ".env.local", "a/.env", "x.min.js", "b/x.log", "x.log", ".next/s", "é/ü", ""}
+
+
 def test_jobs(spark, ab):
     job = JobRunner(JobConfig(edge_policy="accumulate", meta={"set": "x"})).measure(ab)
     assert job.counters["codepoints_in"] == 6 and job.counters["tokens_out"] == 5 and job.counters["compression_ratio"] == 0.83
