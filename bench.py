@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from glyphloom.operators import decode, graph, stats
-from glyphloom.operators.sequence import spread, stream_pairs, tokens, whitespace_tokens
+from glyphloom.operators.sequence import spread, stream_ends, stream_pairs, tokens, whitespace_tokens
 from glyphloom.plans.session import make_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -35,7 +35,7 @@ def main() -> None:
     cases = {
         "ingest_lz": lambda: run(tokens(docs)),
         "ingest_to_edges": lambda: run(graph.edges_accumulate(lz)),
-        "ingest_to_edges_last_run": lambda: run(graph.edges_last_run(lz)),
+        "ingest_to_edges_last_run": lambda: run(graph.merge_ends(stream_ends(docs))),
         "potentials": lambda: over(lz, graph.node_potentials),
         "csr": lambda: over(lz, lambda e: graph.csr(e, graph.dense_index(graph.nodes(e)))[0]),
         "train_and_decode": lambda: over(lz, lambda e: decode.decode(spread(spark.read.parquet(f"{SF_DIR}/benchmark.parquet")), decode.freeze(e))),

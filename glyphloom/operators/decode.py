@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ from .graph import MISSING, node_potentials, transitions
 
 #: Nodes that a graph may have to be sent to every task (bounded graphs hold 50,000).
 MOST_NODES = 2_000_000
+#: Edges that it may have.
+MOST_EDGES = 10_000_000
+#: Bits of the filter of a vocabulary's hashes, for each token and at most (32 MB).
+BITS_PER_TOKEN, MOST_BITS = 64, 1 << 28
+_MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Lattice:
@@ -55,12 +62,14 @@ class Lattice:
         return out[::-1], best[end]
 
 
-def freeze(edge: DataFrame, alpha: float = 0.1, most: int = MOST_NODES) -> Lattice:
-    """The graph on the driver; its size is checked first."""
+def freeze(edge: DataFrame, alpha: float = 0.1, most: int = MOST_NODES, most_edges: int = MOST_EDGES) -> Lattice:
+    """The graph on the driver; the numbers of its nodes and edges are checked first."""
     pot = node_potentials(edge, alpha)
     n = pot.limit(most + 1).count()
     if n > most:
         raise ValueError(f"the graph has more than {most} nodes: bound it first (lru_nodes, refine)")
+    if edge.limit(most_edges + 1).count() > most_edges:
+        raise ValueError(f"the graph has more than {most_edges} edges: prune it first (refine, top_edges)")
     p = pot.where("token <> ''").select("token", "log_p").toArrow()
     t = transitions(edge).select("origin", "terminal", "log_w").toArrow()
     potentials = dict(zip(*(c.to_pylist() for c in p.columns), strict=True))
@@ -98,15 +107,64 @@ def decode_text(lattice: Lattice, text: str) -> list[str]:
     return lattice.segment(text)[0]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _hash_runs(codes: np.ndarray, sizes: list[int], bits: int) -> list[np.ndarray]:
+    """For each size, a number below ``bits`` of every run of so many codes: equal runs have equal numbers, wherever they stand.
+
+    With prefix sums S of code times M to the power of its place, a run's hash is its part of S times M to minus its place.
+    """
+    n = len(codes)
+    up, down = np.full(n + 1, _MUL), np.full(n + 1, _INVERSE)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[:n])))
+    out = []
+    for size in sizes:
+        h = ((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size] + np.uint64(size)) * _MIX
+        h = (h ^ (h >> np.uint64(32))) * _MUL
+        out.append((h >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64))
+    return out
+
+
 def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, token): every place where a token of the vocabulary (token) begins; a hash join on substrings, no trie.
+    """(id, pos, token): every place where a token of the vocabulary (token) begins, of whatever length, without a trie.
 
-    Substrings are cut at the lengths that occur in the vocabulary.
+    For each length that occurs in the vocabulary, all runs of a text are hashed at once and looked up in a filter of the
+    vocabulary's hashes, some bits a token and 32 MB at most; only runs that pass become rows, and a hash join with the
+    vocabulary itself settles them. So texts do not move, and time is a text's length times the number of lengths. Null
+    and empty texts and tokens give nothing; rows that repeat an id each give theirs.
     """
-    t = F.col(text_col)
-    at = F.explode(F.sequence(F.lit(1), F.length(t))).alias("spot")
-    sizes = vocabulary.agg(F.collect_set(F.length("token")).alias("sizes"))
-    spots = rows.where(F.length(t) > 0).select(F.col(key_col).alias("id"), t.alias("text"), at)
-    fit = F.filter("sizes", lambda n: (n > 0) & (n <= F.length("text") - F.col("spot") + 1))
-    cut = F.transform(fit, lambda n: F.substring(F.col("text"), F.col("spot"), n))
-    return spots.join(F.broadcast(sizes)).select("id", (F.col("spot") - 1).alias("pos"), F.explode(cut).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_semi").select("id", "pos", "token")
+    known = vocabulary.select("token").where("token <> ''").distinct()
+    sizes = sorted(r[0] for r in known.select(F.length("token")).distinct().collect())  # as many as there are lengths
+    n = known.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_TOKEN * n).bit_length()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [int(_hash_runs(_codes(t), [len(t)], bits)[0][0]) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+
+    words = known.mapInArrow(spots, "at long").groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.frombuffer(shared.value, np.int64)
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if not t:
+                    continue
+                some = [s for s in sizes if s <= len(t)]
+                for size, slot in zip(some, _hash_runs(_codes(t), some, bits), strict=True):
+                    hit = np.flatnonzero((have[slot >> 6] >> (slot & 63)) & 1)
+                    if len(hit):
+                        ids = b.column(0).take(pa.array(np.full(len(hit), i)))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(hit, pa.int32()), pa.array([t[k : k + size] for k in hit.tolist()], pa.string())], names=["id", "pos", "token"])
+
+    kind = dict(rows.dtypes)[key_col]
+    found = rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, pos int, token string")
+    return found.join(known, "token", "left_semi").select("id", "pos", "token")

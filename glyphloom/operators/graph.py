@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import LRUGraph
+
 ALPHA = 0.1
 MISSING = math.log(1e-9)
 GRAPH_CAPACITY = 50_000
 #: Rows of one coarse bin of the two-level running sums.
 BIN = 8192
+#: Ranges that tokens are ranked in.
+RANGES = 128
 
 
 def snapshot(df: DataFrame) -> DataFrame:
@@ -37,28 +43,42 @@ def edges_accumulate(pairs: DataFrame) -> DataFrame:
     return _weighed(pairs).groupBy("origin", "terminal").agg(F.sum("weight").alias("weight"))
 
 
+def stream_ends(pairs: DataFrame) -> DataFrame:
+    """(stream_key, origin, terminal, weight, more): of each stream and origin the last terminal, the weight of the run that
+    ends with it, and whether another terminal came before. What pairs are shuffled for is their order within a stream."""
+    here = Window.partitionBy("stream_key", "origin").orderBy("pos")
+    f = _weighed(pairs).withColumn("chg", (~F.lag("terminal").over(here).eqNullSafe(F.col("terminal"))).cast("int"))
+    runs = f.withColumn("run", F.sum("chg").over(here)).groupBy("stream_key", "origin", "run", "terminal").agg(F.sum("weight").alias("w"))
+    ends = runs.groupBy("stream_key", "origin").agg(F.max_by(F.struct("terminal", "w"), "run").alias("last"), F.max("run").alias("runs"))
+    return ends.select("stream_key", "origin", F.col("last.terminal").alias("terminal"), F.col("last.w").alias("weight"), (F.col("runs") > 1).alias("more"))
+
+
+def merge_ends(ends: DataFrame) -> DataFrame:
+    """(origin, terminal, weight) of edges_last_run() from stream_ends().
+
+    An origin's last stream gives its terminal; the run goes back to the latest stream that has another. A stream that ends
+    with another terminal, or has another before its end, is a break for that origin. So for each terminal the latest
+    stream that ends with it and the latest that breaks it are enough to know where the run begins; these are maxima with
+    partial aggregation, of which an origin keeps the two latest terminals. The weights after that are summed in a second
+    look at the ends, again with partial sums: an origin that occurs in every stream is no hot key.
+    """
+    at = F.struct(F.col("stream_key").isNull().alias("n"), F.col("stream_key").alias("k"))
+    rows = ends.select("origin", "terminal", "weight", "more", at.alias("at"))
+    by = rows.groupBy("origin", "terminal").agg(F.max("at").alias("last"), F.max(F.when(F.col("more"), F.col("at"))).alias("broken"))
+    latest = Window.partitionBy("origin").orderBy(F.col("last").desc())
+    two = by.withColumn("r", F.row_number().over(latest)).where("r <= 2")
+    plan = two.groupBy("origin").agg(F.max(F.when(F.col("r") == 1, F.struct("terminal", "broken"))).alias("one"), F.max(F.when(F.col("r") == 2, F.col("last"))).alias("other"))
+    plan = plan.select("origin", F.col("one.terminal").alias("terminal"), F.greatest("one.broken", "other").alias("since"))
+    kept = rows.join(plan, ["origin", "terminal"]).where(F.col("since").isNull() | (F.col("at") >= F.col("since")))
+    return kept.groupBy("origin", "terminal").agg(F.sum("weight").alias("weight"))
+
+
 def edges_last_run(pairs: DataFrame) -> DataFrame:
     """(origin, terminal, weight): an edge to a new terminal replaces all of an origin's edges.
 
-    So each origin keeps its latest terminal, with the weight of the trailing run. Order is (stream_key, pos), null keys
-    last. Every stream is first brought down to one row an origin: its trailing run, and whether that is all it has.
-    An origin's last stream gives the terminal; the run goes back to the latest stream that has another. That takes
-    maxima and sums with partial aggregation only, so an origin that occurs in every stream is no hot key.
+    So each origin keeps its latest terminal, with the weight of the trailing run. Order is (stream_key, pos), null keys last.
     """
-    rows = _weighed(pairs)
-    here = Window.partitionBy("stream_key", "origin").orderBy("pos")
-    f = rows.withColumn("chg", (~F.lag("terminal").over(here).eqNullSafe(F.col("terminal"))).cast("int"))
-    g = f.withColumn("run", F.sum("chg").over(here))
-    runs = g.groupBy("stream_key", "origin", "run", "terminal").agg(F.sum("weight").alias("w"))
-    ends = runs.groupBy("stream_key", "origin").agg(F.max_by(F.struct("terminal", "w"), "run").alias("last"), F.max("run").alias("runs"))
-    when = F.struct(F.col("stream_key").isNull().alias("n"), F.col("stream_key").alias("k"))
-    ends = ends.select("origin", when.alias("at"), F.col("last.terminal").alias("terminal"), F.col("last.w").alias("w"), (F.col("runs") > 1).alias("more"))
-    final = ends.groupBy("origin").agg(F.max_by("terminal", "at").alias("final"))
-    led = ends.join(final, "origin")
-    other = ~F.col("terminal").eqNullSafe(F.col("final"))
-    stop = led.groupBy("origin").agg(F.max(F.when(other | F.col("more"), F.col("at"))).alias("stop"))
-    kept = led.where(~other).join(stop, "origin").where(F.col("stop").isNull() | (F.col("at") >= F.col("stop")))
-    return kept.groupBy("origin", F.col("final").alias("terminal")).agg(F.sum("w").alias("weight"))
+    return merge_ends(stream_ends(pairs))
 
 
 def edges(pairs: DataFrame, policy: str = "last_run") -> DataFrame:
@@ -92,17 +112,32 @@ def transitions(edge: DataFrame) -> DataFrame:
     return edge.join(out, "origin").select("origin", "terminal", "weight", (F.log("weight") - F.log("out_weight")).alias("log_w"))
 
 
-def dense_index(node: DataFrame) -> DataFrame:
+def _range_of(token: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are not above token, by halving."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(token < F.lit(bounds[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(bounds))
+
+
+def dense_index(node: DataFrame, ranges: int = RANGES) -> DataFrame:
     """(token, dense_idx): 0, 1, 2 ... in token order.
 
-    In two levels: tokens are ranked among those of the same first two codepoints, and the groups' sizes are summed
-    up. Groups depend on the tokens alone, so both levels agree however often they are computed.
+    In two levels: tokens are ranked within ranges of about equal size, and the ranges' sizes are summed up. The bounds
+    come from a sample of the tokens themselves (those of lowest hash), so they, and both levels, agree however often they are
+    computed, and tokens that begin alike fall into several ranges.
     """
-    parted = node.select("token", F.substring("token", 1, 2).alias("part"))
+    lowest = node.select("token", F.xxhash64("token").alias("h")).where("token is not null").orderBy("h").limit(16 * ranges)
+    sample = sorted(r["token"] for r in lowest.select("token").collect())
+    parted = node.select("token", _range_of(F.col("token"), sorted({*sample[8::16]})).alias("part"))
     w = Window.partitionBy("part").orderBy("token")
     sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return parted.withColumn("r", F.row_number().over(w)).join(before, "part").select("token", (F.col("before") + F.col("r") - 1).alias("dense_idx"))
+    return parted.withColumn("r", F.row_number().over(w)).join(F.broadcast(before), "part").select("token", (F.col("before") + F.col("r") - 1).alias("dense_idx"))
 
 
 def by_token(tokens: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -152,3 +187,26 @@ def lru_nodes(pairs: DataFrame, capacity: int = GRAPH_CAPACITY) -> DataFrame:
 def restrict(edge: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose origin is among ``kept`` (token): those of evicted nodes are gone; terminals may dangle."""
     return edge.join(kept.select(F.col("token").alias("origin")), "origin", "left_semi")
+
+
+def lru_edges(pairs: DataFrame, capacity: int = GRAPH_CAPACITY, policy: str = "last_run") -> DataFrame:
+    """(origin, terminal, weight) of a graph that never held more than ``capacity`` nodes: kernel.LRUGraph over the pairs in order.
+
+    Which node goes depends on all merges before, and the weights of one that comes again start anew, so beyond the capacity
+    this is one task's work; its memory holds ``capacity`` nodes. Graphs that do not pass the capacity are built in parallel.
+    """
+    if nodes(pairs.select("origin", "terminal")).limit(capacity + 1).count() <= capacity:
+        return edges(pairs, policy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = LRUGraph(capacity, policy)
+        for b in batches:
+            for origin, terminal, weight in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                g.merge(origin, terminal, weight)
+        rows = g.edges()
+        for i in range(0, len(rows), 10_000):
+            o, t, w = zip(*rows[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.string()), pa.array(t, pa.string()), pa.array(w, pa.float64())], names=["origin", "terminal", "weight"])
+
+    rows = _weighed(pairs).coalesce(1).sortWithinPartitions(F.col("stream_key").asc_nulls_last(), "pos")
+    return rows.select("origin", "terminal", F.col("weight").cast("double")).mapInArrow(run, "origin string, terminal string, weight double")

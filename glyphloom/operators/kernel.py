@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections import OrderedDict, deque
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from ..functions.codec import PRIME, SEED, U32, encode_id, pack, unpack
@@ -19,6 +20,8 @@ GATE_CAPACITY = 70_000
 
 
 class Gate(Protocol):
+    """What a sequencer asks whether its candidate may grow. A snapshot has name, ingested, pass_rate and custom_metrics."""
+
     name: str
 
     def evaluate(self, current: int, previous: int) -> bool: ...
@@ -26,6 +29,54 @@ class Gate(Protocol):
     def snapshot(self) -> dict: ...
 
 
+class Keys(Protocol):
+    """Makes the key of a candidate, integer by integer."""
+
+    value: int
+
+    def update(self, x: int) -> int: ...
+    def reset(self) -> None: ...
+    def recalculate(self, ints: Sequence[int]) -> int: ...
+
+
+class Stats(Protocol):
+    """What the MDL gate knows of the transitions so far."""
+
+    def parent_count(self, prev: int) -> int: ...
+    def edge_count(self, prev: int, cur: int) -> int: ...
+    def degree(self, prev: int) -> int: ...
+    def push(self, prev: int, cur: int) -> None: ...
+
+
+class Sequencer(Protocol):
+    """Takes integers, gives tokens."""
+
+    def push(self, x: int) -> list[list[int]]: ...
+    def flush(self) -> list[list[int]]: ...
+    def reset(self) -> None: ...
+    def snapshot(self) -> list[dict]: ...
+
+
+class RollingKeys:
+    """A 32-bit rolling hash."""
+
+    def __init__(self, seed: int = SEED):
+        self.seed = self.value = seed
+
+    def update(self, x: int) -> int:
+        self.value = (self.value * PRIME + x) & U32
+        return self.value
+
+    def reset(self) -> None:
+        self.value = self.seed
+
+    def recalculate(self, ints: Sequence[int]) -> int:
+        self.value = self.seed
+        for x in ints:
+            self.update(x)
+        return self.value
+
+
 class SeenCache:
     """Counts of keys, the least recently used going first beyond ``capacity``. May be shared by several gates."""
 
@@ -93,12 +144,16 @@ class MarkovStats:
 class MDLGate:
     """Passes a transition whose probability lies far enough below its moving average, yet above a degree threshold."""
 
-    def __init__(self, name="MDLGate", alpha=0.1, beta=0.02, c=0.7, tau=0.8, z_mode="child-degree", z_fixed=256, max_degree=2048, stats: MarkovStats | None = None):
+    def __init__(self, name="MDLGate", alpha=0.1, beta=0.02, c=0.7, tau=0.8, z_mode="child-degree", z_fixed=256, max_degree=2048, stats: Stats | None = None):
         self.name, self.alpha, self.beta, self.c2, self.tau = name, alpha, beta, c * c, tau
         self.z_mode, self.z_fixed, self.max_degree = z_mode, z_fixed, max_degree
         self.stats = stats if stats is not None else MarkovStats()
         self._start()
 
+    @property
+    def config(self) -> dict:
+        return {"name": self.name, "alpha": self.alpha, "beta": self.beta, "c": self.c2**0.5, "tau": self.tau, "z_mode": self.z_mode, "z_fixed": self.z_fixed, "max_degree": self.max_degree}
+
     def _start(self) -> None:
         self.mean, self.square, self.ingested, self.passed = 0.2, 0.08, 0, 0
 
@@ -134,12 +189,17 @@ class MDLGate:
 class IntSequencer:
     """Lets a candidate grow while every gate passes its key; emits it, less the last integer, when one does not."""
 
-    def __init__(self, gates: list[Gate] | None = None, name: str = "IntSequencer", compat: str = "reference", seed: int = SEED):
-        self.name, self.gates, self.compat, self.seed = name, list(gates or ()), compat, seed
+    def __init__(self, gates: list[Gate] | None = None, name: str = "IntSequencer", compat: str = "reference", seed: int = SEED, keys: Keys | None = None):
+        self.name, self.gates, self.compat = name, list(gates or ()), compat
+        self.keys = RollingKeys(seed) if keys is None else keys
         self._clear()
 
     def _clear(self) -> None:
-        self.candidate, self.key, self.ints_in, self.emitted = [], self.seed, 0, 0
+        self.candidate, self.ints_in, self.emitted = [], 0, 0
+
+    @property
+    def key(self) -> int:
+        return self.keys.value
 
     @staticmethod
     def _value(x) -> int:
@@ -147,15 +207,16 @@ class IntSequencer:
 
     def _step(self, x):
         """The token that x completes, or None."""
-        previous = self.key
+        keys, value = self.keys, self._value(x)
+        previous = keys.value
         self.ints_in += 1
         self.candidate.append(x)
-        self.key = (self.key * PRIME + self._value(x)) & U32
+        key = keys.update(value)
         for gate in self.gates:
-            if not gate.evaluate(self.key, previous):
+            if not gate.evaluate(key, previous):
                 out = self.candidate[:-1]
                 self.emitted += 1
-                self.key = (self.seed * PRIME + self._value(x)) & U32
+                keys.recalculate([value])
                 self.candidate = [x]
                 return out
         return None
@@ -167,14 +228,14 @@ class IntSequencer:
     def flush(self) -> list[list[int]]:
         if self.compat == "reference":
             return [list(self.candidate)]
-        out, self.candidate, self.key = self.candidate, [], self.seed
+        out, self.candidate = self.candidate, []
+        self.keys.reset()
         return [out] if out else []
 
     def reset(self) -> None:
-        key = self.key
         self._clear()
-        if self.compat == "reference":
-            self.key = key
+        if self.compat != "reference":
+            self.keys.reset()
         for gate in self.gates:
             gate.reset()
 
@@ -189,8 +250,8 @@ def strip_marks(token: list) -> list:
 class BoundarySequencer(IntSequencer):
     """Sequences the inner tokens again, each between an opening and a closing mark, and joins what the marks say belongs together."""
 
-    def __init__(self, inner: IntSequencer, gates=None, name="BoundarySequencer", compat="reference", seed=SEED):
-        super().__init__(gates, name, compat, seed)
+    def __init__(self, inner: Sequencer, gates=None, name="BoundarySequencer", compat="reference", seed=SEED, keys: Keys | None = None):
+        super().__init__(gates, name, compat, seed, keys)
         self.inner, self.queue = inner, deque()
 
     def _reward(self, token: list) -> None:
@@ -259,8 +320,8 @@ class MergeSequencer(IntSequencer):
 
     SHORT = 5
 
-    def __init__(self, inner: IntSequencer, gates=None, name="MergeSequencer", compat="reference", seed=SEED):
-        super().__init__(gates, name, compat, seed)
+    def __init__(self, inner: Sequencer, gates=None, name="MergeSequencer", compat="reference", seed=SEED, keys: Keys | None = None):
+        super().__init__(gates, name, compat, seed, keys)
         self.inner = inner
 
     def _expand(self, token: list) -> list[int]:
@@ -305,27 +366,74 @@ class MergeSequencer(IntSequencer):
         return super().snapshot() + self.inner.snapshot()
 
 
-def build(stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, shared: bool = True, **mdl) -> IntSequencer:
+def build(
+    stack: str | Callable[[], Sequencer] = "int",
+    gate: str | Callable[[str], Sequence[Gate]] = "lz",
+    compat: str = "reference",
+    capacity: int = GATE_CAPACITY,
+    shared: bool = True,
+    seed: int = SEED,
+    keys: Callable[[], Keys] | None = None,
+    **mdl,
+) -> Sequencer:
     """A sequencer: ``stack`` int, boundary or merge (each on top of the ones before); ``gate`` lz, mdl or none.
 
-    LZ gates share one cache unless ``shared`` is off.
+    LZ gates share one cache unless ``shared`` is off. Instead of names, functions can be given: ``gate(level)`` makes the
+    gates of a level (int, boundary, merge), ``keys()`` a key generator for each, ``stack()`` a whole sequencer.
+    They are called once for every stream, so streams share nothing.
     """
+    if callable(stack):
+        return stack()
     cache = SeenCache(capacity)
     levels = {"int": 1, "boundary": 2, "merge": 3}[stack]
 
     def gates(name: str) -> list[Gate]:
+        if callable(gate):
+            return list(gate(name))
         if gate == "none":
             return []
         return [LZGate(name, cache if shared else SeenCache(capacity))] if gate == "lz" else [MDLGate(name, **mdl)]
 
-    seq = IntSequencer(gates("int"), "int", compat)
+    with_keys = lambda: {"seed": seed, "keys": keys() if keys else None}
+    seq: Sequencer = IntSequencer(gates("int"), "int", compat, **with_keys())
     if levels > 1:
-        seq = BoundarySequencer(seq, gates("boundary"), "boundary", compat)
+        seq = BoundarySequencer(seq, gates("boundary"), "boundary", compat, **with_keys())
     if levels > 2:
-        seq = MergeSequencer(seq, gates("merge"), "merge", compat)
+        seq = MergeSequencer(seq, gates("merge"), "merge", compat, **with_keys())
     return seq
 
 
+class LRUGraph:
+    """The token graph of a bounded number of nodes, merge by merge, the least recently used node going first.
+
+    A merge touches its origin; a terminal is touched only when it is new. An evicted node loses its edges, and starts
+    anew if it comes again; edges that lead to it stay. ``last_run``: a terminal that the origin has no edge to replaces them.
+    """
+
+    def __init__(self, capacity: int, policy: str = "last_run"):
+        self.capacity, self.replace = capacity, policy == "last_run"
+        self.nodes: OrderedDict[str, dict[str, float]] = OrderedDict()
+
+    def _put(self, node: str, out: dict[str, float]) -> None:
+        if node not in self.nodes and len(self.nodes) >= self.capacity:
+            self.nodes.popitem(last=False)
+        self.nodes[node] = out
+        self.nodes.move_to_end(node)
+
+    def merge(self, origin: str, terminal: str, weight: float = 1.0) -> None:
+        out = self.nodes.get(origin)
+        if out is None or self.replace and terminal not in out:
+            self._put(origin, {terminal: weight})
+        else:
+            self.nodes.move_to_end(origin)
+            out[terminal] = out.get(terminal, 0.0) + weight
+        if terminal not in self.nodes:
+            self._put(terminal, {})
+
+    def edges(self) -> list[tuple[str, str, float]]:
+        return [(o, t, w) for o, out in self.nodes.items() for t, w in out.items()]
+
+
 def lz_cuts(cps, capacity: int = GATE_CAPACITY) -> list[int]:
     """Ends of the tokens that IntSequencer with one LZ gate emits, without the flush; the first is 0 (the empty token).
 

@@ -95,6 +95,12 @@ def laplace(known: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def ewma(rows: DataFrame, value_col: str, beta: float = 0.02, start: float = 0.2, key_col: str = "stream_key", order_col: str = "pos") -> DataFrame:
-    """(key, ewma): the last value of m = (1 - beta) m + beta x over each stream in order."""
-    seq = rows.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct(order_col, value_col))).alias("s"))
-    return seq.select(key_col, F.aggregate("s", F.lit(start), lambda m, x: m * (1 - beta) + x[value_col] * beta).alias("ewma"))
+    """(key, ewma): the last value of m = (1 - beta) m + beta x over each stream in order.
+
+    Unrolled, that is (1 - beta)^n start + the sum of beta (1 - beta)^k x with k values after x: a sum, so streams are never
+    gathered; places from the end come from a window that is sorted, and spilled, where a stream lies.
+    """
+    back = F.row_number().over(Window.partitionBy(key_col).orderBy(F.col(order_col).desc(), F.col(value_col).desc())) - 1
+    placed = rows.select(F.col(key_col), F.col(value_col).alias("x"), back.alias("k"))
+    fade = lambda k: F.pow(F.lit(1 - beta), k)
+    return placed.groupBy(key_col).agg((fade(F.count(F.lit(1))) * start + F.sum(F.col("x") * beta * fade(F.col("k")))).alias("ewma"))

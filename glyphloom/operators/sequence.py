@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,30 +14,33 @@ from .kernel import GATE_CAPACITY, build, lz_cuts
 
 #: Characters whose tokens are put out together.
 OUT_CHARS = 1 << 20
+#: Bytes a core below which an input is dealt out anew.
+SMALL_SHARE = 32 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows, dealt out evenly if they come from fewer files than the session has cores.
+    """rows, dealt out evenly if they are few bytes for the session's cores.
 
-    The kernels cost far more than moving a text, and one small file is one task. Inputs of many files are left alone.
+    The kernels cost far more than moving a text, and one small file is one task. The size is the planner's estimate:
+    nothing is listed or run. Larger inputs come in splits enough, and are left alone.
     """
     n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(n) if size < n * SMALL_SHARE else rows
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
-def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **mdl) -> DataFrame:
+def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
     """(stream_key, tok_pos, token, token_str, is_flush): every row of docs is one stream with a state of its own.
 
     Nothing is shuffled. Null text is an empty stream. With a lone LZ level the tokens are slices of the text and are
-    cut out of its buffer at once; other stacks run step by step.
+    cut out of its buffer at once; other stacks run step by step. ``stack``, ``gate``, ``keys`` (functions that make them)
+    and the rest are as in kernel.build(): user-made gates, key generators and sequencers run where the rows lie.
     """
-    fast = stack == "int" and gate == "lz"
-
-
+    fast = stack == "int" and gate == "lz" and not more
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[tuple] = []
@@ -50,7 +54,7 @@ def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sta
                     ends = np.array([*cuts, len(codes)] if len(codes) or compat == "reference" else [], np.int64)
                     held.append((key, codes, ends, max(0, len(ends) - 1)))
                 else:
-                    seq = build(stack, gate, compat, capacity, **mdl)
+                    seq = build(stack, gate, compat, capacity, **more)
                     done = [x for c in codes.tolist() for x in seq.push(c)]
                     n = len(done)
                     done += seq.flush()
@@ -68,6 +72,54 @@ def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sta
     return rows.mapInArrow(run, f"stream_key {kind}, tok_pos long, token array<int>, token_str string, is_flush boolean")
 
 
+def ordered_tokens(rows: DataFrame, key_col: str | None, order_col: str, text_col: str = "text", sep: str = "\n\n", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
+    """tokens() of streams that are many rows each: the texts of a key in order, with ``sep`` between, null texts left out.
+
+    Rows are sorted by key and order within partitions and pushed through one sequencer a stream: a stream is one task's
+    work, since its state is sequential, but never one value, and memory holds a batch of rows and the sequencer. Without
+    key_col all rows are one stream, of key 0. Rows of equal order are taken by their text.
+    """
+    key = F.lit(0) if key_col is None else F.col(key_col)
+    parts = rows.where(F.col(text_col).isNotNull()).select(key.alias("k"), F.col(order_col).alias("o"), F.col(text_col).alias("t"))
+    parts = (parts.coalesce(1) if key_col is None else parts.repartition("k")).sortWithinPartitions("k", "o", "t")
+    kind = dict(parts.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, seq, n, out, size = None, None, 0, [], 0
+
+        def take(done: list, flush: bool) -> None:
+            nonlocal n, size
+            for token in done:
+                out.append((here.as_py(), n, token, flush))
+                n, size = n + 1, size + len(token) + 1
+
+        def batch() -> pa.RecordBatch:
+            nonlocal out, size
+            keys, pos, toks, flush = zip(*out, strict=True) if out else ((),) * 4
+            out, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(pos, pa.int64()), pa.array(toks, pa.list_(pa.int32())), pa.array(["".join(map(chr, t)) for t in toks], pa.string()), pa.array(flush, pa.bool_())], names=["stream_key", "tok_pos", "token", "token_str", "is_flush"])
+
+        for b in batches:
+            arrow = b.schema.field(0).type
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                text = t.as_py()
+                if seq is None or k != here:
+                    if seq is not None:
+                        take(seq.flush(), True)
+                    here, seq, n = k, build(stack, gate, compat, capacity, **more), 0
+                else:
+                    text = sep + text
+                for c in text:
+                    take(seq.push(ord(c)), False)
+                    if size >= OUT_CHARS:
+                        yield batch()
+        if seq is not None:
+            take(seq.flush(), True)
+            yield batch()
+
+    return parts.select("k", "t").mapInArrow(run, f"stream_key {kind}, tok_pos long, token array<int>, token_str string, is_flush boolean")
+
+
 def _batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     counts = np.array([len(e) for _, _, e, _ in held])
     keys = pa.array([k.as_py() for k, _, _, _ in held], kind).take(pa.array(np.repeat(np.arange(len(held)), counts)))
@@ -85,20 +137,35 @@ def _batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int64()), lists, strings, pa.array(flush)], names=["stream_key", "tok_pos", "token", "token_str", "is_flush"])
 
 
-def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
-    """(stream_key, pos, origin, terminal) of consecutive LZ tokens, made where the tokens are: no window, no shuffle.
-
-    The same rows as bigrams(tokens(...)). What the flush gives forms no pair.
-    """
-
-    def pairs(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        b = _batch(held, kind)
-        pos = b.column(1).to_numpy()
-        follows = pa.array(pos > 0)
-        leads = pa.array(np.append(pos[1:] > 0, False) if len(pos) else np.zeros(0, bool))
-        later = b.filter(follows)
-        return pa.RecordBatch.from_arrays([later.column(0), later.column(1), b.column(3).filter(leads), later.column(3)], names=["stream_key", "pos", "origin", "terminal"])
-
+def _pairs(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """(stream_key, pos, origin, terminal) of the consecutive tokens of some streams."""
+    b = _batch(held, kind)
+    pos = b.column(1).to_numpy()
+    leads = pa.array(np.append(pos[1:] > 0, False) if len(pos) else np.zeros(0, bool))
+    later = b.filter(pa.array(pos > 0))
+    return pa.RecordBatch.from_arrays([later.column(0), later.column(1), b.column(3).filter(leads), later.column(3)], names=["stream_key", "pos", "origin", "terminal"])
+
+
+def _trailing(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """(stream_key, origin, terminal, weight, more): of each stream and origin the last terminal, how often it came at the end, and whether another came before."""
+    b = _pairs(held, kind)
+    if not len(b):
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([], pa.float64()), pa.array([], pa.bool_())], names=["stream_key", "origin", "terminal", "weight", "more"])
+    stream = np.cumsum(np.concatenate(([0], np.diff(b.column(1).to_numpy()) <= 0)))
+    origin, terminal = (b.column(i).dictionary_encode().indices.to_numpy() for i in (2, 3))
+    order = np.lexsort((origin, stream))  # stable: places stay in order
+    o, t, s = origin[order], terminal[order], stream[order]
+    group = np.concatenate(([True], (np.diff(o) != 0) | (np.diff(s) != 0)))
+    run = group | np.concatenate(([True], np.diff(t) != 0))
+    starts = np.flatnonzero(run)
+    length = np.diff(np.append(starts, len(o)))
+    ends = np.flatnonzero(np.append(group[1:], True))  # the last place of each group
+    last = np.searchsorted(starts, ends, side="right") - 1
+    picked = b.take(pa.array(order[ends]))
+    return pa.RecordBatch.from_arrays([picked.column(0), picked.column(2), picked.column(3), pa.array(length[last].astype(np.float64)), pa.array(~group[starts[last]])], names=["stream_key", "origin", "terminal", "weight", "more"])
+
+
+def _lz_rows(docs: DataFrame, key_col: str, text_col: str, capacity: int, made, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.schema.field(0).type
@@ -109,34 +176,50 @@ def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
                 held.append((key, codes[: ends[-1]] if len(ends) else codes[:0], ends, len(ends)))
                 size += len(codes)
                 if size >= OUT_CHARS:
-                    yield pairs(held, kind)
+                    yield made(held, kind)
                     held, size = [], 0
             if held:
-                yield pairs(held, kind)
+                yield made(held, kind)
 
     kind = dict(docs.dtypes)[key_col]
-    return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"stream_key {kind}, pos long, origin string, terminal string")
+    return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema.format(kind=kind))
+
+
+def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
+    """(stream_key, pos, origin, terminal) of consecutive LZ tokens, made where the tokens are: no window, no shuffle.
+
+    The same rows as bigrams(tokens(...)). What the flush gives forms no pair.
+    """
+    return _lz_rows(docs, key_col, text_col, capacity, _pairs, "stream_key {kind}, pos long, origin string, terminal string")
+
+
+def stream_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
+    """graph.stream_ends(stream_pairs(docs)), made where the tokens are: one row a stream and origin. Keys must differ."""
+    return _lz_rows(docs, key_col, text_col, capacity, _trailing, "stream_key {kind}, origin string, terminal string, weight double, more boolean")
 
 
 _GATE = pa.struct([("name", pa.string()), ("ingested", pa.int64()), ("pass_rate", pa.float64()), ("custom_metrics", pa.map_(pa.string(), pa.float64()))])
-_SNAP = pa.struct([("name", pa.string()), ("ints_in", pa.int64()), ("sequences_emitted", pa.int64()), ("ints_per_emit", pa.float64()), ("gates", pa.list_(_GATE))])
+_SNAP = pa.struct([("name", pa.string()), ("ints_in", pa.int64()), ("sequences_emitted", pa.int64()), ("ints_per_emit", pa.float64()), ("duration_ms", pa.float64()), ("gates", pa.list_(_GATE))])
 
 
-def snapshots(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "merge", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **mdl) -> DataFrame:
+def snapshots(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "merge", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
     """(stream_key, sequencers): counters of every level and its gates after each stream, the outermost first.
 
-    ints_per_emit is null where nothing was emitted.
+    ints_per_emit is null where nothing was emitted; duration_ms is the time the stream took, the same at every level.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1):
-                seq = build(stack, gate, compat, capacity, **mdl)
+                seq = build(stack, gate, compat, capacity, **more)
+                begin = time.perf_counter()
                 for c in t.as_py() or "":
                     seq.push(ord(c))
+                took = (time.perf_counter() - begin) * 1000
                 snap = seq.snapshot()
                 for level in snap:
+                    level["duration_ms"] = took
                     for g in level["gates"]:
                         g["custom_metrics"] = list(g["custom_metrics"].items())
                 out.append(snap)
@@ -145,13 +228,13 @@ def snapshots(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[key_col]
     gates = "array<struct<name:string,ingested:long,pass_rate:double,custom_metrics:map<string,double>>>"
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"stream_key {kind}, sequencers array<struct<name:string,ints_in:long,sequences_emitted:long,ints_per_emit:double,gates:{gates}>>")
+    return rows.mapInArrow(run, f"stream_key {kind}, sequencers array<struct<name:string,ints_in:long,sequences_emitted:long,ints_per_emit:double,duration_ms:double,gates:{gates}>>")
 
 
 def joined_streams(rows: DataFrame, key_col: str, order_col: str, text_col: str, sep: str = "\n\n") -> DataFrame:
     """(key, text): the texts of each key in order, put together with ``sep``; for streams of many rows.
 
-    A stream's state is sequential, so one stream is one task's work; make the key finer to spread it.
+    Each stream becomes one value; ordered_tokens() takes streams of any length instead.
     """
     parts = rows.where(F.col(text_col).isNotNull()).groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct(order_col, text_col))).alias("p"))
     return parts.select(key_col, F.array_join(F.transform("p", lambda x: x[text_col]), sep).alias(text_col))

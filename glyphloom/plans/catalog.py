@@ -1,7 +1,7 @@
 """The library's queries over the test tables, and SQL for the same rows.
 
-Graph queries come twice: over words, where SQL can follow, and over the tokens that the gates discover,
-where the fold has no SQL and tests hold the kernel against hand-traced vectors.
+Graph queries come twice: over words, and over the tokens that the gates discover. The fold of one LZ gate is a reduction in
+SQL; that of the other gates and sequencers has none, and tests hold the kernel against hand-traced vectors.
 """
 
 from __future__ import annotations
@@ -12,19 +12,32 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, snapshots, spread, stream_pairs, tokens, whitespace_tokens
+from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_ends, stream_pairs, tokens, whitespace_tokens
 from ..sources import corpus, files
 
-_W = r"""w AS (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
+_W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
   FROM (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS ws FROM documents)) WHERE token_str <> '')"""
-_B = _W + """, b AS (SELECT stream_key, tok_pos AS pos, origin, token_str AS terminal FROM (SELECT *, lag(token_str) OVER (PARTITION BY stream_key ORDER BY tok_pos) AS origin,
+_B = _W + """, b AS MATERIALIZED (SELECT stream_key, tok_pos AS pos, origin, token_str AS terminal FROM (SELECT *, lag(token_str) OVER (PARTITION BY stream_key ORDER BY tok_pos) AS origin,
   row_number() OVER (PARTITION BY stream_key ORDER BY tok_pos) AS n FROM w) WHERE n > 1)"""
-_E = _B + ", e AS (SELECT origin, terminal, count(*)::DOUBLE AS weight FROM b GROUP BY 1, 2)"
-_S = _E + """, s AS (SELECT token, sum(i) AS in_weight, sum(o) AS out_weight, sum(di)::BIGINT AS in_degree, sum(d_o)::BIGINT AS out_degree FROM
+_E = _B + ", e AS MATERIALIZED (SELECT origin, terminal, count(*)::DOUBLE AS weight FROM b GROUP BY 1, 2)"
+_S = _E + """, s AS MATERIALIZED (SELECT token, sum(i) AS in_weight, sum(o) AS out_weight, sum(di)::BIGINT AS in_degree, sum(d_o)::BIGINT AS out_degree FROM
   (SELECT origin AS token, 0.0::DOUBLE AS i, weight AS o, 0 AS di, 1 AS d_o FROM e UNION ALL SELECT terminal, weight, 0.0::DOUBLE, 1, 0 FROM e) GROUP BY 1)"""
-_LAST = """f AS (SELECT *, CASE WHEN lag(terminal) OVER o IS DISTINCT FROM terminal THEN 1 ELSE 0 END AS chg FROM b WINDOW o AS (PARTITION BY origin ORDER BY stream_key, pos)),
-g AS (SELECT *, sum(chg) OVER (PARTITION BY origin ORDER BY stream_key, pos) AS run FROM f), h AS (SELECT *, max(run) OVER (PARTITION BY origin) AS last_run FROM g)"""
-_I = ", n AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS dense_idx FROM s)"
+_LAST = """chg AS (SELECT *, CASE WHEN lag(terminal) OVER o IS DISTINCT FROM terminal THEN 1 ELSE 0 END AS chg FROM b WINDOW o AS (PARTITION BY origin ORDER BY stream_key, pos)),
+g AS (SELECT *, sum(chg) OVER (PARTITION BY origin ORDER BY stream_key, pos) AS run FROM chg), h AS (SELECT *, max(run) OVER (PARTITION BY origin) AS last_run FROM g)"""
+_I = ", n AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) - 1 AS dense_idx FROM s)"
+# The LZ fold, one step a codepoint: the rolling key, the keys seen, the ends of tokens. Keys are never evicted here, so this is
+# right for texts of up to the cache's capacity (70,000 codepoints).
+_FOLD = """f AS MATERIALIZED (SELECT stream_key, text, list_append(list_reduce(list_zip(cps, range(len(cps))),
+  lambda a, x: CASE WHEN list_contains(a.seen, ((a.h * 31 + x[1]) & 4294967295)::UINTEGER) THEN struct_pack(h := (a.h * 31 + x[1]) & 4294967295, seen := a.seen, ends := a.ends)
+    ELSE struct_pack(h := (2166136261 * 31 + x[1]) & 4294967295, seen := list_append(a.seen, ((a.h * 31 + x[1]) & 4294967295)::UINTEGER), ends := list_append(a.ends, x[2]::INTEGER)) END,
+  struct_pack(h := 2166136261::BIGINT, seen := []::UINTEGER[], ends := []::INTEGER[])).ends, len(cps)::INTEGER) AS ends
+  FROM (SELECT stream_key, text, CASE WHEN text <> '' THEN list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) ELSE []::BIGINT[] END AS cps FROM streams)),
+z AS MATERIALIZED (SELECT stream_key, x[3] AS tok_pos, substr(text, x[1] + 1, x[2] - x[1]) AS token_str, x[3] = n - 1 AS is_flush, x[2] AS upto, length(text) AS size
+  FROM (SELECT stream_key, text, len(ends) AS n, unnest(list_zip(list_concat([0::INTEGER], ends), ends, range(len(ends)), true)) AS x FROM f))"""
+_Z = "streams AS (SELECT doc_id AS stream_key, coalesce(text, '') AS text FROM documents), " + _FOLD
+_ZB = _Z + """, b AS MATERIALIZED (SELECT stream_key, tok_pos AS pos, origin, token_str AS terminal FROM
+  (SELECT *, lag(token_str) OVER (PARTITION BY stream_key ORDER BY tok_pos) AS origin FROM z WHERE NOT is_flush) WHERE tok_pos > 0)"""
+_ZE = _ZB + ", e AS MATERIALIZED (SELECT origin, terminal, count(*)::DOUBLE AS weight FROM b GROUP BY 1, 2)"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -109,16 +122,11 @@ def rolling_keys(spark, sf_dir):
     return t.select("token", codec.rolling_key(text.codepoints(F.col("token"))).alias("key"))
 
 
-@query(f"WITH {_W}, t AS (SELECT DISTINCT token_str AS token FROM w WHERE length(token_str) <= 3) SELECT token, list_reduce(list_transform(string_split(token, ''), lambda c: unicode(c)::BIGINT), lambda x, c: (x << 21) | (c + 1), 0::BIGINT) AS id, token AS decoded FROM t")
+@query(f"""WITH {_W}, t AS (SELECT DISTINCT token_str AS token FROM w), d AS (SELECT token, array_to_string(list_transform(string_split(token, ''), lambda c: lpad(bin(unicode(c) + 1), 21, '0')), '') AS bits FROM t),
+p AS (SELECT token, repeat('0', ((4 - len(bits) % 4) % 4)::INT) || bits AS bits FROM d)
+SELECT token, ltrim(array_to_string(list_transform(range(0, len(bits), 4), lambda i: substr('0123456789ABCDEF', 1 + (strpos('0000,0001,0010,0011,0100,0101,0110,0111,1000,1001,1010,1011,1100,1101,1110,1111', substr(bits, i + 1, 4)) - 1) // 5, 1)), ''), '0') AS id, token AS decoded FROM p""")
 def token_ids(spark, sf_dir):
-    t = _words(spark, sf_dir).where(F.length("token_str") <= 3).select(F.col("token_str").alias("token")).distinct()
-    ids = t.withColumn("id", codec.token_id(text.codepoints(F.col("token"))))
-    return ids.withColumn("decoded", text.from_codepoints(codec.token_of_id(F.col("id"))))
-
-
-@query()
-def token_ids_all(spark, sf_dir):
-    """token_ids for tokens of any length: ids in hexadecimal."""
+    """Ids of tokens of any length, in hexadecimal, and back."""
     t = _words(spark, sf_dir).select(F.col("token_str").alias("token")).distinct()
     ids = t.withColumn("id", codec.token_hex(text.codepoints(F.col("token"))))
     return ids.withColumn("decoded", text.from_codepoints(codec.token_of_hex(F.col("id"))))
@@ -220,9 +228,9 @@ def index_lookup(spark, sf_dir):
 
 @query(f"""WITH {_B}, o AS (SELECT origin AS token, max(struct_pack(k := stream_key, p := pos, s := 0)) AS a FROM b GROUP BY 1), t AS (SELECT terminal AS token, min(struct_pack(k := stream_key, p := pos, s := 1)) AS a FROM b GROUP BY 1),
 x AS (SELECT token, coalesce(o.a, t.a) AS a FROM o FULL JOIN t USING (token))
-SELECT token, a.k AS last_touch_key, a.p AS last_touch_pos, (row_number() OVER (ORDER BY a DESC, token) - 1)::BIGINT AS dense_idx FROM x ORDER BY a DESC, token LIMIT 5000""")
+SELECT token, a.k AS last_touch_key, a.p AS last_touch_pos, (row_number() OVER (ORDER BY a DESC, token) - 1)::BIGINT AS dense_idx FROM x ORDER BY a DESC, token LIMIT 50000""")
 def lru_nodes(spark, sf_dir):
-    return graph.lru_nodes(_pairs(spark, sf_dir), 5000)
+    return graph.lru_nodes(_pairs(spark, sf_dir))
 
 
 # --- statistics ---
@@ -318,29 +326,30 @@ def joined_streams_by_turn(spark, sf_dir):
 # --- discovered tokens ---
 
 
-@query()
+@query(f"WITH {_Z} SELECT stream_key, tok_pos, token_str, is_flush FROM z")
 def lz_tokens(spark, sf_dir):
-    return tokens(_docs(spark, sf_dir))
+    return tokens(_docs(spark, sf_dir)).drop("token")
 
 
-@query()
+@query(f"WITH {_ZB} SELECT * FROM b")
 def lz_pairs(spark, sf_dir):
     return stream_pairs(_docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_ZE} SELECT * FROM e")
 def lz_edges_accumulate(spark, sf_dir):
     return graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_ZB}, {_LAST} SELECT origin, terminal, count(*)::DOUBLE AS weight FROM h WHERE run = last_run GROUP BY 1, 2")
 def lz_edges_last_run(spark, sf_dir):
-    return graph.edges_last_run(stream_pairs(_docs(spark, sf_dir)))
+    return graph.merge_ends(stream_ends(_docs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_ZE}, s AS (SELECT token, sum(w) AS in_weight FROM (SELECT origin AS token, 0.0::DOUBLE AS w FROM e UNION ALL SELECT terminal, weight FROM e) GROUP BY 1)
+SELECT token, in_weight, round(ln((in_weight + 0.1::DOUBLE) / ((SELECT sum(in_weight) FROM s) + 0.1::DOUBLE * (SELECT count(*) FROM s))), 6) AS log_p FROM s""")
 def lz_potentials(spark, sf_dir):
-    return graph.node_potentials(graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir))))
+    return graph.node_potentials(graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir)))).withColumn("log_p", _r(F.col("log_p")))
 
 
 @query()
@@ -363,9 +372,10 @@ def mdl_tokens(spark, sf_dir):
     return tokens(_docs(spark, sf_dir), gate="mdl")
 
 
-@query()
+@query(f"WITH streams AS (SELECT conv_id AS stream_key, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1), {_FOLD} SELECT stream_key, tok_pos, token_str, is_flush FROM z")
 def conversation_tokens(spark, sf_dir):
-    return tokens(joined_streams(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text"), "conv_id")
+    """Streams of many rows each, pushed through one sequencer a stream in order."""
+    return ordered_tokens(_t(spark, sf_dir, "conversations"), "conv_id", "turn").drop("token")
 
 
 @query("SELECT doc_id AS stream_key, text FROM documents")
@@ -383,19 +393,28 @@ def sequencer_snapshots(spark, sf_dir):
     return snapshots(_docs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_Z}, c AS (SELECT sum(length(text))::BIGINT AS codepoints_in FROM documents), t AS (SELECT count(*) AS tokens_out FROM z) SELECT codepoints_in, tokens_out, round(tokens_out::DOUBLE / codepoints_in, CAST(1 - floor(log10(tokens_out::DOUBLE / codepoints_in)) AS INT)) AS compression_ratio FROM c, t")
 def lz_counters(spark, sf_dir):
     return metrics.counters(tokens(_docs(spark, sf_dir)), _docs(spark, sf_dir).select(F.length("text").alias("n")))
 
 
-@query()
+@query(f"""WITH {_Z}, k AS (SELECT stream_key, string_split(text, '') AS k FROM streams WHERE length(text) > 1),
+g AS (SELECT stream_key, unnest(range(1, len(k))) AS place, unnest(k[:-2]) AS a, unnest(k[2:]) AS y FROM k),
+t AS (SELECT stream_key, place FROM g WHERE regexp_matches(a, '^\\s$') <> regexp_matches(y, '^\\s$')),
+q AS (SELECT DISTINCT stream_key, upto AS place FROM z WHERE upto > 0 AND upto < size),
+x AS (SELECT (SELECT count(*) FROM q) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM q JOIN t USING (stream_key, place)) AS n_both)
+SELECT n_found, n_truth, n_both, round(n_both::DOUBLE / n_found, 6) AS precision, round(n_both::DOUBLE / n_truth, 6) AS recall, round(2 * n_both::DOUBLE / (n_found + n_truth), 6) AS f1 FROM x""")
 def lz_boundary_f1(spark, sf_dir):
-    return metrics.boundary_f1(metrics.boundaries(tokens(_docs(spark, sf_dir), compat="lossless")), metrics.space_boundaries(_docs(spark, sf_dir)))
+    got = metrics.boundary_f1(metrics.boundaries(tokens(_docs(spark, sf_dir), compat="lossless")), metrics.space_boundaries(_docs(spark, sf_dir)))
+    return got.withColumns({c: _r(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
-@query()
+@query(f"""WITH {_Z}, y AS (SELECT stream_key, tok_pos, token_str AS tok FROM z WHERE token_str <> ''),
+l AS (SELECT stream_key, tok, max(tok_pos) AS last FROM y GROUP BY 1, 2),
+h AS (SELECT stream_key, substr(tok, 1, n) AS tok, max(last) AS later FROM (SELECT *, unnest(range(1, length(tok))) AS n FROM l) GROUP BY 1, 2)
+SELECT count(*) AS n_tokens, count(*) FILTER (WHERE later > tok_pos) AS n_continued, round(count(*) FILTER (WHERE later > tok_pos)::DOUBLE / count(*), 6) AS continuity FROM y LEFT JOIN h USING (stream_key, tok)""")
 def lz_continuity(spark, sf_dir):
-    return metrics.continuity(tokens(_docs(spark, sf_dir), compat="lossless"))
+    return metrics.continuity(tokens(_docs(spark, sf_dir), compat="lossless")).withColumn("continuity", _r(F.col("continuity")))
 
 
 @query()
@@ -404,7 +423,8 @@ def decode_benchmark(spark, sf_dir):
     return dec.decode(_t(spark, sf_dir, "benchmark"), dec.freeze(edge))
 
 
-@query(f"WITH {_W}, v AS (SELECT DISTINCT token_str AS token FROM w WHERE length(token_str) <= 32), p AS (SELECT item_id AS id, text, unnest(range(0, length(text))) AS pos FROM benchmark), c AS (SELECT id, pos, substr(text, pos + 1, unnest(range(1, 33))) AS token, length(text) - pos AS rest FROM p) SELECT DISTINCT id, pos::INT AS pos, token FROM c JOIN v USING (token)")
+@query(f"""WITH {_W}, v AS MATERIALIZED (SELECT DISTINCT token_str AS token FROM w), l AS (SELECT DISTINCT length(token) AS n FROM v), p AS (SELECT item_id AS id, text, unnest(range(0, length(text))) AS pos FROM benchmark),
+c AS (SELECT id, pos, substr(text, pos + 1, n) AS token FROM p JOIN l ON pos + n <= length(text)) SELECT id, pos::INT AS pos, token FROM c JOIN v USING (token)""")
 def prefix_search(spark, sf_dir):
     vocabulary = _words(spark, sf_dir).select(F.col("token_str").alias("token"))
     return dec.prefixes(_t(spark, sf_dir, "benchmark"), vocabulary)

@@ -9,12 +9,25 @@ from ..functions.text import clean_text, codepoints
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): one row a file, malformed UTF-8 replaced, a leading byte order mark dropped."""
+    """(path, text): one row a file, malformed UTF-8 replaced, a leading byte order mark dropped. For files of up to 2 GB; read_corpus() splits larger ones."""
     rows = spark.read.format("binaryFile").load(path)
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "")
     return rows.select("path", text.alias("text"))
 
 
+def read_corpus(spark: SparkSession, path: str, sep: str = "\n\n") -> DataFrame:
+    """(path, at, text): the texts of corpus files, which ``sep`` parts (as write_corpus() writes them), empty ones left out.
+
+    Files are split like any text source, so one large file is read by many tasks; ``at`` orders the texts of a file. What a
+    text has of ``sep`` itself parts it. Malformed UTF-8 is replaced. Rows of one file in order are its stream: see
+    operators.sequence.ordered_tokens().
+    """
+    rows = spark.read.option("lineSep", sep).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), F.make_valid_utf8("value").alias("text"))
+    return rows.where("text <> ''")
+
+
 def page_of_rows(rows: DataFrame, order_col: str, limit: int, offset: int = 0, text_col: str = "text", clean: bool = True) -> DataFrame:
     """(order_col, text): the first ``limit`` non-empty texts after skipping ``offset`` raw rows in order.
 

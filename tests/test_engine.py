@@ -1,6 +1,7 @@
 """The Spark side: functions, graph, decoding, sources, jobs and streams, on small inputs."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphloom.functions import codec, text
-from glyphloom.operators import decode, graph, metrics, stats
+from glyphloom.operators import decode, graph, metrics, sequence, stats
 from glyphloom.operators.kernel import build
 from glyphloom.operators.search import golden_section
 from glyphloom.operators.sequence import joined_streams, stream_pairs, tokens, whitespace_tokens
@@ -224,7 +225,7 @@ def test_ids_of_all_tokens(spark, sf):
     for r in df.withColumn("back", codec.token_of_hex(F.col("h"))).collect():
         cps = [ord(c) for c in r["t"]]
         assert r["h"] == f"{codec.encode_id(cps):X}" and r["back"] == cps
-    got = catalog.QUERIES["token_ids_all"](spark, sf).collect()
+    got = catalog.QUERIES["token_ids"](spark, sf).collect()
     assert max(len(r["token"]) for r in got) > 3
     assert all(r["decoded"] == r["token"] and int(r["id"], 16) == codec.encode_id([ord(c) for c in r["token"]]) for r in got)
 
@@ -354,6 +355,152 @@ def test_jobs(spark, ab):
     assert runner.config.stack == "int"
 
 
+def test_job_metadata(spark, ab):
+    import io
+    import re
+
+    runner = JobRunner(JobConfig(meta={"set": "x"}), meta={"who": "me"})
+    out = io.StringIO()
+    jobs = [runner.measure(ab, out=out), runner.run(ab)]
+    ids = [runner.runner_id, *[j.job_id for j in jobs]]
+    assert ids == sorted(ids) and all(re.fullmatch("[0-9a-f]{12}7[0-9a-f]{3}[89ab][0-9a-f]{15}", i) for i in ids)
+    assert jobs[0].runner_meta == {"who": "me"} and jobs[0].duration_ms > 0 and jobs[1].duration_ms == "incomplete" and jobs[0].process_start_ms
+    assert "6 codepoints -> 5 tokens (0.83x compression)" in out.getvalue() and "who\tme" in out.getvalue()
+
+
+class EveryThird:
+    """A gate of the user's own: ends a token at every third integer."""
+
+    def __init__(self, name):
+        self.name, self.n = name, 0
+
+    def evaluate(self, current, previous):
+        self.n += 1
+        return self.n % 3 != 1
+
+    def reset(self):
+        self.n = 0
+
+    def snapshot(self):
+        return {"name": self.name, "ingested": self.n, "pass_rate": 0.5, "custom_metrics": {"n": float(self.n)}}
+
+
+class SumKeys:
+    def __init__(self):
+        self.value = 0
+
+    def update(self, x):
+        self.value += x
+        return self.value
+
+    def reset(self):
+        self.value = 0
+
+    def recalculate(self, ints):
+        self.value = sum(ints)
+        return self.value
+
+
+def test_own_gates_keys_and_sequencers(spark):
+    from glyphloom.operators.kernel import IntSequencer
+
+    df = spark.createDataFrame([(1, "abcdefgh"), (2, "abcd")], "doc_id long, text string")
+    got = tokens(df, gate=lambda level: [EveryThird(level)], compat="lossless")
+    assert rows(got, "stream_key", "tok_pos", "token_str") == [(1, 0, "abc"), (1, 1, "def"), (1, 2, "gh"), (2, 0, "abc"), (2, 1, "d")]
+    assert rows(tokens(df, stack=lambda: IntSequencer([EveryThird("mine")], compat="lossless")), "token_str") == rows(got, "token_str")
+    snap = sequence.snapshots(df, stack="int", gate=lambda level: [EveryThird(level)]).where("stream_key = 1").first()["sequencers"][0]
+    assert snap["gates"][0]["custom_metrics"] == {"n": 8.0} and snap["duration_ms"] >= 0
+    one = spark.createDataFrame([(1, "ababba")], "doc_id long, text string")
+    seq = build(keys=SumKeys, compat="lossless")
+    want = [x for c in "ababba" for x in seq.push(ord(c))] + seq.flush()
+    mine = ["".join(map(chr, x)) for x in want]
+    assert [r[1] for r in rows(tokens(one, keys=SumKeys, compat="lossless"), "tok_pos", "token_str")] == mine != [r[1] for r in rows(tokens(one, compat="lossless"), "tok_pos", "token_str")]
+    job = JobRunner(JobConfig(gate=lambda level: [EveryThird(level)], compat="lossless", graph_capacity=None)).run(df)
+    assert rows(job.edges, "origin", "terminal", "weight") == [("abc", "def", 1.0)]
+
+
+def test_mdl_config():
+    from glyphloom.operators.kernel import MDLGate
+
+    assert MDLGate(c=0.5).config["c"] == 0.5 and MDLGate().config["z_mode"] == "child-degree"
+
+
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("abcdef")), max_size=40), st.integers(1, 5), st.sampled_from(["last_run", "accumulate"]))
+@settings(max_examples=200, deadline=None)
+def test_bounded_graph(merges, capacity, policy):
+    from glyphloom.operators.kernel import LRUGraph
+
+    order, out = [], {}  # the same by lists: the least recent first
+
+    def put(x, e):
+        if x in order:
+            order.remove(x)
+        elif len(order) >= capacity:
+            del out[order.pop(0)]
+        order.append(x)
+        out[x] = e
+
+    g = LRUGraph(capacity, policy)
+    for o, t in merges:
+        g.merge(o, t)
+        e = dict(out.get(o, {})) if policy == "accumulate" or t in out.get(o, {}) else {}
+        e[t] = e.get(t, 0) + 1
+        put(o, e)
+        if t not in out:
+            put(t, {})
+    assert list(g.nodes) == order and g.edges() == [(o, t, w) for o in order for t, w in out[o].items()]
+
+
+def test_jobs_keep_to_the_graph_capacity(spark):
+    from glyphloom.operators.kernel import LRUGraph
+    from glyphloom.operators.sequence import stream_pairs
+
+    rnd = random.Random(1)
+    df = spark.createDataFrame([(i, "".join(rnd.choice("abcd ") for _ in range(200))) for i in range(6)], "doc_id long, text string")
+    pairs = stream_pairs(df).orderBy("stream_key", "pos").collect()
+    for policy in ("last_run", "accumulate"):
+        g = LRUGraph(20, policy)
+        for r in pairs:
+            g.merge(r["origin"], r["terminal"])
+        runner = JobRunner(JobConfig(edge_policy=policy))
+        assert rows(runner.run(df, graph_capacity=20).edges, "origin", "terminal", "weight") == sorted(g.edges())
+        free = rows(runner.run(df, graph_capacity=None).edges, "origin", "terminal", "weight")
+        assert free == rows(runner.run(df).edges, "origin", "terminal", "weight") == rows(graph.edges(stream_pairs(df), policy), "origin", "terminal", "weight")
+
+
+def test_ordered_streams(spark):
+    rnd = random.Random(2)
+    data = [(k, i, "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 30))) if rnd.random() < 0.9 else None) for k in (1, 2, 3) for i in range(20)]
+    df = spark.createDataFrame(data, "k long, o long, text string").repartition(5)
+    for stack in ("int", "merge"):
+        joined = joined_streams(df, "k", "o", "text")
+        want = rows(tokens(joined, "k", stack=stack), "stream_key", "tok_pos", "token_str", "is_flush")
+        assert rows(sequence.ordered_tokens(df, "k", "o", stack=stack), "stream_key", "tok_pos", "token_str", "is_flush") == want
+    assert sequence.ordered_tokens(df.limit(0), "k", "o").count() == 0
+
+
+def test_large_corpus_files_are_split(spark, tmp_path):
+    texts = [f"text {i} é\nsecond line" for i in range(3000)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.txt").write_text("\n\n".join(texts) + "\n\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = corpus.read_corpus(spark, str(tmp_path / "c"))
+        assert len(df.select(F.spark_partition_id().alias("p")).distinct().collect()) > 1
+        assert [r["text"] for r in df.orderBy("path", "at").collect()] == texts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_dense_index_of_alike_tokens(spark):
+    toks = sorted({f"common prefix {i * 7919 % 5003}" for i in range(3000)} | {"", "a", "é", "\U0001f600"})
+    df = spark.createDataFrame([(t,) for t in toks], "token string").repartition(7)
+    indexed = graph.dense_index(df, ranges=8)
+    assert rows(indexed, "dense_idx", "token") == list(enumerate(sorted(toks, key=lambda t: t.encode())))
+    assert graph.dense_index(df.limit(0)).count() == 0
+
+
 def test_joined_streams(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c"), (1, 3, None)], "k long, o long, t string")
     assert rows(joined_streams(df, "k", "o", "t", "-"), "k", "t") == [(1, "a-b"), (2, "c")]
