@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 #: Up to so many sources, the plan (about 100 bytes a source) is broadcast; beyond, joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Copies of the plan in such a join.
+SALTS = 16
 
 
 def source_plan(sizes: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
@@ -70,21 +72,26 @@ def plan_copies(
     """Per document: id, ``keep`` columns, size, source_size, target, rate, copies, taken.
 
     Null text has size 0; a null source is a source of its own; documents of equal id get the same draw;
-    an empty table gives an empty result. Only ids, sources, sizes and ``keep`` columns move. The join
-    needs no key of its own in one task: the plan is broadcast after counting its sources, or, past
-    BROADCAST_SOURCES, joined by a shuffle whose large partitions Spark splits.
+    an empty table gives an empty result. The sources' sizes are written once, a row a source; the plan made of them is
+    broadcast after they are counted, or, past BROADCAST_SOURCES, joined by a shuffle that is salted by the id, so that one
+    source with a third of all documents does not end in one task.
     """
     sized = docs.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), *[F.col(c) for c in keep]
     )
-    sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
+    sizes = materialise(sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), "mixing-sources")
     plan = source_plan(sizes, weights, max_repeat)
-    few = docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = F.broadcast(plan) if few else plan
+    match = F.col("__source").eqNullSafe(F.col("source"))
+    if sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        side = F.broadcast(plan)
+    else:
+        side = plan.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+        match = match & (F.col("__salt") == F.col("__copy"))
     rate, draw = F.col("rate"), unit_hash(F.col("__id"), seed)
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     return (
-        sized.join(side, F.col("__source").eqNullSafe(F.col("source")))
+        sized.join(side, match)
         .withColumn("copies", copies)
         .select(
             F.col("__id").alias(id_col),
