@@ -9,7 +9,8 @@ Sums are in fixed point, so they do not depend on the order in which partitions
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ WINDOW = 5
 #: it keeps the scatter of a statistic that hardly varies within a group invertible.
 FEATURES = {"x_words": 0.5, "x_length": 0.3, "x_symbols": 0.1, "x_lines": 0.1, "x_repeat": 0.1}
 SCALE = 1 << 10
-#: Concentration steps at most; they end when one changes no estimate.
-STEPS = 20
+#: Concentration steps at most; they end when one takes no more than SETTLED from the logarithm of any group's determinant.
+STEPS, SETTLED = 20, 1e-3
 #: Share of a group that the estimates are made of.
 CORE = 0.75
 #: Squared distance beyond which a document is an outlier. Statistics of clean text have longer tails than
@@ -92,7 +93,7 @@ def _cholesky(cov: dict[tuple[int, int], Column], d: int, add: Callable[[str, Co
 
 
 def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of rows: mean m0.. and Cholesky factor l00.. of the scatter, least deviations added."""
+    """Per group of rows: mean m0.. and inverse Cholesky factor g00.. of the scatter, least deviations added."""
     d, floors = len(FEATURES), list(FEATURES.values())
     sums = [F.sum(f"f{i}").alias(f"s{i}") for i in range(d)]
     squares = [F.sum((F.col(f"f{i}") * F.col(f"f{j}")).cast("decimal(20,0)")).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
@@ -105,13 +106,24 @@ def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _factor(out: DataFrame, d: int) -> DataFrame:
+    """out (v00..: a scatter matrix a row) plus g00.., the inverse of its Cholesky factor."""
+
     def add(name: str, value: Column) -> Column:
         nonlocal out
         out = out.withColumn(name, value)
         return F.col(name)
 
-    _cholesky({(i, j): F.col(f"v{i}{j}") for i in range(d) for j in range(i + 1)}, d, add)
-    return out
+    low = _cholesky({(i, j): F.col(f"v{i}{j}") for i in range(d) for j in range(i + 1)}, d, add)
+    inverse: dict[tuple[int, int], Column] = {}
+    for i in range(d):
+        for j in range(i):
+            inverse[i, j] = add(f"g{i}{j}", -_sum(low[i, k] * inverse[k, j] for k in range(j, i)) / low[i, i])
+        inverse[i, i] = add(f"g{i}{i}", 1 / low[i, i])
+    return out.drop(*[f"l{i}{j}" for i, j in low])
+
+
+def _sum(terms: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
 
 
 def _distance(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,17 +131,19 @@ def _distance(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
     d = len(FEATURES)
     # Not more than one row a group, and groups below LEAST_GROUP are merged; Spark broadcasts the side if its size allows, else splits the large partitions.
     out = rows.join(est, [rows[k].eqNullSafe(est[k]) for k in keys], "left").drop(*[est[k] for k in keys])
-    z: list[Column] = []
-    total = None
-    for i in range(d):
-        s = F.col(f"f{i}") / F.lit(float(SCALE)) - F.col(f"m{i}")
-        for j in range(i):
-            s = s - F.col(f"l{i}{j}") * z[j]
-        out = out.withColumn(f"z{i}", s / F.col(f"l{i}{i}"))
-        z.append(F.col(f"z{i}"))
-        total = z[i] * z[i] if total is None else total + z[i] * z[i]
-    out = out.withColumn("dist", total)
-    return out.drop(*[f"z{i}" for i in range(d)], *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)], "c")
+    gap = [F.col(f"f{i}") / F.lit(float(SCALE)) - F.col(f"m{i}") for i in range(d)]
+    dist = _sum(F.pow(_sum(F.col(f"g{i}{j}") * gap[j] for j in range(i + 1)), F.lit(2.0)) for i in range(d))
+    return out.select(*rows.columns, dist.alias("dist"))
+
+
+def _smaller(older: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group that estimate of the two whose determinant is smaller, and as ``gain`` by how much the new one's logarithm is."""
+    names = [c for c in est.columns if c not in keys]
+    old = older.select(*[F.col(c).alias(f"o_{c}") for c in est.columns])
+    both = old.join(est, reduce(lambda a, b: a & b, (F.col(f"o_{k}").eqNullSafe(F.col(k)) for k in keys)))
+    size = lambda side: -2 * _sum(F.log(F.col(f"{side}g{i}{i}")) for i in range(len(FEATURES)))
+    gain = size("o_") - size("")
+    return both.select(*keys, *[F.when(gain > 0, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for c in names], F.greatest(gain, F.lit(0.0)).alias("gain"))
 
 
 def _nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -147,8 +161,9 @@ def outlier_distance(stats: DataFrame, keys: list[str], steps: int = STEPS, shar
     """stats (with FEATURES and group columns ``keys``) plus ``dist``.
 
     The first step is around exact coordinate-wise medians with the least deviations as scale; each further step
-    takes the ``share`` of the group nearest to the last estimate, until no group's estimate changes, or ``steps`` are
-    done. The determinant cannot grow from one concentration step to the next, so this ends. Values are whole numbers,
+    takes the ``share`` of the group nearest to the last estimate, until no group's determinant shrinks by more than
+    SETTLED, or ``steps`` are done. A step that would let a group's determinant grow (by the width of a bin) leaves its
+    estimate as it is, so this ends. Values are whole numbers,
     medians come from their counts and sums are exact: the result does not depend on the order of rows, and reruns
     agree. Groups are small rows; documents move only as numbers.
     """
@@ -156,13 +171,12 @@ def outlier_distance(stats: DataFrame, keys: list[str], steps: int = STEPS, shar
     rows = stats
     medians = rows.groupBy(*keys).agg(*[F.percentile(F.col(f"f{i}"), 0.5).alias(f"p{i}") for i in range(d)])
     floors = list(FEATURES.values())
-    est = medians.select(*keys, F.lit(1).alias("c"), *[(F.col(f"p{i}") / SCALE).alias(f"m{i}") for i in range(d)], *[F.lit(2 * floors[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)])
-    state = None
+    est = medians.select(*keys, F.lit(1).alias("c"), *[(F.col(f"p{i}") / SCALE).alias(f"m{i}") for i in range(d)], *[F.lit(0.5 / floors[i] if i == j else 0.0).alias(f"g{i}{j}") for i in range(d) for j in range(i + 1)])
     for step in range(steps):
-        older, est = est, materialise(_estimates(_nearest(_distance(rows, est, keys), keys, share), keys), f"mcd-{step}")
+        older, est = est, _estimates(_nearest(_distance(rows, est, keys), keys, share), keys)
+        est = materialise(est.withColumn("gain", F.lit(None).cast("double")) if step == 0 else _smaller(older, est, keys), f"mcd-{step}")
         discard(older)
-        was, state = state, est.agg(F.sum(F.xxhash64(*est.columns).cast("decimal(20,0)"))).first()[0]
-        if state == was:
+        if step and (est.agg(F.max("gain")).first()[0] or 0.0) <= SETTLED:
             break
     return _distance(rows, est, keys)
 
