@@ -66,7 +66,7 @@ def _delete(paths: list[str]) -> None:
 
 def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote for these; nothing that reads them may be left to run."""
-    _delete([t.written_at for t in tables if hasattr(t, "written_at")])
+    _delete([t.__dict__["written_at"] for t in tables if "written_at" in t.__dict__])
 
 
 def release(spark: SparkSession) -> None:

@@ -941,6 +941,17 @@ def test_mixture_odd(spark, monkeypatch):
 # --- all ---
 
 
+def test_intermediates_are_deleted(spark):
+    import os
+
+    df = common.materialise(spark.range(3).withColumn("written_at", F.lit("clash")), "gone")
+    path = df.inputFiles()[0].removeprefix("file://")
+    common.discard(spark.range(1).withColumn("written_at", F.lit("clash")))
+    assert os.path.exists(path) and df.count() == 3
+    common.discard(df, df)
+    assert not os.path.exists(path)
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
