@@ -24,7 +24,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Texts longer than this are encoded in pieces, cut where the split rule cuts anyway.
 PIECE = 1 << 20
 #: Lengths that share a coarse bin of the two-level running sums.
-BIN = 4096
+BIN = 256
 
 
 def load_encoding(path: str, pattern: str = SPLIT):
