@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise
+from .common import materialise, tidy
 
 Q = 8
 #: Characters of the runs that a band's hits are judged by before it is aligned; a power of two.
@@ -416,7 +416,7 @@ def _search(shared, item_type: pa.DataType):
             ids = b.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], item_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["id", "item_id", "edits", "start", "end"])
 
-    return run
+    return tidy(run)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -442,7 +442,7 @@ def _filter(shared, at: int, clean: bool = True):
             texts = (t.as_py() for t in b.column(at))
             yield b.filter(pa.array([(not t or not index.leaks(*squeeze(t))) == clean for t in texts], pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 class Sieve:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import MIX, mix64, shingle_set, utf8_rows
-from .common import discard, materialise
+from .common import discard, materialise, tidy
 from .graph import connected_components
 from .url_filter import build_filter, probe
 
@@ -74,10 +74,12 @@ def band_keys(s: np.ndarray, bands: int = bands_for(PERCENT)) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], nulls: bool = False) -> pa.Array:
+    """An Arrow column of lists, empty ones as nulls if asked for."""
     offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64, copy=False)))
+    mask = np.append(np.diff(offsets) == 0, False) if nulls else None
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=mask), pa.array(flat.astype(np.int64, copy=False)))
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -92,10 +94,10 @@ def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
                 n.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(mix64(s * MIX[5])).view(np.int64)) if len(s) else 0)
                 f2.append(int(np.add.reduce(mix64(s * MIX[6])).view(np.int64)) if len(s) else 0)
-                bands.append(band_keys(s, n_bands).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "bands"])
+                bands.append(band_keys(s, n_bands) if len(s) else s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(bands, nulls=True)], names=["id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
@@ -130,7 +132,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(v, k).view(np.int64) for v in utf8_rows(part.column(1))])], names=["id", "shingles"])
 
     spot = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long"))
-    return docs.select("id", "text", spot.alias("spot")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text", spot.alias("spot")).mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def band_groups(reps: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds at most; they end when a round changes no pattern.
@@ -203,7 +203,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"row long, id {kind}, base array<struct<k:int,s:long,e:long>>, mentions array<struct<s:long,e:long,seed:int,kinds:array<int>,inst:string,pats:array<string>>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _enough(accept: float) -> int:
@@ -345,7 +345,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
             cols = [pa.array(texts, pa.string()) if n == text_col else pa.array([None if t is None else len(t) for t in texts], b.schema.field(i).type) if n == chars_col else b.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _accepted(text: str, base: list[tuple[int, int, int]], scores: dict) -> Iterator[tuple[int, int, int]]:
