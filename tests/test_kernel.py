@@ -2,13 +2,16 @@
 
 import math
 import pickle
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphloom.functions import codec
-from glyphloom.operators.kernel import CLOSE, OPEN, BoundarySequencer, IntSequencer, LZGate, MarkovStats, MDLGate, MergeSequencer, SeenCache, build, lz_cuts, strip_marks
+from glyphloom.operators.kernel import CLOSE, OPEN, BoundarySequencer, IntSequencer, LZGate, MarkovStats, MDLGate, MergeSequencer, SeenCache, build, lz_cuts, mdl_cuts, stack_tokens, strip_marks
+from glyphloom.operators.sequence import _snapshot
 
 TEXTS = st.text(alphabet=st.sampled_from("ab cé世😀\x00"), max_size=60)
 
@@ -213,3 +216,65 @@ def test_snapshot_lists_outer_first():
     snap = m.snapshot()
     assert [s["name"] for s in snap] == ["merge", "boundary", "int"]
     assert snap[2]["ints_in"] >= 1 and math.isclose(snap[2]["ints_per_emit"], snap[2]["ints_in"] / snap[2]["sequences_emitted"])
+
+
+def whole(text, stack, compat, capacity):
+    flat, ends, n, counts, keys = stack_tokens([ord(c) for c in text], stack, compat, capacity)
+    out = [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+    return (out[:n], out[n:]), counts, keys
+
+
+@given(TEXTS, st.sampled_from(["boundary", "merge"]), st.sampled_from(["reference", "lossless"]), st.sampled_from([1, 2, 5, 30, 70_000]))
+@settings(max_examples=600, deadline=None)
+def test_stacks_in_one_loop_are_the_kernel(text, stack, compat, capacity):
+    seq = build(stack, compat=compat, capacity=capacity)
+    done = [t for c in text for t in seq.push(ord(c))]
+    snap, keys = seq.snapshot(), len(seq.gates[0].cache.counts)
+    got = whole(text, stack, compat, capacity)
+    assert got[0] == (done, seq.flush())
+    assert got[1] == [(x["ints_in"], x["sequences_emitted"]) for x in snap]
+    short = stack_tokens([ord(c) for c in text], stack, compat, capacity, flush=False)
+    assert short[4] == keys and _snapshot(short, stack, capacity) == snap
+
+
+@pytest.mark.parametrize("compat", ["reference", "lossless"])
+@pytest.mark.parametrize("stack", ["boundary", "merge"])
+def test_long_stacks_in_one_loop(stack, compat):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeéß世😀", k=rng.randint(1, 9))) for _ in range(80)]
+    text = " ".join(rng.choices(words, k=4000))
+    for capacity in (500, 3000, 70_000):
+        assert whole(text, stack, compat, capacity)[0] == drive(build(stack, compat=compat, capacity=capacity), text)
+
+
+def test_mdl_cuts_are_the_kernel():
+    rng = random.Random(8)
+    for text in ["", "a", "aaaa" * 300, "".join(rng.choices("abc ", k=5000)), " ".join(rng.choices(["the", "cat", "世界", "sat"], k=2000))]:
+        done, _ = drive(build(gate="mdl"), text)
+        cuts = mdl_cuts([ord(c) for c in text])
+        assert [text[i:j] for i, j in zip([0, *cuts], cuts, strict=False)] == words(done)
+
+
+@pytest.mark.parametrize("n", [1, 50, 200])
+def test_cuts_that_pass_the_cache(n):
+    text = "".join(random.Random(n).choices("abcdef", k=900))
+    done, _ = drive(build(capacity=n), text)
+    cuts = lz_cuts([ord(c) for c in text], n)
+    assert [text[i:j] for i, j in zip([0, *cuts], cuts, strict=False)] == words(done)
+
+
+def best(f):
+    """The least CPU seconds of three runs."""
+    times = []
+    for _ in range(3):
+        t = time.process_time()
+        f()
+        times.append(time.process_time() - t)
+    return min(times)
+
+
+LONG = " ".join(random.Random(3).choices(["online", "token", "graph", "of", "weighted", "edges"], k=6000))
+
+
+def test_merge_stack_takes_less_than_half_the_time():
+    assert best(lambda: stack_tokens([ord(c) for c in LONG], "merge")) < 0.5 * best(lambda: drive(build("merge"), LONG))
