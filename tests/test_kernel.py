@@ -278,3 +278,7 @@ LONG = " ".join(random.Random(3).choices(["online", "token", "graph", "of", "wei
 
 def test_merge_stack_takes_less_than_half_the_time():
     assert best(lambda: stack_tokens([ord(c) for c in LONG], "merge")) < 0.5 * best(lambda: drive(build("merge"), LONG))
+
+
+def test_lossless_merge_stack_takes_less_than_half_the_time():
+    assert best(lambda: stack_tokens([ord(c) for c in LONG], "merge", "lossless")) < 0.5 * best(lambda: drive(build("merge", compat="lossless"), LONG))
