@@ -282,3 +282,14 @@ def test_merge_stack_takes_less_than_half_the_time():
 
 def test_lossless_merge_stack_takes_less_than_half_the_time():
     assert best(lambda: stack_tokens([ord(c) for c in LONG], "merge", "lossless")) < 0.5 * best(lambda: drive(build("merge", compat="lossless"), LONG))
+
+
+def test_snapshots_take_less_than_half_the_time():
+    def steps():
+        seq = build("merge")
+        for c in LONG:
+            seq.push(ord(c))
+        return seq.snapshot()
+
+    one = lambda: _snapshot(stack_tokens([ord(c) for c in LONG], "merge", flush=False), "merge", 70_000)
+    assert one() == steps() and best(one) < 0.5 * best(steps)
