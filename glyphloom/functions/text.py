@@ -33,11 +33,20 @@ def to_utf8(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition of the whole value (Spark has no built-in for it)."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+def nfc(text: Column | str) -> Column:
+    """Canonical composition of the whole value (Spark has no built-in for it).
+
+    Nothing below U+0300 is changed by it, so only values with a codepoint from there on go to Python.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    open_ = c.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.when(open_, _composed(F.when(open_, c))).otherwise(c)
+
+
 def estimate_size(rows: Column, chars_per_row: int = 350) -> Column:
     """Display string of the size to expect of so many rows: kilobytes below one megabyte, else megabytes."""
     kb = rows * F.lit(chars_per_row / 1024.0)
