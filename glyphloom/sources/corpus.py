@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, codepoints
@@ -31,15 +31,31 @@ def read_corpus(spark: SparkSession, path: str, sep: str = "\n\n") -> DataFrame:
 def page_of_rows(rows: DataFrame, order_col: str, limit: int, offset: int = 0, text_col: str = "text", clean: bool = True) -> DataFrame:
     """(order_col, text): the first ``limit`` non-empty texts after skipping ``offset`` raw rows in order.
 
-    The offset counts rows before empty ones are dropped, the limit after.
+    The offset counts rows before empty ones are dropped, the limit after. Null orders come last, equal ones by their text.
+
+    The place where the page begins is looked up first, from orders and hashes alone; the page itself is then a top-k, so a
+    task reads no more than a page of each other task's texts.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
     text = clean_text(F.col(text_col)) if clean else F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    raw = rows.select(order_col, F.col(text_col)).orderBy(order_col)
+    raw = rows.select(F.col(order_col), text.alias("text"))
+    place = F.struct(F.col(order_col).isNull().alias("n"), F.col(order_col).alias("k"), F.xxhash64("text").alias("h"))
+    again = 0
     if offset:
-        raw = raw.offset(offset)
-    return raw.select(order_col, text.alias("text")).where("text <> ''").orderBy(order_col).limit(limit)
+        skipped = raw.select(place.alias("at"), (F.col("text") != "").alias("full")).orderBy("at").limit(offset)
+        end = skipped.agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+        first = skipped.join(F.broadcast(end.select(F.col("at").alias("last"), "n"))).where(F.col("at").eqNullSafe(F.col("last")))
+        got = first.agg(F.max("n").alias("n"), F.max("at").alias("at"), F.sum(F.col("full").cast("long")).alias("again")).first()
+        if (got["n"] or 0) < offset:
+            return raw.limit(0)
+        again, at = got["again"], got["at"]
+        kind = raw.schema[order_col].dataType
+        raw = raw.where(place >= F.struct(F.lit(at["n"]).alias("n"), F.lit(at["k"]).cast(kind).alias("k"), F.lit(at["h"]).cast("long").alias("h")))
+    page = raw.where("text <> ''").orderBy(place).limit(limit + again)
+    if again:  # rows like the last of those skipped
+        page = page.withColumn("r", F.row_number().over(Window.orderBy(place))).where(F.col("r") > again).drop("r")
+    return page
 
 
 def as_codepoints(rows: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
