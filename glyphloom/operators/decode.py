@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import encode_id
-from .graph import MISSING, node_potentials, transitions
+from .graph import MISSING, _weighed, edges_accumulate, node_potentials, nodes, per_node, transitions
 
 #: Nodes that a graph may have to be sent to every task (bounded graphs hold 50,000).
 MOST_NODES = 2_000_000
 #: Edges that it may have.
 MOST_EDGES = 10_000_000
-#: Bits of the filter of a vocabulary's hashes, for each token and at most (32 MB).
-BITS_PER_TOKEN, MOST_BITS = 64, 1 << 28
+#: Bits of the filter of a vocabulary's hashes (8 MB, whatever the vocabulary's size).
+FILTER_BITS = 1 << 26
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -67,7 +67,7 @@ def freeze(edge: DataFrame, alpha: float = 0.1, most: int = MOST_NODES, most_edg
     pot = node_potentials(edge, alpha)
     n = pot.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"the graph has more than {most} nodes: bound it first (lru_nodes, refine)")
+        raise ValueError(f"the graph has more than {most} nodes: bound it first (lru_nodes, refine), or use decode_over()")
     if edge.limit(most_edges + 1).count() > most_edges:
         raise ValueError(f"the graph has more than {most_edges} edges: prune it first (refine, top_edges)")
     p = pot.where("token <> ''").select("token", "log_p").toArrow()
@@ -78,6 +78,14 @@ def freeze(edge: DataFrame, alpha: float = 0.1, most: int = MOST_NODES, most_edg
     return Lattice(potentials, steps)
 
 
+_DECODED = "id {kind}, step int, token array<int>, token_str string, token_id string, score double"
+
+
+def _decoded(ids: list, kind: pa.DataType, steps: list[int], toks: list[str], scores: list[float], as_: str) -> pa.RecordBatch:
+    cps = [None if as_ == "ids" else [ord(c) for c in t] for t in toks]
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(steps, pa.int32()), pa.array(cps, pa.list_(pa.int32())), pa.array(toks, pa.string()), pa.array([str(encode_id([ord(c) for c in t])) for t in toks], pa.string()), pa.array(scores, pa.float64())], names=["id", "step", "token", "token_str", "token_id", "score"])
+
+
 def decode(rows: DataFrame, lattice: Lattice, key_col: str = "item_id", text_col: str = "text", as_: str = "sequences") -> DataFrame:
     """(id, step, token, token_str, token_id, score): the tokens of every row, nothing for what cannot be covered.
 
@@ -95,11 +103,10 @@ def decode(rows: DataFrame, lattice: Lattice, key_col: str = "item_id", text_col
                 steps += range(len(got))
                 toks += got
                 scores += [score] * len(got)
-            cps = [None if as_ == "ids" else [ord(c) for c in t] for t in toks]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(steps, pa.int32()), pa.array(cps, pa.list_(pa.int32())), pa.array(toks, pa.string()), pa.array([str(encode_id([ord(c) for c in t])) for t in toks], pa.string()), pa.array(scores, pa.float64())], names=["id", "step", "token", "token_str", "token_id", "score"])
+            yield _decoded(ids, b.schema.field(0).type, steps, toks, scores, as_)
 
     kind = dict(rows.dtypes)[key_col]
-    return rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, step int, token array<int>, token_str string, token_id string, score double")
+    return rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _DECODED.format(kind=kind))
 
 
 def decode_text(lattice: Lattice, text: str) -> list[str]:
@@ -129,27 +136,41 @@ def _hash_runs(codes: np.ndarray, sizes: list[int], bits: int) -> list[np.ndarra
     return out
 
 
-def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, token): every place where a token of the vocabulary (token) begins, of whatever length, without a trie.
+def _slots(tokens: list[str], bits: int) -> np.ndarray:
+    """_hash_runs() of each token as a whole, of all at once."""
+    ends = np.cumsum([len(t) for t in tokens])
+    begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+    codes = _codes("".join(tokens))
+    up, down = np.full(len(codes) + 1, _MUL), np.full(len(codes) + 1, _INVERSE)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[:-1])))
+    h = ((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64)) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MUL
+    return (h >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
-    For each length that occurs in the vocabulary, all runs of a text are hashed at once and looked up in a filter of the
-    vocabulary's hashes, some bits a token and 32 MB at most; only runs that pass become rows, and a hash join with the
-    vocabulary itself settles them. So texts do not move, and time is a text's length times the number of lengths. Null
-    and empty texts and tokens give nothing; rows that repeat an id each give theirs.
+
+def _candidates(rows: DataFrame, known: DataFrame, key_col: str, text_col: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, pos, token): runs of the texts that may be tokens of known (token, once each); none that is one is left out.
+
+    One look at known: its lengths and the words of the filter that are not 0 come to the driver, 16 MB at most.
     """
-    known = vocabulary.select("token").where("token <> ''").distinct()
-    sizes = sorted(r[0] for r in known.select(F.length("token")).distinct().collect())  # as many as there are lengths
-    n = known.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_TOKEN * n).bit_length()))
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [int(_hash_runs(_codes(t), [len(t)], bits)[0][0]) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
-
-    words = known.mapInArrow(spots, "at long").groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits")).toPandas()
+            toks = b.column(0).to_pylist()
+            at = _slots(toks, bits)
+            sizes = np.unique([len(t) for t in toks])
+            words, place = np.unique(at >> 6, return_inverse=True)
+            have = np.zeros(len(words), np.int64)
+            np.bitwise_or.at(have, place, np.int64(1) << (at & 63))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((-sizes, words))), pa.array(np.concatenate((np.zeros(len(sizes), np.int64), have)))], names=["word", "bits"])
+
+    got = known.where("token <> ''").mapInArrow(spots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    word, have = (got.column(i).to_numpy() for i in (0, 1))
+    sizes = sorted((-word[word < 0]).tolist())  # a token has a codepoint at least
     table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy()
+    table[word[word >= 0]] = have[word >= 0]
     shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +186,53 @@ def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", t
                         ids = b.column(0).take(pa.array(np.full(len(hit), i)))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(hit, pa.int32()), pa.array([t[k : k + size] for k in hit.tolist()], pa.string())], names=["id", "pos", "token"])
 
-    kind = dict(rows.dtypes)[key_col]
-    found = rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, pos int, token string")
-    return found.join(known, "token", "left_semi").select("id", "pos", "token")
+    texts = rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, pos int, token string")
+
+
+def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, token): every place where a token of the vocabulary (token) begins, of whatever length, without a trie.
+
+    For each length that occurs in the vocabulary, all runs of a text are hashed at once and looked up in a filter of the
+    vocabulary's hashes, 8 MB; only runs that pass become rows, and a hash join with the vocabulary itself settles them.
+    So texts do not move, and time is a text's length times the number of lengths. Null and empty texts and tokens give
+    nothing; rows that repeat an id each give theirs.
+    """
+    known = vocabulary.select("token").where("token <> ''").distinct()
+    return _candidates(rows, known, key_col, text_col).join(known, "token", "left_semi").select("id", "pos", "token")
+
+
+def decode_over(rows: DataFrame, edge: DataFrame, alpha: float = 0.1, key_col: str = "item_id", text_col: str = "text", as_: str = "sequences") -> DataFrame:
+    """decode(rows, freeze(edge)) over a graph of any size, which never leaves the executors. Pairs will do for edges.
+
+    A text is segmented with the tokens that occur in it and the edges between those that follow one another there; these
+    are found by prefixes() and joins. A row then has as much of the graph as its text can use.
+    """
+    edge = _weighed(edge).select("origin", "terminal", "weight")
+    texts = rows.select(F.col(text_col).alias("text")).where("text <> ''").distinct().select("text", F.sha2("text", 256).alias("k"))
+    pot = node_potentials(edge, alpha).where("token <> ''").select("token", "log_p")
+    found = _candidates(texts, nodes(edge), "k", "text").join(pot, "token").select(F.col("id").alias("k"), "pos", "token", "log_p")
+    nexts = found.select("k", "pos", F.col("token").alias("terminal"))
+    pairs = found.select("k", (F.col("pos") + F.length("token")).alias("pos"), F.col("token").alias("origin")).join(nexts, ["k", "pos"]).select("k", "origin", "terminal").distinct()
+    whole = edges_accumulate(edge)
+    out = whole.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
+    used = whole.join(pairs.select("origin", "terminal").distinct(), ["origin", "terminal"], "left_semi").join(per_node(out), "origin")
+    steps = used.select("origin", "terminal", (F.log("weight") - F.log("out_weight")).alias("log_w")).join(pairs, ["origin", "terminal"])
+    by_text = found.select("k", "token", "log_p").groupBy("k").agg(F.collect_set(F.struct("token", "log_p")).alias("p"))
+    steps = steps.groupBy("k").agg(F.collect_list(F.struct("origin", "terminal", "log_w")).alias("s"))
+    keyed = rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"), F.sha2(text_col, 256).alias("k"))
+    kind = dict(keyed.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at, toks, scores = [], [], [], []
+            for i in range(len(b)):
+                key, text, p, s = (b.column(c)[i].as_py() for c in range(4))
+                got, score = Lattice({x["token"]: x["log_p"] for x in p or ()}, {(x["origin"], x["terminal"]): x["log_w"] for x in s or ()}).segment(text or "")
+                ids += [key] * len(got)
+                at += range(len(got))
+                toks += got
+                scores += [score] * len(got)
+            yield _decoded(ids, b.schema.field(0).type, at, toks, scores, as_)
+
+    return keyed.join(by_text, "k", "left").join(steps, "k", "left").select("id", "text", "p", "s").mapInArrow(run, _DECODED.format(kind=kind))
