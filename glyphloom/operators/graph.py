@@ -86,8 +86,13 @@ def edges(pairs: DataFrame, policy: str = "last_run") -> DataFrame:
 
 
 def nodes(edge: DataFrame) -> DataFrame:
-    """(token): origins and terminals, once each."""
-    return edge.select(F.col("origin").alias("token")).union(edge.select("terminal")).distinct()
+    """(token): origins and terminals, once each. Pairs will do for edges, and need not be summed up for it."""
+    return edge.select(F.explode(F.array("origin", "terminal")).alias("token")).distinct()
+
+
+def per_node(rows: DataFrame) -> DataFrame:
+    """rows of one line a node, to be joined to edges: they are put in hash tables, so that edges are neither sorted nor spilled."""
+    return rows.hint("shuffle_hash")
 
 
 def strengths(edge: DataFrame) -> DataFrame:
@@ -124,6 +129,11 @@ def _range_of(token: Column, bounds: list[str]) -> Column:
     return search(0, len(bounds))
 
 
+def _sample(node: DataFrame, ranges: int) -> list[str]:
+    lowest = node.select("token", F.xxhash64("token").alias("h")).where("token is not null").orderBy("h").limit(16 * ranges)
+    return sorted(r["token"] for r in lowest.select("token").collect())
+
+
 def dense_index(node: DataFrame, ranges: int = RANGES) -> DataFrame:
     """(token, dense_idx): 0, 1, 2 ... in token order.
 
@@ -131,18 +141,27 @@ def dense_index(node: DataFrame, ranges: int = RANGES) -> DataFrame:
     come from a sample of the tokens themselves (those of lowest hash), so they, and both levels, agree however often they are
     computed, and tokens that begin alike fall into several ranges.
     """
-    lowest = node.select("token", F.xxhash64("token").alias("h")).where("token is not null").orderBy("h").limit(16 * ranges)
-    sample = sorted(r["token"] for r in lowest.select("token").collect())
-    parted = node.select("token", _range_of(F.col("token"), sorted({*sample[8::16]})).alias("part"))
+    return _numbered(node, _sample(node, ranges)).select("token", "dense_idx")
+
+
+def _numbered(node: DataFrame, sample: list[str]) -> DataFrame:
+    """node with dense_idx and, if it has a column deg, ptr: the sum of deg up to and with the token.
+
+    The tokens are dealt out to their ranges once; both the ranges' sums and the places within them are taken from there.
+    """
+    deg = F.col("deg") if "deg" in node.columns else F.lit(0).cast("long")
+    parted = node.select("token", deg.alias("deg"), _range_of(F.col("token"), sorted({*sample[8::16]})).alias("part")).repartition("part")
+    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("d"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in ("n", "d")))
     w = Window.partitionBy("part").orderBy("token")
-    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return parted.withColumn("r", F.row_number().over(w)).join(F.broadcast(before), "part").select("token", (F.col("before") + F.col("r") - 1).alias("dense_idx"))
+    placed = parted.withColumns({"r": F.row_number().over(w), "s": F.sum("deg").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return placed.join(F.broadcast(before), "part").select("token", (F.col("before_n") + F.col("r") - 1).alias("dense_idx"), (F.col("before_d") + F.col("s")).alias("ptr"))
 
 
 def by_token(tokens: DataFrame, indexed: DataFrame) -> DataFrame:
     """tokens (token) plus dense_idx, null for those not in the graph."""
-    return tokens.join(indexed, "token", "left")
+    return tokens.join(per_node(indexed), "token", "left")
 
 
 def by_index(indices: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -150,15 +169,16 @@ def by_index(indices: DataFrame, indexed: DataFrame) -> DataFrame:
     return indices.join(indexed, "dense_idx")
 
 
-def csr(edge: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def csr(edge: DataFrame, indexed: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cells (row_idx, col_idx, log_w), row_ptr (dense_idx 0..V, ptr)); edges to tokens outside the index are left out.
 
+    ``whole`` says that the index holds every node, so that out-weights need no look at it; see also row_pointers().
     Pointers are exclusive running sums of out-degrees, bins of BIN rows first.
     """
-    inner = edge.join(indexed.select(F.col("token").alias("terminal"), F.col("dense_idx").alias("col_idx")), "terminal")
-    out = inner.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
-    cells = inner.join(out, "origin").withColumn("log_w", F.log("weight") - F.log("out_weight"))
-    cells = cells.join(indexed.select(F.col("token").alias("origin"), F.col("dense_idx").alias("row_idx")), "origin").select("row_idx", "col_idx", "log_w")
+    inner = edge.join(per_node(indexed.select(F.col("token").alias("terminal"), F.col("dense_idx").alias("col_idx"))), "terminal")
+    out = (edge if whole else inner).groupBy("origin").agg(F.sum("weight").alias("out_weight"))
+    row = indexed.select(F.col("token").alias("origin"), F.col("dense_idx").alias("row_idx")).join(per_node(out), "origin")
+    cells = inner.join(per_node(row), "origin").select("row_idx", "col_idx", (F.log("weight") - F.log("out_weight")).alias("log_w"))
     degree = cells.groupBy("row_idx").agg(F.count(F.lit(1)).alias("deg"))
     rows = indexed.join(degree, indexed["dense_idx"] == degree["row_idx"], "left").select("dense_idx", F.coalesce("deg", F.lit(0)).alias("deg"), F.floor(F.col("dense_idx") / BIN).alias("bin"))
     bins = rows.groupBy("bin").agg(F.sum("deg").alias("d")).select("bin", F.coalesce(F.sum("d").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -168,6 +188,15 @@ def csr(edge: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells, first.union(upto)
 
 
+def row_pointers(pairs: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """csr()'s row_ptr of all nodes of the pairs: degrees are summed in the ranges that the tokens are numbered in, nothing is joined."""
+    edge = pairs.select("origin", "terminal").distinct()
+    end = lambda c, n: F.struct(F.col(c).alias("token"), F.lit(n).cast("long").alias("deg"))
+    node = edge.select(F.explode(F.array(end("origin", 1), end("terminal", 0))).alias("x")).groupBy("x.token").agg(F.sum("x.deg").alias("deg"))
+    upto = _numbered(node, _sample(nodes(pairs), ranges)).select((F.col("dense_idx") + 1).alias("dense_idx"), "ptr")
+    return pairs.sparkSession.range(1).select(F.col("id").alias("dense_idx"), F.lit(0).cast("long").alias("ptr")).union(upto)
+
+
 def lru_nodes(pairs: DataFrame, capacity: int = GRAPH_CAPACITY) -> DataFrame:
     """(token, last_touch_key, last_touch_pos, dense_idx): the ``capacity`` most recently touched nodes, newest first.
 

@@ -41,7 +41,12 @@ def boundary_f1(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(n_found, n_truth, n_both, precision, recall, f1) of two sets of (stream_key, at): one aggregation over their union."""
     both = found.select("stream_key", "at", F.lit(1).alias("f"), F.lit(0).alias("t")).union(truth.select("stream_key", "at", F.lit(0), F.lit(1)))
     by = both.groupBy("stream_key", "at").agg(F.max("f").alias("f"), F.max("t").alias("t"))
-    got = by.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n_found"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_truth"), F.coalesce(F.sum(F.col("f") * F.col("t")), F.lit(0)).alias("n_both"))
+    return f1(by.select(F.col("f").alias("n_found"), F.col("t").alias("n_truth"), (F.col("f") * F.col("t")).alias("n_both")))
+
+
+def f1(counts: DataFrame) -> DataFrame:
+    """boundary_f1() from counts (n_found, n_truth, n_both) that are to be added up."""
+    got = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_found", "n_truth", "n_both")))
     d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     return got.select("*", d(F.col("n_both"), F.col("n_found")).alias("precision"), d(F.col("n_both"), F.col("n_truth")).alias("recall"), d(2 * F.col("n_both"), F.col("n_found") + F.col("n_truth")).alias("f1"))
 
@@ -75,7 +80,13 @@ def continuity(tokens: DataFrame, token_col: str = "token_str") -> DataFrame:
     cut = _prefix_keys(F.col("tok"), F.lit(1), F.length("tok") - 1)
     heads = last.where(F.length("tok") > 1).select("stream_key", "last", F.explode(cut).alias("tok")).groupBy("stream_key", "tok").agg(F.max("last").alias("later"))
     whole = F.when(F.length("tok") <= BLOCK, F.col("tok")).otherwise(F.get(_prefix_keys(F.col("tok"), F.length("tok"), F.length("tok")), F.lit(0)))
-    got = rows.withColumn("tok", whole).join(heads, ["stream_key", "tok"], "left").agg(F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum((F.col("later") > F.col("tok_pos")).cast("long")), F.lit(0)).alias("n_continued"))
+    both = rows.withColumn("tok", whole).join(heads, ["stream_key", "tok"], "left")
+    return continued(both.select(F.lit(1).alias("n_tokens"), (F.col("later") > F.col("tok_pos")).cast("long").alias("n_continued")))
+
+
+def continued(counts: DataFrame) -> DataFrame:
+    """continuity() from counts (n_tokens, n_continued) that are to be added up."""
+    got = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_continued")))
     return got.withColumn("continuity", F.try_divide(F.col("n_continued").cast("double"), F.col("n_tokens").cast("double")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .kernel import GATE_CAPACITY, build, lz_cuts, mdl_cuts, stack_tokens
 
 #: Characters whose tokens are put out together.
-OUT_CHARS = 1 << 20
+OUT_CHARS = 1 << 18
 #: Bytes a core below which an input is dealt out anew.
 SMALL_SHARE = 32 << 20
 
@@ -209,6 +209,89 @@ def stream_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     return _lz_rows(docs, key_col, text_col, capacity, _trailing, "stream_key {kind}, origin string, terminal string, weight double, more boolean")
 
 
+#: What Unicode calls white space.
+_SPACES = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
+def _lz_counts(docs: DataFrame, text_col: str, capacity: int, count, names: list[str]) -> DataFrame:
+    """Sums of count(codes, ends of the tokens) over the texts of a batch: one row a batch, for the lossless tokens of one LZ level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.zeros(len(names), np.int64)
+            for t in b.column(0):
+                if text := t.as_py():
+                    codes = _codes(text)
+                    total += count(text, codes, [*lz_cuts(codes.tolist(), capacity)[1:], len(codes)])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in total.tolist()], names=names)
+
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def stream_boundary_counts(docs: DataFrame, text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
+    """(n_found, n_truth, n_both) to be added up: boundaries of a text's LZ tokens, those of its white space, and those of both.
+
+    What metrics.boundary_f1() counts of tokens(compat="lossless") and metrics.space_boundaries(), each row a stream of its own; counted where
+    the texts lie, so no boundary becomes a row.
+    """
+
+    def count(text, codes, ends) -> tuple[int, int, int]:
+        space = np.isin(codes, _SPACES)
+        truth = space[1:] != space[:-1]
+        found = np.array(ends[:-1], np.int64)
+        return len(found), int(truth.sum()), int(truth[found - 1].sum())
+
+    return _lz_counts(docs, text_col, capacity, count, ["n_found", "n_truth", "n_both"])
+
+
+def stream_continuity(docs: DataFrame, text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
+    """(n_tokens, n_continued) to be added up: what metrics.continuity() counts of tokens(compat="lossless"), counted where the texts lie.
+
+    Sorted, the tokens that begin with a token follow it; walked backwards through the chain of tokens that are prefixes of one
+    another, each hands its last place, and those after it, up to the longest of its prefixes.
+    """
+
+    def count(text, codes, ends) -> tuple[int, int]:
+        toks = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        last = {t: i for i, t in enumerate(toks)}
+        later, chain = dict.fromkeys(last, -1), []
+        for t in [*sorted(last), None]:
+            while chain and (t is None or not t.startswith(chain[-1])):
+                done = chain.pop()
+                if chain:
+                    up = chain[-1]
+                    later[up] = max(later[up], last[done], later[done])
+            chain.append(t)
+        return len(toks), sum(later[t] > i for i, t in enumerate(toks))
+
+    return _lz_counts(docs, text_col, capacity, count, ["n_tokens", "n_continued"])
+
+
+def joined_tokens(toks: DataFrame) -> DataFrame:
+    """(stream_key, text): the tokens of each stream put together, where tokens() has left them: a stream's rows lie together and
+    in order, from tok_pos 0 on. Nothing is shuffled; streams without tokens give no row."""
+    rows = toks.select("stream_key", "tok_pos", "token_str")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # the stream that the last batch ended in
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            starts = np.flatnonzero(b.column(1).to_numpy() == 0).tolist()
+            held += texts[: starts[0] if starts else None]
+            if not starts:
+                continue
+            out = [] if key is None else ["".join(held)]
+            out += ["".join(texts[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
+            keys = b.column(0).take(pa.array(starts, pa.int64()))
+            done = keys[:-1] if key is None else pa.concat_arrays([key, keys[:-1]])
+            yield pa.RecordBatch.from_arrays([done, pa.array(out, pa.string())], names=["stream_key", "text"])
+            key, held = keys[-1:], texts[starts[-1] :]
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([key, pa.array(["".join(held)])], names=["stream_key", "text"])
+
+    return rows.mapInArrow(run, f"stream_key {dict(rows.dtypes)['stream_key']}, text string")
+
+
 _GATE = pa.struct([("name", pa.string()), ("ingested", pa.int64()), ("pass_rate", pa.float64()), ("custom_metrics", pa.map_(pa.string(), pa.float64()))])
 _SNAP = pa.struct([("name", pa.string()), ("ints_in", pa.int64()), ("sequences_emitted", pa.int64()), ("ints_per_emit", pa.float64()), ("duration_ms", pa.float64()), ("gates", pa.list_(_GATE))])
 

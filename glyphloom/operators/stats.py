@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import nodes
+from .graph import _weighed, strengths
 
 
 def token_strength(tokens: DataFrame, token_col: str = "token_str") -> DataFrame:
@@ -19,11 +19,15 @@ def token_table(tokens: DataFrame, edge: DataFrame, token_col: str = "token_str"
     return token_strength(tokens, token_col).join(degree, "token", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def association(edge: DataFrame) -> DataFrame:
-    """(origin, terminal, weight, pmi, dice): pmi = ln(w * T / (out * in)), dice = 2 w / (out + in)."""
-    out = edge.groupBy("origin").agg(F.sum("weight").alias("o"))
-    into = edge.groupBy("terminal").agg(F.sum("weight").alias("i"))
-    total = out.agg(F.sum("o").alias("total"))
+def association(edge: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(origin, terminal, weight, pmi, dice): pmi = ln(w * T / (out * in)), dice = 2 w / (out + in).
+
+    Strengths are summed from the pairs that the edges were made of, if they are given: so edges move for their joins only.
+    """
+    s = strengths(_weighed(edge if pairs is None else pairs))
+    out = s.where("out_weight > 0").select(F.col("token").alias("origin"), F.col("out_weight").alias("o"))
+    into = s.where("in_weight > 0").select(F.col("token").alias("terminal"), F.col("in_weight").alias("i"))
+    total = s.agg(F.sum("out_weight").alias("total"))
     both = edge.join(out, "origin").join(into, "terminal")
     w, o, i = F.col("weight"), F.col("o"), F.col("i")
     return both.join(F.broadcast(total)).select("origin", "terminal", "weight", F.log(w * F.col("total") / (o * i)).alias("pmi"), (2 * w / (o + i)).alias("dice"))
@@ -41,9 +45,9 @@ def top_edges(edge: DataFrame, k: int = 3) -> DataFrame:
     return edge.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("origin", "terminal", "weight", "rank")
 
 
-def refine(edge: DataFrame, k: int = 8, least_pmi: float = 0.0, most_entropy: float | None = None) -> DataFrame:
+def refine(edge: DataFrame, k: int = 8, least_pmi: float = 0.0, most_entropy: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Pruned edges: PMI of at least least_pmi, origins of entropy of at most most_entropy, k heaviest an origin."""
-    kept = association(edge).where(F.col("pmi") >= least_pmi).select("origin", "terminal", "weight")
+    kept = association(edge, pairs).where(F.col("pmi") >= least_pmi).select("origin", "terminal", "weight")
     if most_entropy is not None:
         kept = kept.join(branching_entropy(edge).where(F.col("entropy") <= most_entropy), "origin", "left_semi")
     return top_edges(kept, k).drop("rank")
@@ -60,8 +64,9 @@ def percentiles(rows: DataFrame, col: str, shares: tuple[float, ...] = (0.5, 0.9
 
 
 def isolated(vocabulary: DataFrame, edge: DataFrame) -> DataFrame:
-    """Tokens of the vocabulary (token) that no edge touches."""
-    return vocabulary.select("token").distinct().join(nodes(edge), "token", "left_anti")
+    """Tokens of the vocabulary (token) that no edge touches: one aggregation. Pairs will do for edges."""
+    ends = edge.select(F.explode(F.array("origin", "terminal")).alias("token"), F.lit(1).alias("touched"))
+    return vocabulary.select("token", F.lit(0).alias("touched")).union(ends).groupBy("token").agg(F.max("touched").alias("touched")).where("touched = 0").select("token")
 
 
 def histogram(rows: DataFrame, col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_ends, stream_pairs, tokens, whitespace_tokens
+from ..operators.sequence import joined_streams, joined_tokens, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_ends, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -66,7 +66,7 @@ def _words(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return graph.bigrams(_words(spark, sf_dir))
+    return word_pairs(_docs(spark, sf_dir))
 
 
 def _edges(spark, sf_dir):
@@ -179,12 +179,12 @@ def edges_accumulate(spark, sf_dir):
 
 @query(f"WITH {_B}, {_LAST} SELECT origin, terminal, count(*)::DOUBLE AS weight FROM h WHERE run = last_run GROUP BY 1, 2")
 def edges_last_run(spark, sf_dir):
-    return graph.edges_last_run(_pairs(spark, sf_dir))
+    return graph.merge_ends(word_ends(_docs(spark, sf_dir)))
 
 
 @query(f"WITH {_E} SELECT origin AS token FROM e UNION SELECT terminal FROM e")
 def node_set(spark, sf_dir):
-    return graph.nodes(_edges(spark, sf_dir))
+    return graph.nodes(_pairs(spark, sf_dir))
 
 
 @query(f"WITH {_S} SELECT * FROM s")
@@ -204,26 +204,24 @@ def transition_log_probs(spark, sf_dir):
 
 @query(f"WITH {_S}{_I} SELECT * FROM n")
 def dense_indices(spark, sf_dir):
-    return graph.dense_index(graph.nodes(_edges(spark, sf_dir)))
+    return graph.dense_index(graph.nodes(_pairs(spark, sf_dir)))
 
 
 @query(f"WITH {_S}{_I} SELECT a.dense_idx AS row_idx, c.dense_idx AS col_idx, round(ln(e.weight) - ln(sum(e.weight) OVER (PARTITION BY e.origin)), 6) AS log_w FROM e JOIN n a ON a.token = e.origin JOIN n c ON c.token = e.terminal")
 def csr_cells(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.csr(e, graph.dense_index(graph.nodes(e)))[0].withColumn("log_w", _r(F.col("log_w")))
+    p = _pairs(spark, sf_dir)
+    return graph.csr(graph.edges_accumulate(p), graph.dense_index(graph.nodes(p)), whole=True)[0].withColumn("log_w", _r(F.col("log_w")))
 
 
 @query(f"WITH {_S}{_I}, d AS (SELECT n.dense_idx, s.out_degree FROM n JOIN s USING (token)) SELECT 0::BIGINT AS dense_idx, 0::BIGINT AS ptr UNION ALL SELECT dense_idx + 1, sum(out_degree) OVER (ORDER BY dense_idx)::BIGINT FROM d")
 def csr_row_ptr(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.csr(e, graph.dense_index(graph.nodes(e)))[1]
+    return graph.row_pointers(_pairs(spark, sf_dir))
 
 
 @query(f"WITH {_S}{_I} SELECT w.stream_key, w.tok_pos, n.dense_idx FROM w LEFT JOIN n ON n.token = w.token_str")
 def index_lookup(spark, sf_dir):
-    e = _edges(spark, sf_dir)
     t = _words(spark, sf_dir).withColumnRenamed("token_str", "token")
-    return graph.by_token(t, graph.dense_index(graph.nodes(e))).select("stream_key", "tok_pos", "dense_idx")
+    return graph.by_token(t, graph.dense_index(graph.nodes(_pairs(spark, sf_dir)))).select("stream_key", "tok_pos", "dense_idx")
 
 
 @query(f"""WITH {_B}, o AS (SELECT origin AS token, max(struct_pack(k := stream_key, p := pos, s := 0)) AS a FROM b GROUP BY 1), t AS (SELECT terminal AS token, min(struct_pack(k := stream_key, p := pos, s := 1)) AS a FROM b GROUP BY 1),
@@ -243,7 +241,8 @@ def token_table(spark, sf_dir):
 
 @query(f"WITH {_S} SELECT origin, terminal, weight, round(ln(weight * (SELECT sum(weight) FROM e) / (a.out_weight * c.in_weight)), 6) AS pmi, round(2 * weight / (a.out_weight + c.in_weight), 6) AS dice FROM e JOIN s a ON a.token = origin JOIN s c ON c.token = terminal")
 def pmi_dice(spark, sf_dir):
-    return stats.association(_edges(spark, sf_dir)).withColumns({"pmi": _r(F.col("pmi")), "dice": _r(F.col("dice"))})
+    p = _pairs(spark, sf_dir)
+    return stats.association(graph.edges_accumulate(p), p).withColumns({"pmi": _r(F.col("pmi")), "dice": _r(F.col("dice"))})
 
 
 @query(f"WITH {_E}, p AS (SELECT origin, weight / sum(weight) OVER (PARTITION BY origin) AS p FROM e) SELECT origin, round(abs(-sum(p * ln(p))), 6) AS entropy FROM p GROUP BY 1")
@@ -259,7 +258,8 @@ def top_edges(spark, sf_dir):
 @query(f"""WITH {_S}, p AS (SELECT e.*, ln(weight * (SELECT sum(weight) FROM e) / (a.out_weight * c.in_weight)) AS pmi FROM e JOIN s a ON a.token = origin JOIN s c ON c.token = terminal)
 SELECT origin, terminal, weight FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY weight DESC, terminal) AS r FROM p WHERE pmi >= 1.0) WHERE r <= 8""")
 def refined_edges(spark, sf_dir):
-    return stats.refine(_edges(spark, sf_dir), 8, 1.0)
+    p = _pairs(spark, sf_dir)
+    return stats.refine(graph.edges_accumulate(p), 8, 1.0, pairs=p)
 
 
 @query(f"WITH {_W}, q AS (SELECT token_str, count(*) AS strength FROM w GROUP BY 1), v AS (SELECT quantile_cont(strength, [0.5, 0.9, 0.99]) AS v FROM q) SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS q, round(unnest(v), 6) AS value FROM v")
@@ -274,7 +274,7 @@ def degree_histogram(spark, sf_dir):
 
 @query(f"WITH {_S}, v AS (SELECT DISTINCT token_str AS token FROM w) SELECT token FROM v WHERE token NOT IN (SELECT token FROM s)")
 def isolated_nodes(spark, sf_dir):
-    return stats.isolated(_words(spark, sf_dir).select(F.col("token_str").alias("token")), _edges(spark, sf_dir))
+    return stats.isolated(_words(spark, sf_dir).select(F.col("token_str").alias("token")), _pairs(spark, sf_dir))
 
 
 # --- metrics ---
@@ -298,12 +298,12 @@ m AS (SELECT *, coalesce(sum((edge_count = 0)::BIGINT) OVER (PARTITION BY stream
 
 @query(f"WITH {_MARKOV} SELECT stream_key, pos, origin, terminal, parent_count, edge_count, degree FROM m")
 def running_markov(spark, sf_dir):
-    return metrics.running_markov(_pairs(spark, sf_dir))
+    return word_markov(_docs(spark, sf_dir))
 
 
 @query(f"WITH {_MARKOV} SELECT stream_key, pos, round((edge_count + 0.1::DOUBLE) / (parent_count + 0.1::DOUBLE * greatest(degree, 1)), 6) AS p, round(CASE WHEN degree = 0 THEN 0 ELSE pow(least(degree, 2048)::DOUBLE, -0.8) END, 6) AS threshold FROM m")
 def laplace_probs(spark, sf_dir):
-    got = metrics.laplace(metrics.running_markov(_pairs(spark, sf_dir)))
+    got = metrics.laplace(word_markov(_docs(spark, sf_dir)))
     return got.select("stream_key", "pos", _r(F.col("p")).alias("p"), _r(F.col("threshold")).alias("threshold"))
 
 
@@ -381,9 +381,7 @@ def conversation_tokens(spark, sf_dir):
 @query("SELECT doc_id AS stream_key, text FROM documents")
 def lz_joined_tokens(spark, sf_dir):
     """The tokens of a stream put together again are its text."""
-    t = tokens(_docs(spark, sf_dir), compat="lossless")
-    parts = t.groupBy("stream_key").agg(F.array_sort(F.collect_list(F.struct("tok_pos", "token_str"))).alias("p"))
-    got = parts.select("stream_key", F.array_join(F.transform("p", lambda x: x["token_str"]), "").alias("text"))
+    got = joined_tokens(tokens(_docs(spark, sf_dir), compat="lossless"))
     empty = _docs(spark, sf_dir).where("text is null or text = ''").select(F.col("doc_id").alias("stream_key"), "text")
     return got.unionByName(empty)
 
@@ -405,7 +403,7 @@ q AS (SELECT DISTINCT stream_key, upto AS place FROM z WHERE upto > 0 AND upto <
 x AS (SELECT (SELECT count(*) FROM q) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM q JOIN t USING (stream_key, place)) AS n_both)
 SELECT n_found, n_truth, n_both, round(n_both::DOUBLE / n_found, 6) AS precision, round(n_both::DOUBLE / n_truth, 6) AS recall, round(2 * n_both::DOUBLE / (n_found + n_truth), 6) AS f1 FROM x""")
 def lz_boundary_f1(spark, sf_dir):
-    got = metrics.boundary_f1(metrics.boundaries(tokens(_docs(spark, sf_dir), compat="lossless")), metrics.space_boundaries(_docs(spark, sf_dir)))
+    got = metrics.f1(stream_boundary_counts(_docs(spark, sf_dir)))
     return got.withColumns({c: _r(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
@@ -414,13 +412,12 @@ l AS (SELECT stream_key, tok, max(tok_pos) AS last FROM y GROUP BY 1, 2),
 h AS (SELECT stream_key, substr(tok, 1, n) AS tok, max(last) AS later FROM (SELECT *, unnest(range(1, length(tok))) AS n FROM l) GROUP BY 1, 2)
 SELECT count(*) AS n_tokens, count(*) FILTER (WHERE later > tok_pos) AS n_continued, round(count(*) FILTER (WHERE later > tok_pos)::DOUBLE / count(*), 6) AS continuity FROM y LEFT JOIN h USING (stream_key, tok)""")
 def lz_continuity(spark, sf_dir):
-    return metrics.continuity(tokens(_docs(spark, sf_dir), compat="lossless")).withColumn("continuity", _r(F.col("continuity")))
+    return metrics.continued(stream_continuity(_docs(spark, sf_dir))).withColumn("continuity", _r(F.col("continuity")))
 
 
 @query()
 def decode_benchmark(spark, sf_dir):
-    edge = graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir)))
-    return dec.decode(_t(spark, sf_dir, "benchmark"), dec.freeze(edge))
+    return dec.decode_over(_t(spark, sf_dir, "benchmark"), stream_pairs(_docs(spark, sf_dir)))
 
 
 @query(f"""WITH {_W}, v AS MATERIALIZED (SELECT DISTINCT token_str AS token FROM w), l AS (SELECT DISTINCT length(token) AS n FROM v), p AS (SELECT item_id AS id, text, unnest(range(0, length(text))) AS pos FROM benchmark),
