@@ -23,7 +23,7 @@ def found(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-WORDS = ["csr_row_ptr"]
+WORDS = ["csr_row_ptr", "csr_cells"]
 
 
 @pytest.mark.parametrize("name", WORDS)
