@@ -23,7 +23,7 @@ def found(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-WORDS = ["csr_row_ptr", "csr_cells", "index_lookup", "dense_indices"]
+WORDS = ["csr_row_ptr", "csr_cells", "index_lookup", "dense_indices", "edges_last_run"]
 
 
 @pytest.mark.parametrize("name", WORDS)
