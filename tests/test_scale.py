@@ -23,7 +23,7 @@ def found(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-WORDS = ["csr_row_ptr", "csr_cells", "index_lookup", "dense_indices", "edges_last_run", "refined_edges", "pmi_dice", "isolated_nodes", "lru_nodes", "transition_log_probs", "running_markov", "edges_accumulate"]
+WORDS = ["csr_row_ptr", "csr_cells", "index_lookup", "dense_indices", "edges_last_run", "refined_edges", "pmi_dice", "isolated_nodes", "lru_nodes", "transition_log_probs", "running_markov", "edges_accumulate", "laplace_probs"]
 
 
 @pytest.mark.parametrize("name", WORDS)
