@@ -293,3 +293,7 @@ def test_snapshots_take_less_than_half_the_time():
 
     one = lambda: _snapshot(stack_tokens([ord(c) for c in LONG], "merge", flush=False), "merge", 70_000)
     assert one() == steps() and best(one) < 0.5 * best(steps)
+
+
+def test_boundary_stack_takes_less_than_half_the_time():
+    assert best(lambda: stack_tokens([ord(c) for c in LONG], "boundary")) < 0.5 * best(lambda: drive(build("boundary"), LONG))
