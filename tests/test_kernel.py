@@ -297,3 +297,7 @@ def test_snapshots_take_less_than_half_the_time():
 
 def test_boundary_stack_takes_less_than_half_the_time():
     assert best(lambda: stack_tokens([ord(c) for c in LONG], "boundary")) < 0.5 * best(lambda: drive(build("boundary"), LONG))
+
+
+def test_mdl_cuts_take_less_than_three_quarters_of_the_time():
+    assert best(lambda: mdl_cuts([ord(c) for c in LONG])) < 0.75 * best(lambda: drive(build(gate="mdl"), LONG))
