@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, joined_tokens, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_ends, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs
+from ..operators.sequence import joined_streams, joined_tokens, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -338,7 +338,7 @@ def lz_pairs(spark, sf_dir):
 
 @query(f"WITH {_ZE} SELECT * FROM e")
 def lz_edges_accumulate(spark, sf_dir):
-    return graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir)))
+    return graph.edges_accumulate(stream_edges(_docs(spark, sf_dir)))
 
 
 @query(f"WITH {_ZB}, {_LAST} SELECT origin, terminal, count(*)::DOUBLE AS weight FROM h WHERE run = last_run GROUP BY 1, 2")
@@ -349,7 +349,7 @@ def lz_edges_last_run(spark, sf_dir):
 @query(f"""WITH {_ZE}, s AS (SELECT token, sum(w) AS in_weight FROM (SELECT origin AS token, 0.0::DOUBLE AS w FROM e UNION ALL SELECT terminal, weight FROM e) GROUP BY 1)
 SELECT token, in_weight, round(ln((in_weight + 0.1::DOUBLE) / ((SELECT sum(in_weight) FROM s) + 0.1::DOUBLE * (SELECT count(*) FROM s))), 6) AS log_p FROM s""")
 def lz_potentials(spark, sf_dir):
-    return graph.node_potentials(graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir)))).withColumn("log_p", _r(F.col("log_p")))
+    return graph.node_potentials(graph.edges_accumulate(stream_edges(_docs(spark, sf_dir)))).withColumn("log_p", _r(F.col("log_p")))
 
 
 @query()
@@ -417,7 +417,7 @@ def lz_continuity(spark, sf_dir):
 
 @query()
 def decode_benchmark(spark, sf_dir):
-    return dec.decode_over(_t(spark, sf_dir, "benchmark"), stream_pairs(_docs(spark, sf_dir)))
+    return dec.decode_over(_t(spark, sf_dir, "benchmark"), stream_edges(_docs(spark, sf_dir)))
 
 
 @query(f"""WITH {_W}, v AS MATERIALIZED (SELECT DISTINCT token_str AS token FROM w), l AS (SELECT DISTINCT length(token) AS n FROM v), p AS (SELECT item_id AS id, text, unnest(range(0, length(text))) AS pos FROM benchmark),
@@ -429,5 +429,5 @@ def prefix_search(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to tokens to edges to potentials: the 20 most probable tokens."""
-    pot = graph.node_potentials(graph.edges_accumulate(stream_pairs(_docs(spark, sf_dir))))
+    pot = graph.node_potentials(graph.edges_accumulate(stream_edges(_docs(spark, sf_dir))))
     return pot.orderBy(F.col("log_p").desc(), "token").limit(20)
