@@ -38,6 +38,15 @@ def _weighed(pairs: DataFrame) -> DataFrame:
     return pairs if "weight" in pairs.columns else pairs.withColumn("weight", F.lit(1.0))
 
 
+def shared(edge: DataFrame) -> DataFrame:
+    """edge without null ends, for plans that read it several times.
+
+    Each reader's join would push a filter of its own below the sums, so that they were made, and moved, once for each; now they
+    are alike and are moved once.
+    """
+    return edge.where("origin is not null and terminal is not null")
+
+
 def edges_accumulate(pairs: DataFrame) -> DataFrame:
     """(origin, terminal, weight): summed over all occurrences; partial sums before the shuffle."""
     return _weighed(pairs).groupBy("origin", "terminal").agg(F.sum("weight").alias("weight"))
@@ -113,6 +122,7 @@ def node_potentials(edge: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 def transitions(edge: DataFrame) -> DataFrame:
     """(origin, terminal, weight, log_w): ln of the weight's share of the origin's."""
+    edge = shared(edge)
     out = edge.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
     return edge.join(out, "origin").select("origin", "terminal", "weight", (F.log("weight") - F.log("out_weight")).alias("log_w"))
 
@@ -175,6 +185,7 @@ def csr(edge: DataFrame, indexed: DataFrame, whole: bool = False) -> tuple[DataF
     ``whole`` says that the index holds every node, so that out-weights need no look at it; see also row_pointers().
     Pointers are exclusive running sums of out-degrees, bins of BIN rows first.
     """
+    edge = shared(edge)
     inner = edge.join(per_node(indexed.select(F.col("token").alias("terminal"), F.col("dense_idx").alias("col_idx"))), "terminal")
     out = (edge if whole else inner).groupBy("origin").agg(F.sum("weight").alias("out_weight"))
     row = indexed.select(F.col("token").alias("origin"), F.col("dense_idx").alias("row_idx")).join(per_node(out), "origin")
