@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import encode_id
-from .graph import MISSING, _weighed, edges_accumulate, node_potentials, nodes, per_node, transitions
+from .graph import MISSING, _weighed, edges_accumulate, node_potentials, per_node, shared, transitions
 
 #: Nodes that a graph may have to be sent to every task (bounded graphs hold 50,000).
 MOST_NODES = 2_000_000
@@ -19,6 +19,8 @@ MOST_NODES = 2_000_000
 MOST_EDGES = 10_000_000
 #: Bits of the filter of a vocabulary's hashes (8 MB, whatever the vocabulary's size).
 FILTER_BITS = 1 << 26
+#: Stands for the word of a filter in the row of its sums.
+_TOTAL = -(1 << 40)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -150,25 +152,31 @@ def _slots(tokens: list[str], bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
-def _candidates(rows: DataFrame, known: DataFrame, key_col: str, text_col: str, bits: int = FILTER_BITS) -> DataFrame:
-    """(id, pos, token): runs of the texts that may be tokens of known (token, once each); none that is one is left out.
+def _candidates(rows: DataFrame, known: DataFrame, key_col: str, text_col: str, bits: int = FILTER_BITS) -> tuple[DataFrame, int, float]:
+    """(rows (id, pos, token), count, weight): runs of the texts that may be tokens of known (token, once each); none that is one is
+    left out. And how many tokens known has, and the sum of their in_weight if it has that column; empty ones count here.
 
     One look at known: its lengths and the words of the filter that are not 0 come to the driver, 16 MB at most.
     """
+    weight = F.col("in_weight") if "in_weight" in known.columns else F.lit(0.0)
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks = b.column(0).to_pylist()
-            at = _slots(toks, bits)
+            toks = [t for t in b.column(0).to_pylist() if t]
+            at = _slots(toks, bits) if toks else np.zeros(0, np.int64)
             sizes = np.unique([len(t) for t in toks])
             words, place = np.unique(at >> 6, return_inverse=True)
             have = np.zeros(len(words), np.int64)
             np.bitwise_or.at(have, place, np.int64(1) << (at & 63))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((-sizes, words))), pa.array(np.concatenate((np.zeros(len(sizes), np.int64), have)))], names=["word", "bits"])
-
-    got = known.where("token <> ''").mapInArrow(spots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    word, have = (got.column(i).to_numpy() for i in (0, 1))
-    sizes = sorted((-word[word < 0]).tolist())  # a token has a codepoint at least
+            word = np.concatenate((-sizes, words, [_TOTAL])).astype(np.int64)
+            n, w = np.zeros((2, len(word)))
+            n[-1], w[-1] = len(b), b.column(1).to_numpy().sum()
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.concatenate((np.zeros(len(sizes), np.int64), have, [0]))), pa.array(n.astype(np.int64)), pa.array(w)], names=["word", "bits", "n", "w"])
+
+    looked = known.select("token", weight.alias("w")).mapInArrow(spots, "word long, bits long, n long, w double")
+    got = looked.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    word, have, n, w = (got.column(i).to_numpy() for i in range(4))
+    sizes = sorted((-word[(word < 0) & (word > _TOTAL)]).tolist())  # a token has a codepoint at least
     table = np.zeros(bits // 64, np.int64)
     table[word[word >= 0]] = have[word >= 0]
     shared = rows.sparkSession.sparkContext.broadcast(table.tobytes())
@@ -187,7 +195,7 @@ def _candidates(rows: DataFrame, known: DataFrame, key_col: str, text_col: str,
                         yield pa.RecordBatch.from_arrays([ids, pa.array(hit, pa.int32()), pa.array([t[k : k + size] for k in hit.tolist()], pa.string())], names=["id", "pos", "token"])
 
     texts = rows.select(F.col(key_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, pos int, token string")
+    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, pos int, token string"), int(n.sum()), float(w.sum())
 
 
 def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -199,22 +207,27 @@ def prefixes(rows: DataFrame, vocabulary: DataFrame, key_col: str = "item_id", t
     nothing; rows that repeat an id each give theirs.
     """
     known = vocabulary.select("token").where("token <> ''").distinct()
-    return _candidates(rows, known, key_col, text_col).join(known, "token", "left_semi").select("id", "pos", "token")
+    return _candidates(rows, known, key_col, text_col)[0].join(known, "token", "left_semi").select("id", "pos", "token")
 
 
 def decode_over(rows: DataFrame, edge: DataFrame, alpha: float = 0.1, key_col: str = "item_id", text_col: str = "text", as_: str = "sequences") -> DataFrame:
     """decode(rows, freeze(edge)) over a graph of any size, which never leaves the executors. Pairs will do for edges.
 
     A text is segmented with the tokens that occur in it and the edges between those that follow one another there; these
-    are found by prefixes() and joins. A row then has as much of the graph as its text can use.
+    are found by prefixes() and joins. A row then has as much of the graph as its text can use. What edges are made of is gone
+    through three times: for the filter and the totals, for the potentials, and for the edges.
     """
     edge = _weighed(edge).select("origin", "terminal", "weight")
     texts = rows.select(F.col(text_col).alias("text")).where("text <> ''").distinct().select("text", F.sha2("text", 256).alias("k"))
-    pot = node_potentials(edge, alpha).where("token <> ''").select("token", "log_p")
-    found = _candidates(texts, nodes(edge), "k", "text").join(pot, "token").select(F.col("id").alias("k"), "pos", "token", "log_p")
+    ends = F.array(F.struct(F.col("origin").alias("token"), F.lit(0.0).alias("w")), F.struct(F.col("terminal").alias("token"), F.col("weight").alias("w")))
+    known = edge.select(F.explode(ends).alias("x")).groupBy("x.token").agg(F.sum("x.w").alias("in_weight"))
+    runs, v, total = _candidates(texts, known, "k", "text")
+    pot = known.select("token", F.log((F.col("in_weight") + alpha) / F.lit(total + alpha * v)).alias("log_p"))
+    # The filter keeps log_p in all that reads this, so that potentials are made once.
+    found = runs.join(pot, "token").where("log_p is not null").select(F.col("id").alias("k"), "pos", "token", "log_p")
     nexts = found.select("k", "pos", F.col("token").alias("terminal"))
     pairs = found.select("k", (F.col("pos") + F.length("token")).alias("pos"), F.col("token").alias("origin")).join(nexts, ["k", "pos"]).select("k", "origin", "terminal").distinct()
-    whole = edges_accumulate(edge)
+    whole = shared(edges_accumulate(edge))
     out = whole.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
     used = whole.join(pairs.select("origin", "terminal").distinct(), ["origin", "terminal"], "left_semi").join(per_node(out), "origin")
     steps = used.select("origin", "terminal", (F.log("weight") - F.log("out_weight")).alias("log_w")).join(pairs, ["origin", "terminal"])
