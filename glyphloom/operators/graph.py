@@ -69,17 +69,18 @@ def merge_ends(ends: DataFrame) -> DataFrame:
     with another terminal, or has another before its end, is a break for that origin. So for each terminal the latest
     stream that ends with it and the latest that breaks it are enough to know where the run begins; these are maxima with
     partial aggregation, of which an origin keeps the two latest terminals. The weights after that are summed in a second
-    look at the ends, again with partial sums: an origin that occurs in every stream is no hot key.
+    look at the ends, again with partial sums: an origin that occurs in every stream is no hot key. Both looks take the ends
+    from one exchange, so ends are made once; ``at`` is read as a whole, as either look would else ask for columns of its own.
     """
-    at = F.struct(F.col("stream_key").isNull().alias("n"), F.col("stream_key").alias("k"))
-    rows = ends.select("origin", "terminal", "weight", "more", at.alias("at"))
-    by = rows.groupBy("origin", "terminal").agg(F.max("at").alias("last"), F.max(F.when(F.col("more"), F.col("at"))).alias("broken"))
+    at = F.struct(F.col("stream_key").isNull().alias("n"), F.col("stream_key").alias("k"), "more", "weight")
+    rows = shared(ends).select("origin", "terminal", at.alias("at")).repartition("origin", "terminal", "at")
+    by = rows.groupBy("origin", "terminal").agg(F.max("at").alias("last"), F.max(F.when(F.col("at.more"), F.col("at"))).alias("broken"))
     latest = Window.partitionBy("origin").orderBy(F.col("last").desc())
     two = by.withColumn("r", F.row_number().over(latest)).where("r <= 2")
     plan = two.groupBy("origin").agg(F.max(F.when(F.col("r") == 1, F.struct("terminal", "broken"))).alias("one"), F.max(F.when(F.col("r") == 2, F.col("last"))).alias("other"))
     plan = plan.select("origin", F.col("one.terminal").alias("terminal"), F.greatest("one.broken", "other").alias("since"))
-    kept = rows.join(plan, ["origin", "terminal"]).where(F.col("since").isNull() | (F.col("at") >= F.col("since")))
-    return kept.groupBy("origin", "terminal").agg(F.sum("weight").alias("weight"))
+    kept = rows.join(per_node(plan), ["origin", "terminal"]).where(F.col("since").isNull() | (F.col("at") >= F.col("since")))
+    return kept.groupBy("origin", "terminal").agg(F.sum("at.weight").alias("weight"))
 
 
 def edges_last_run(pairs: DataFrame) -> DataFrame:

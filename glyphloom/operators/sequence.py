@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .together import TOGETHER, all_lz_cuts, all_mdl_cuts
 OUT_CHARS = 1 << 18
 #: Characters whose pairs are summed up together.
 SUM_CHARS = 1 << 21
+#: Ends that a task holds before it puts out those that can count.
+HELD_ENDS = 1 << 20
 #: Bytes a core below which an input is dealt out anew.
 SMALL_SHARE = 32 << 20
 
@@ -201,7 +204,57 @@ def _runs(stream: np.ndarray, origin: np.ndarray, terminal: np.ndarray) -> tuple
     return order[ends], pa.array(length[last].astype(np.float64)), pa.array(~group[starts[last]])
 
 
-def _lz_rows(docs: DataFrame, key_col: str, text_col: str, capacity: int, made, schema: str, most: int = OUT_CHARS) -> DataFrame:
+def _order(keys: pa.Array, nulls: str) -> np.ndarray:
+    """The keys' places in order, equal for equal keys; nulls at_start or at_end."""
+    code = keys.dictionary_encode(null_encoding="encode")
+    place = pc.rank(code.dictionary, sort_keys="ascending", null_placement=nulls, tiebreaker="dense")
+    return place.to_numpy().astype(np.int64)[code.indices.to_numpy()]
+
+
+def _latest(ends: pa.RecordBatch) -> pa.RecordBatch:
+    """Of some streams' ends those that can count for graph.merge_ends(), whatever the other streams are.
+
+    An origin's run begins at its latest break or later: at a stream that has another terminal before its end, or that ends with
+    another than the last one does. The streams before the latest break among these are before the latest of all.
+    """
+    origin, terminal = (ends.column(i).dictionary_encode().indices.to_numpy() for i in (1, 2))
+    stream = _order(ends.column(0), "at_end")
+    by = np.lexsort((stream, origin))
+    o, t, s = origin[by], terminal[by], stream[by]
+    more = ends.column(4).to_numpy(zero_copy_only=False)[by]
+    first = np.concatenate(([True], np.diff(o) != 0))
+    stop = more | np.append(~first[1:] & (np.diff(t) != 0), False)
+    group = np.cumsum(first) - 1
+    since = np.full(group[-1] + 1, -1, np.int64)
+    since[group[stop]] = s[stop]  # the last one stays
+    return ends.take(pa.array(np.sort(by[s >= since[group]])))
+
+
+def _only_latest(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_latest() of all that a task makes, HELD_ENDS rows at a time; what is left is held on while it is less than half of them."""
+    held, n = [], 0
+
+    def latest() -> pa.RecordBatch:
+        return _latest(pa.concat_batches(held))
+
+    for b in made:
+        if len(b):
+            held.append(b)
+            n += len(b)
+        if n >= HELD_ENDS:
+            held = [latest()]
+            n = len(held[0])
+            if n > HELD_ENDS // 2:
+                yield from (held[0].slice(i, OUT_WORDS) for i in range(0, n, OUT_WORDS))
+                held, n = [], 0
+    if held:
+        last = latest()
+        yield from (last.slice(i, OUT_WORDS) for i in range(0, len(last), OUT_WORDS))
+
+
+def _lz_rows(docs: DataFrame, key_col: str, text_col: str, capacity: int, made, schema: str, most: int = OUT_CHARS, over=lambda made: made) -> DataFrame:
+    """made(texts, kind of the key) for some streams at a time; over() gets all that a task makes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.schema.field(0).type
@@ -216,7 +269,7 @@ def _lz_rows(docs: DataFrame, key_col: str, text_col: str, capacity: int, made,
                 yield made(held, kind)
 
     kind = dict(docs.dtypes)[key_col]
-    return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema.format(kind=kind))
+    return docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(lambda batches: over(run(batches)), schema.format(kind=kind))
 
 
 def stream_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
@@ -232,9 +285,13 @@ def stream_edges(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     return _lz_rows(docs, key_col, text_col, capacity, _sums, "origin string, terminal string, weight double", SUM_CHARS)
 
 
-def stream_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY) -> DataFrame:
-    """graph.stream_ends(stream_pairs(docs)), made where the tokens are: one row a stream and origin. Keys must differ."""
-    return _lz_rows(docs, key_col, text_col, capacity, _trailing, "stream_key {kind}, origin string, terminal string, weight double, more boolean")
+def stream_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", capacity: int = GATE_CAPACITY, latest: bool = False) -> DataFrame:
+    """graph.stream_ends(stream_pairs(docs)), made where the tokens are: one row a stream and origin. Keys must differ.
+
+    ``latest`` leaves out those of earlier streams that cannot count for graph.merge_ends().
+    """
+    over = {"most": SUM_CHARS, "over": _only_latest} if latest else {}
+    return _lz_rows(docs, key_col, text_col, capacity, _trailing, "stream_key {kind}, origin string, terminal string, weight double, more boolean", **over)
 
 
 #: What Unicode calls white space.
@@ -403,9 +460,10 @@ def word_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
     return rows.select("stream_key", (F.col("i") + 1).cast("long").alias("pos"), F.col("p.origin").alias("origin"), F.col("p.terminal").alias("terminal"))
 
 
-def _by_words(docs: DataFrame, key_col: str, text_col: str, made, schema: str) -> DataFrame:
+def _by_words(docs: DataFrame, key_col: str, text_col: str, made, schema: str, over=lambda made: made) -> DataFrame:
     """made(keys, words, first, pos, stream, origin, terminal) for the pairs of some streams at a time: ``words`` are all their words,
-    ``first`` where pairs begin there, ``stream`` the row of keys, ``origin`` and ``terminal`` numbers, equal for equal words."""
+    ``first`` where pairs begin there, ``stream`` the row of keys, ``origin`` and ``terminal`` numbers, equal for equal words.
+    over() gets all that a task makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -426,17 +484,20 @@ def _by_words(docs: DataFrame, key_col: str, text_col: str, made, schema: str) -
                 yield made(part.column(0), words, first, pos[first + 1], stream[first], code[first], code[first + 1])
 
     rows = _word_lists(docs, key_col, text_col)
-    return rows.mapInArrow(run, schema.format(kind=dict(rows.dtypes)["stream_key"]))
+    return rows.mapInArrow(lambda batches: over(run(batches)), schema.format(kind=dict(rows.dtypes)["stream_key"]))
 
 
-def word_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """graph.stream_ends(word_pairs(docs)), made where the texts lie: one row a stream and origin."""
+def word_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", latest: bool = False) -> DataFrame:
+    """graph.stream_ends(word_pairs(docs)), made where the texts lie: one row a stream and origin.
+
+    ``latest`` leaves out those of earlier streams that cannot count for graph.merge_ends().
+    """
 
     def made(keys, words, first, pos, stream, origin, terminal) -> pa.RecordBatch:
         at, weight, more = _runs(stream, origin, terminal)
         return pa.RecordBatch.from_arrays([keys.take(pa.array(stream[at])), words.take(pa.array(first[at])), words.take(pa.array(first[at] + 1)), weight, more], names=["stream_key", "origin", "terminal", "weight", "more"])
 
-    return _by_words(docs, key_col, text_col, made, "stream_key {kind}, origin string, terminal string, weight double, more boolean")
+    return _by_words(docs, key_col, text_col, made, "stream_key {kind}, origin string, terminal string, weight double, more boolean", _only_latest if latest else lambda made: made)
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -98,7 +98,7 @@ class JobRunner:
         if c.graph_capacity is not None:
             return graph.lru_edges(pairs, c.graph_capacity, c.edge_policy)
         if fast and c.edge_policy == "last_run":
-            return graph.merge_ends(stream_ends(self._streams(rows, c), "k", "t", c.capacity))
+            return graph.merge_ends(stream_ends(self._streams(rows, c), "k", "t", c.capacity, latest=True))
         return graph.edges(pairs, c.edge_policy)
 
     @staticmethod
