@@ -53,13 +53,8 @@ def _cut(texts: pa.Array, cuts) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             held, size = [], 0
 
 
-def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
-    """(stream_key, tok_pos, token, token_str, is_flush): every row of docs is one stream with a state of its own.
-
-    Nothing is shuffled. Null text is an empty stream. With a lone level the tokens are slices of the text and are
-    cut out of its buffer at once, those of many texts side by side; LZ stacks of more levels run in one loop, all others step by
-    step. ``stack``, ``gate``, ``keys`` (functions that make them) and the rest are as in kernel.build(): user-made gates, key generators and sequencers run where the rows lie.
-    """
+def _token_batches(stack: str, gate: str, compat: str, capacity: int, lists: bool, more: dict):
+    """What makes tokens() of batches (key, text)."""
     fast = stack == "int" and gate in ("lz", "mdl") and not more
     stacked = stack in ("boundary", "merge") and gate == "lz" and not more
 
@@ -85,14 +80,25 @@ def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sta
                     held.append((key, np.array([c for x in done for c in x], np.int32), ends, n))
                 size += len(codes)
                 if size >= OUT_CHARS:
-                    yield _batch(held, b.schema.field(0).type)
+                    yield _batch(held, b.schema.field(0).type, lists)
                     held, size = [], 0
             if held:
-                yield _batch(held, b.schema.field(0).type)
+                yield _batch(held, b.schema.field(0).type, lists)
+
+    return run
 
+
+def tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, lists: bool = True, **more) -> DataFrame:
+    """(stream_key, tok_pos, token, token_str, is_flush): every row of docs is one stream with a state of its own. Without ``lists`` there is no token.
+
+    Nothing is shuffled. Null text is an empty stream. With a lone level the tokens are slices of the text and are
+    cut out of its buffer at once, those of many texts side by side; LZ stacks of more levels run in one loop, all others step by
+    step. ``stack``, ``gate``, ``keys`` (functions that make them) and the rest are as in kernel.build(): user-made gates, key generators and sequencers run where the rows lie.
+    """
+    run = _token_batches(stack, gate, compat, capacity, lists, more)
     kind = dict(docs.dtypes)[key_col]
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"stream_key {kind}, tok_pos long, token array<int>, token_str string, is_flush boolean")
+    return rows.mapInArrow(run, f"stream_key {kind}, tok_pos long, {'token array<int>, ' if lists else ''}token_str string, is_flush boolean")
 
 
 def ordered_tokens(rows: DataFrame, key_col: str | None, order_col: str, text_col: str = "text", sep: str = "\n\n", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
@@ -143,7 +149,7 @@ def ordered_tokens(rows: DataFrame, key_col: str | None, order_col: str, text_co
     return parts.select("k", "t").mapInArrow(run, f"stream_key {kind}, tok_pos long, token array<int>, token_str string, is_flush boolean")
 
 
-def _batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+def _batch(held: list[tuple], kind: pa.DataType, lists: bool = True) -> pa.RecordBatch:
     counts = np.array([len(e) for _, _, e, _ in held])
     keys = pa.array([k.as_py() for k, _, _, _ in held], kind).take(pa.array(np.repeat(np.arange(len(held)), counts)))
     pos = np.concatenate([np.arange(n) for n in counts])
@@ -156,17 +162,19 @@ def _batch(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     data = flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") if len(flat) else b""
     strings = pa.StringArray.from_buffers(len(ends), pa.py_buffer(at), pa.py_buffer(data))
     flush = np.concatenate([np.arange(len(e)) >= n for _, _, e, n in held]) if counts.sum() else np.zeros(0, bool)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int64()), lists, strings, pa.array(flush)], names=["stream_key", "tok_pos", "token", "token_str", "is_flush"])
+    cols = {"stream_key": keys, "tok_pos": pa.array(pos, pa.int64())}
+    if lists:
+        cols["token"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+    return pa.RecordBatch.from_pydict(cols | {"token_str": strings, "is_flush": pa.array(flush)})
 
 
 def _pairs(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     """(stream_key, pos, origin, terminal) of the consecutive tokens of some streams."""
-    b = _batch(held, kind)
+    b = _batch(held, kind, lists=False)
     pos = b.column(1).to_numpy()
     leads = pa.array(np.append(pos[1:] > 0, False) if len(pos) else np.zeros(0, bool))
     later = b.filter(pa.array(pos > 0))
-    return pa.RecordBatch.from_arrays([later.column(0), later.column(1), b.column(3).filter(leads), later.column(3)], names=["stream_key", "pos", "origin", "terminal"])
+    return pa.RecordBatch.from_arrays([later.column(0), later.column(1), b.column("token_str").filter(leads), later.column("token_str")], names=["stream_key", "pos", "origin", "terminal"])
 
 
 def _sums(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -351,29 +359,42 @@ def stream_continuity(docs: DataFrame, text_col: str = "text", capacity: int = G
     return _lz_counts(docs, text_col, capacity, count, ["n_tokens", "n_continued"])
 
 
+def _joined(texts: pa.Array, at) -> pa.Array:
+    """The strings from each place of ``at`` to the next, put together: they lie one behind the other in the array's buffer."""
+    texts = texts.cast(pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets[np.asarray(at)].copy()), texts.buffers()[2])
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, held = None, []  # the stream that the last batch ended in
+    for b in batches:
+        keys, texts = b.column("stream_key"), b.column("token_str")
+        starts = np.flatnonzero(b.column("tok_pos").to_numpy() == 0)
+        if not len(starts):
+            held += _joined(texts, [0, len(b)]).to_pylist()
+            continue
+        held += _joined(texts, [0, starts[0]]).to_pylist()
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([key, pa.array(["".join(held)], pa.string())], names=["stream_key", "text"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(starts[:-1])), _joined(texts, starts)], names=["stream_key", "text"])
+        key, held = keys.slice(int(starts[-1]), 1), _joined(texts, [starts[-1], len(b)]).to_pylist()
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([key, pa.array(["".join(held)], pa.string())], names=["stream_key", "text"])
+
+
 def joined_tokens(toks: DataFrame) -> DataFrame:
     """(stream_key, text): the tokens of each stream put together, where tokens() has left them: a stream's rows lie together and
     in order, from tok_pos 0 on. Nothing is shuffled; streams without tokens give no row."""
     rows = toks.select("stream_key", "tok_pos", "token_str")
+    return rows.mapInArrow(_join, f"stream_key {dict(rows.dtypes)['stream_key']}, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []  # the stream that the last batch ended in
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            starts = np.flatnonzero(b.column(1).to_numpy() == 0).tolist()
-            held += texts[: starts[0] if starts else None]
-            if not starts:
-                continue
-            out = [] if key is None else ["".join(held)]
-            out += ["".join(texts[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
-            keys = b.column(0).take(pa.array(starts, pa.int64()))
-            done = keys[:-1] if key is None else pa.concat_arrays([key, keys[:-1]])
-            yield pa.RecordBatch.from_arrays([done, pa.array(out, pa.string())], names=["stream_key", "text"])
-            key, held = keys[-1:], texts[starts[-1] :]
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([key, pa.array(["".join(held)])], names=["stream_key", "text"])
 
-    return rows.mapInArrow(run, f"stream_key {dict(rows.dtypes)['stream_key']}, text string")
+def stream_joined(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", stack: str = "int", gate: str = "lz", compat: str = "reference", capacity: int = GATE_CAPACITY, **more) -> DataFrame:
+    """joined_tokens(tokens(docs)), put together where the tokens are made: no token becomes a row."""
+    run = _token_batches(stack, gate, compat, capacity, False, more)
+    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(lambda batches: _join(run(batches)), f"stream_key {dict(rows.dtypes)['k']}, text string")
 
 
 _GATE = pa.struct([("name", pa.string()), ("ingested", pa.int64()), ("pass_rate", pa.float64()), ("custom_metrics", pa.map_(pa.string(), pa.float64()))])
