@@ -215,11 +215,17 @@ def lru_nodes(pairs: DataFrame, capacity: int = GRAPH_CAPACITY) -> DataFrame:
     An origin is touched by each of its edges, a terminal only by being new. So what was ever an origin was touched last
     as one, and only tokens that never were count from their first time as a terminal. A top-k, not a sort of all nodes.
     """
-    touch = pairs.select(F.col("origin").alias("token"), F.struct("stream_key", "pos", F.lit(0).alias("side")).alias("at"))
-    fresh = pairs.select(F.col("terminal").alias("token"), F.struct("stream_key", "pos", F.lit(1).alias("side")).alias("at"))
-    last_origin = touch.groupBy("token").agg(F.max("at").alias("o"))
-    first_seen = fresh.groupBy("token").agg(F.min("at").alias("t"))
-    both = last_origin.join(first_seen, "token", "full").select("token", F.coalesce("o", "t").alias("at"))
+    end = lambda c, side: F.struct(F.col(c).alias("token"), F.lit(side).alias("side"))
+    return lru_of(pairs.select("stream_key", "pos", F.explode(F.array(end("origin", 0), end("terminal", 1))).alias("x")).select("x.token", "stream_key", "pos", "x.side"), capacity)
+
+
+def lru_of(touches: DataFrame, capacity: int = GRAPH_CAPACITY) -> DataFrame:
+    """lru_nodes() from touches (token, stream_key, pos, side): those as an origin (side 0) and as a terminal (side 1).
+
+    Of some pairs' touches as an origin the last will do, and of those as a terminal the first, if there is none as an origin.
+    """
+    at = F.struct("stream_key", "pos", "side")
+    both = touches.groupBy("token").agg(F.max(F.when(F.col("side") == 0, at)).alias("o"), F.min(F.when(F.col("side") == 1, at)).alias("t")).select("token", F.coalesce("o", "t").alias("at"))
     top = both.orderBy(F.col("at").desc(), "token").limit(capacity)
     ranked = top.withColumn("dense_idx", F.row_number().over(Window.orderBy(F.col("at").desc(), "token")) - 1)
     return ranked.select("token", F.col("at.stream_key").alias("last_touch_key"), F.col("at.pos").alias("last_touch_pos"), F.col("dense_idx").cast("long").alias("dense_idx"))

@@ -546,3 +546,21 @@ def word_markov(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([keys.take(pa.array(stream)), pa.array(pos, pa.int64()), words.take(pa.array(first)), words.take(pa.array(first + 1)), pa.array(parent_count), pa.array(edge_count), pa.array(degree)], names=["stream_key", "pos", "origin", "terminal", "parent_count", "edge_count", "degree"])
 
     return _by_words(docs, key_col, text_col, made, "stream_key {kind}, pos long, origin string, terminal string, parent_count long, edge_count long, degree long")
+
+
+def word_touches(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, stream_key, pos, side) for graph.lru_of(), made where the texts lie: of some streams' pairs one row a word, its last
+    touch as an origin or, if there is none, its first as a terminal."""
+
+    def made(keys, words, first, pos, stream, origin, terminal) -> pa.RecordBatch:
+        order = np.lexsort((pos, _order(keys, "at_start")[stream]))
+        at = np.full(int(max(origin.max(), terminal.max())) + 1, -1, np.int64)
+        at[terminal[order[::-1]]] = order[::-1]  # the last one stays
+        side = np.ones(len(at), np.int32)
+        at[origin[order]] = order
+        side[origin] = 0
+        token = np.flatnonzero(at >= 0)
+        at, side = at[token], side[token]
+        return pa.RecordBatch.from_arrays([words.take(pa.array(first[at] + side)), keys.take(pa.array(stream[at])), pa.array(pos[at], pa.int64()), pa.array(side)], names=["token", "stream_key", "pos", "side"])
+
+    return _by_words(docs, key_col, text_col, made, "token string, stream_key {kind}, pos long, side int")

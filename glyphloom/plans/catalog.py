@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs
+from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs, word_touches
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -228,7 +228,7 @@ def index_lookup(spark, sf_dir):
 x AS (SELECT token, coalesce(o.a, t.a) AS a FROM o FULL JOIN t USING (token))
 SELECT token, a.k AS last_touch_key, a.p AS last_touch_pos, (row_number() OVER (ORDER BY a DESC, token) - 1)::BIGINT AS dense_idx FROM x ORDER BY a DESC, token LIMIT 50000""")
 def lru_nodes(spark, sf_dir):
-    return graph.lru_nodes(_pairs(spark, sf_dir))
+    return graph.lru_of(word_touches(_docs(spark, sf_dir)))
 
 
 # --- statistics ---
