@@ -125,7 +125,7 @@ def transitions(edge: DataFrame) -> DataFrame:
     """(origin, terminal, weight, log_w): ln of the weight's share of the origin's."""
     edge = shared(edge)
     out = edge.groupBy("origin").agg(F.sum("weight").alias("out_weight"))
-    return edge.join(out, "origin").select("origin", "terminal", "weight", (F.log("weight") - F.log("out_weight")).alias("log_w"))
+    return edge.join(per_node(out), "origin").select("origin", "terminal", "weight", (F.log("weight") - F.log("out_weight")).alias("log_w"))
 
 
 def _range_of(token: Column, bounds: list[str]) -> Column:
