@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +82,44 @@ def unpack(v: int) -> list[int]:
     return out
 
 
+# --- Arrays ---
+
+
+def zigzag(v: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers as unsigned ones that are small if they are near 0."""
+    return ((v << 1) ^ (v >> 63)).view(np.uint64)
+
+
+def unzigzag(v: np.ndarray) -> np.ndarray:
+    half = (v >> np.uint64(1)).view(np.int64)
+    return half ^ -(v & np.uint64(1)).view(np.int64)
+
+
+def pack_numbers(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each number ends): seven bits a byte, low ones first, the high bit set if more follow."""
+    width = np.ones(len(v), np.int64)
+    for k in range(7, max(int(v.max(initial=0)).bit_length(), 1), 7):
+        width += v >= np.uint64(1 << k)
+    ends = np.cumsum(width)
+    starts = ends - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    for j in range(int(width.max(initial=0))):
+        k = np.flatnonzero(width > j)
+        out[starts[k] + j] = (v[k] >> np.uint64(7 * j)) & np.uint64(127) | np.where(width[k] > j + 1, np.uint64(128), np.uint64(0))
+    return out, ends
+
+
+def unpack_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each ends) of pack_numbers()."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint64)
+    for j in range(int((ends - starts).max(initial=0))):
+        k = np.flatnonzero(ends - starts > j)
+        out[k] |= (data[starts[k] + j] & 127).astype(np.uint64) << np.uint64(7 * j)
+    return out, ends
+
+
 # --- Columns ---
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codec
+from .graph import by_token
 from .kernel import GATE_CAPACITY, build, stack_tokens
 from .together import TOGETHER, all_lz_cuts, all_mdl_cuts
 
@@ -462,12 +465,12 @@ def whitespace_tokens(docs: DataFrame, key_col: str = "doc_id", text_col: str =
 
 #: Words that are looked at together.
 OUT_WORDS = 1 << 18
-
-
-def _word_lists(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    from ..functions.text import clean_text
-
-    return docs.select(F.col(key_col).alias("stream_key"), F.split(clean_text(F.col(text_col)), " ").alias("w"))
+#: Words that are summed up together.
+SUM_WORDS = 1 << 20
+#: Bytes that a word and its blank are taken for.
+WORD_BYTES = 8
+#: Bytes of places that are put out together.
+OUT_BYTES = 1 << 20
 
 
 def word_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -475,37 +478,173 @@ def word_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text")
 
     The same rows as bigrams(whitespace_tokens(...)) where keys differ; rows that repeat a key are streams of their own.
     """
+    from ..functions.text import clean_text
+
     n = F.size("w") - 1
     both = F.arrays_zip(F.slice("w", 1, n).alias("origin"), F.slice("w", 2, n).alias("terminal"))
-    rows = _word_lists(docs, key_col, text_col).select("stream_key", F.posexplode(both).alias("i", "p"))
+    lists = docs.select(F.col(key_col).alias("stream_key"), F.split(clean_text(F.col(text_col)), " ").alias("w"))
+    rows = lists.select("stream_key", F.posexplode(both).alias("i", "p"))
     return rows.select("stream_key", (F.col("i") + 1).cast("long").alias("pos"), F.col("p.origin").alias("origin"), F.col("p.terminal").alias("terminal"))
 
 
-def _by_words(docs: DataFrame, key_col: str, text_col: str, made, schema: str, over=lambda made: made) -> DataFrame:
+#: White-space runs of clean_text(), and what Arrow splits at and clean_text() does not, or the other way round.
+_RUNS = re.compile("[" + "".join(map(chr, [*_SPACES, 0xFEFF])) + "]+")
+_ODD = "[\x1c-\x1f\ufeff]"
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, how many of them each text has): whitespace_tokens() by Arrow's kernels. Null has none."""
+    texts = texts.cast(pa.string()).fill_null("")
+    if pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
+        lists = pa.array([[w for w in _RUNS.split(t) if w] for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    words, counts = lists.flatten(), lists.value_lengths().to_numpy()
+    real = pc.not_equal(words, "")
+    if not pc.all(real).as_py():  # at the ends of a text
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real.to_numpy(zero_copy_only=False)], minlength=len(counts))
+        words = words.filter(real)
+    return words, counts
+
+
+def _word_parts(docs: DataFrame, key_col: str, text_col: str, made, schema: str, most: int | None = None, over=lambda made: made) -> DataFrame:
+    """made(keys, words, counts) for some streams at a time, of up to WORD_BYTES * ``most`` (OUT_WORDS) bytes or one that is longer: all their words, and
+    how many each has.
+
+    What is None is left out; over() gets all that a task makes.
+    """
+    size = WORD_BYTES * (most or OUT_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(b):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+                got = made(b.column(0).slice(at, end - at), *_split(b.column(1).slice(at, end - at)))
+                at = end
+                if got is not None:
+                    yield got
+
+    rows = docs.select(F.col(key_col).alias("stream_key"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(lambda batches: over(run(batches)), schema.format(kind=dict(rows.dtypes)["stream_key"]))
+
+
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stream, position in it) of each word."""
+    stream = np.repeat(np.arange(len(counts)), counts)
+    return stream, np.arange(len(stream)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _by_words(docs: DataFrame, key_col: str, text_col: str, made, schema: str, over=lambda made: made, most: int | None = None) -> DataFrame:
     """made(keys, words, first, pos, stream, origin, terminal) for the pairs of some streams at a time: ``words`` are all their words,
     ``first`` where pairs begin there, ``stream`` the row of keys, ``origin`` and ``terminal`` numbers, equal for equal words.
     over() gets all that a task makes."""
 
+    def pairs(keys, words, counts) -> pa.RecordBatch | None:
+        stream, pos = _places(counts)
+        first = np.flatnonzero(stream[1:] == stream[:-1])  # where a pair begins
+        if not len(first):
+            return None
+        code = words.dictionary_encode().indices.to_numpy()
+        return made(keys, words, first, pos[first + 1], stream[first], code[first], code[first + 1])
+
+    return _word_parts(docs, key_col, text_col, pairs, schema, most, over)
+
+
+def word_edges(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(origin, terminal, weight) to be summed up: word_pairs(docs), each pair once for some streams, with its number."""
+
+    def made(keys, words, first, pos, stream, origin, terminal) -> pa.RecordBatch:
+        _, at, weight = np.unique(origin.astype(np.int64) << 32 | terminal, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([words.take(pa.array(first[at])), words.take(pa.array(first[at] + 1)), pa.array(weight.astype(np.float64))], names=["origin", "terminal", "weight"])
+
+    return _by_words(docs, key_col, text_col, made, "origin string, terminal string, weight double", most=SUM_WORDS)
+
+
+def word_vocabulary(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, touched): the words of some streams once each, and whether a pair of theirs has the word."""
+
+    def made(keys, words, counts) -> pa.RecordBatch:
+        code = words.dictionary_encode()
+        touched = np.zeros(len(code.dictionary), bool)
+        touched[code.indices.to_numpy()[np.repeat(counts > 1, counts)]] = True
+        return pa.RecordBatch.from_arrays([code.dictionary, pa.array(touched)], names=["token", "touched"])
+
+    return _word_parts(docs, key_col, text_col, made, "token string, touched boolean", SUM_WORDS)
+
+
+def word_nodes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """graph.nodes(word_pairs(docs)): words are made once for some streams before they are once each."""
+    return word_vocabulary(docs, key_col, text_col).where("touched").select("token").distinct()
+
+
+#: Key types whose differences are put in bytes.
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def word_places(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, known, places): of some streams one row a word; ``places`` has its keys, as differences, and its positions, in bytes. Without
+    ``known`` the keys are null. So a word that is moved costs some four bytes, and its text is moved once for all its places."""
+
+    def made(keys, words, counts) -> pa.RecordBatch | None:
+        if not len(words):
+            return None
+        stream, pos = _places(counts)
+        code = words.dictionary_encode()
+        group = code.indices.to_numpy().astype(np.int64) * 2 + keys.is_valid().to_numpy(zero_copy_only=False)[stream]
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0)))
+        key = keys.cast(pa.int64()).fill_null(0).to_numpy()[stream[order]]
+        step = np.diff(key, prepend=0)
+        step[start] = key[start]
+        data, ends = codec.pack_numbers(np.column_stack((codec.zigzag(step), pos[order].astype(np.uint64))).ravel())
+        offsets = np.concatenate(([0], ends[1::2][np.append(start[1:], len(order)) - 1])).astype(np.int32)
+        first = group[order[start]]
+        places = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(first >> 1)), pa.array((first & 1).astype(bool)), places], names=["token", "known", "places"])
+
+    if dict(docs.dtypes)[key_col] not in _INTEGERS:
+        raise ValueError("keys must be integers")
+    return _word_parts(docs, key_col, text_col, made, "token string, known boolean, places binary", SUM_WORDS)
+
+
+def _all_places(b: pa.RecordBatch, kind: pa.DataType) -> pa.RecordBatch:
+    """(stream_key, tok_pos, dense_idx) of rows (known, places, dense_idx)."""
+    places = b.column(1).cast(pa.binary())
+    offsets = np.frombuffer(places.buffers()[1], np.int32, len(places) + 1, 4 * places.offset)
+    data = np.frombuffer(places.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    numbers, ends = codec.unpack_numbers(data)
+    upto = np.searchsorted(ends, offsets[1:] - offsets[0], side="right") // 2
+    counts = np.diff(upto, prepend=0)
+    step = codec.unzigzag(numbers[0::2])
+    total = np.cumsum(step)
+    start = upto - counts
+    key = total - np.repeat(total[start] - step[start], counts)
+    row = np.repeat(np.arange(len(b)), counts)
+    unknown = ~b.column(0).to_numpy(zero_copy_only=False)[row]
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=unknown).cast(kind), pa.array(numbers[1::2].view(np.int64)), b.column(2).take(pa.array(row))], names=["stream_key", "tok_pos", "dense_idx"])
+
+
+def word_indices(docs: DataFrame, indexed: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(stream_key, tok_pos, dense_idx): graph.by_token(whitespace_tokens(docs), indexed). With keys that are integers, the places of a word are moved in bytes."""
+    kind = dict(docs.dtypes)[key_col]
+    if kind not in _INTEGERS:
+        toks = whitespace_tokens(docs, key_col, text_col).withColumnRenamed("token_str", "token")
+        return by_token(toks, indexed).select("stream_key", "tok_pos", "dense_idx")
+    arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[kind]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            upto = np.cumsum(b.column(1).value_lengths().to_numpy())
+            upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
             at = 0
             while at < len(b):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + OUT_WORDS, side="right")))
-                part = b.slice(at, end - at)
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + OUT_BYTES, side="right")))
+                yield _all_places(b.slice(at, end - at), arrow)
                 at = end
-                counts = part.column(1).value_lengths().to_numpy()
-                words = part.column(1).flatten()
-                stream = np.repeat(np.arange(len(part)), counts)
-                first = np.flatnonzero(stream[1:] == stream[:-1])  # where a pair begins
-                if not len(first):
-                    continue
-                code = words.dictionary_encode().indices.to_numpy()
-                pos = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield made(part.column(0), words, first, pos[first + 1], stream[first], code[first], code[first + 1])
-
-    rows = _word_lists(docs, key_col, text_col)
-    return rows.mapInArrow(lambda batches: over(run(batches)), schema.format(kind=dict(rows.dtypes)["stream_key"]))
+
+    rows = by_token(word_places(docs, key_col, text_col), indexed).select("known", "places", "dense_idx")
+    return rows.mapInArrow(run, f"stream_key {kind}, tok_pos long, dense_idx long")
 
 
 def word_ends(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", latest: bool = False) -> DataFrame:

@@ -66,6 +66,11 @@ def isolated(vocabulary: DataFrame, edge: DataFrame) -> DataFrame:
     return vocabulary.select("token", F.lit(0).alias("touched")).union(ends).groupBy("token").agg(F.max("touched").alias("touched")).where("touched = 0").select("token")
 
 
+def untouched(vocabulary: DataFrame) -> DataFrame:
+    """isolated() of a vocabulary (token, touched) whose tokens may come repeatedly."""
+    return vocabulary.groupBy("token").agg(F.max("touched").alias("touched")).where("not touched").select("token")
+
+
 def histogram(rows: DataFrame, col: str) -> DataFrame:
     """(bucket, n): counts by powers of two: bucket b holds values in [2^b, 2^(b+1))."""
     return rows.where(F.col(col) > 0).groupBy(F.floor(F.log2(F.col(col).cast("double"))).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

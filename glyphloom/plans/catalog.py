@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_ends, word_markov, word_pairs, word_touches
+from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_ends, word_indices, word_markov, word_nodes, word_pairs, word_touches
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -184,7 +184,7 @@ def edges_last_run(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT origin AS token FROM e UNION SELECT terminal FROM e")
 def node_set(spark, sf_dir):
-    return graph.nodes(_pairs(spark, sf_dir))
+    return word_nodes(_docs(spark, sf_dir))
 
 
 @query(f"WITH {_S} SELECT * FROM s")
@@ -220,8 +220,8 @@ def csr_row_ptr(spark, sf_dir):
 
 @query(f"WITH {_S}{_I} SELECT w.stream_key, w.tok_pos, n.dense_idx FROM w LEFT JOIN n ON n.token = w.token_str")
 def index_lookup(spark, sf_dir):
-    t = _words(spark, sf_dir).withColumnRenamed("token_str", "token")
-    return graph.by_token(t, graph.dense_index(graph.nodes(_pairs(spark, sf_dir)))).select("stream_key", "tok_pos", "dense_idx")
+    docs = _docs(spark, sf_dir)
+    return word_indices(docs, graph.dense_index(word_nodes(docs)))
 
 
 @query(f"""WITH {_B}, o AS (SELECT origin AS token, max(struct_pack(k := stream_key, p := pos, s := 0)) AS a FROM b GROUP BY 1), t AS (SELECT terminal AS token, min(struct_pack(k := stream_key, p := pos, s := 1)) AS a FROM b GROUP BY 1),
