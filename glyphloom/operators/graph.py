@@ -47,8 +47,15 @@ def shared(edge: DataFrame) -> DataFrame:
     return edge.where("origin is not null and terminal is not null")
 
 
-def edges_accumulate(pairs: DataFrame) -> DataFrame:
-    """(origin, terminal, weight): summed over all occurrences; partial sums before the shuffle."""
+def edges_accumulate(pairs: DataFrame, summed: bool = False) -> DataFrame:
+    """(origin, terminal, weight): summed over all occurrences; partial sums before the shuffle.
+
+    ``summed`` says that there are such sums already, for some streams at a time. They are moved as they are: most pairs of words are rare,
+    so that sums of a whole task would hold nearly as many rows, pass its memory and be sorted on disk.
+    """
+    if summed:
+        sums = pairs.select("origin", "terminal", F.col("weight").alias("sum")).repartition("origin", "terminal")
+        return sums.groupBy("origin", "terminal").agg(F.sum("sum").alias("weight"))
     return _weighed(pairs).groupBy("origin", "terminal").agg(F.sum("weight").alias("weight"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_ends, word_indices, word_markov, word_nodes, word_pairs, word_touches
+from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_edges, word_ends, word_indices, word_markov, word_nodes, word_pairs, word_touches
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -70,7 +70,7 @@ def _pairs(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return graph.edges_accumulate(_pairs(spark, sf_dir))
+    return graph.edges_accumulate(word_edges(_docs(spark, sf_dir)), summed=True)
 
 
 def _r(c, digits: int = 6):
