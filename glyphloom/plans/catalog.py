@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, text
 from ..operators import decode as dec
 from ..operators import graph, metrics, stats
-from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_edges, word_ends, word_indices, word_markov, word_nodes, word_pairs, word_touches
+from ..operators.sequence import joined_streams, ordered_tokens, snapshots, spread, stream_boundary_counts, stream_continuity, stream_edges, stream_ends, stream_joined, stream_pairs, tokens, whitespace_tokens, word_edges, word_ends, word_indices, word_markov, word_nodes, word_pairs, word_touches, word_vocabulary
 from ..sources import corpus, files
 
 _W = r"""w AS MATERIALIZED (SELECT stream_key, tok_pos, token_str FROM (SELECT doc_id AS stream_key, unnest(ws) AS token_str, (generate_subscripts(ws, 1) - 1)::BIGINT AS tok_pos
@@ -204,7 +204,7 @@ def transition_log_probs(spark, sf_dir):
 
 @query(f"WITH {_S}{_I} SELECT * FROM n")
 def dense_indices(spark, sf_dir):
-    return graph.dense_index(graph.nodes(_pairs(spark, sf_dir)))
+    return graph.dense_index(word_nodes(_docs(spark, sf_dir)))
 
 
 @query(f"WITH {_S}{_I} SELECT a.dense_idx AS row_idx, c.dense_idx AS col_idx, round(ln(e.weight) - ln(sum(e.weight) OVER (PARTITION BY e.origin)), 6) AS log_w FROM e JOIN n a ON a.token = e.origin JOIN n c ON c.token = e.terminal")
@@ -272,7 +272,7 @@ def degree_histogram(spark, sf_dir):
 
 @query(f"WITH {_S}, v AS (SELECT DISTINCT token_str AS token FROM w) SELECT token FROM v WHERE token NOT IN (SELECT token FROM s)")
 def isolated_nodes(spark, sf_dir):
-    return stats.isolated(_words(spark, sf_dir).select(F.col("token_str").alias("token")), _pairs(spark, sf_dir))
+    return stats.untouched(word_vocabulary(_docs(spark, sf_dir)))
 
 
 # --- metrics ---
